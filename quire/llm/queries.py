@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
-from .common import table
+from . import rules, toxicity
+from .common import crc_mod, table
 
 POLICY = "v1"
 
@@ -41,7 +41,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f &
  n_lines, cast(f as bigint) as failed from b
 """
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score")
+    return out.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
 }
 
