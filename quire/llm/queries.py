@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, toxicity
+from . import rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
@@ -48,11 +48,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("id % 20 = 0"), vectors, 20)
+
+
+_OP10 = """
+with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+ where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+ from e q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": _OP8,
+    "op10_topk": _OP10,
 }
