@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, topk, toxicity
+from . import lm, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
@@ -41,6 +41,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f &
  n_lines, cast(f as bigint) as failed from b
 """
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm.held_out(F.col("doc_id"))
+    out = lm.score(docs, docs.where(~held))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +72,7 @@ select query_id, rank, vec_id, score from r where rank <= 20
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_topk": op10_topk,
