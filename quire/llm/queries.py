@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, rules, topk, toxicity
+from . import lm, repair, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
@@ -48,6 +49,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read(repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49408))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ select query_id, rank, vec_id, score from r where rank <= 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op4_repair": op4_repair,
     "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_topk": op10_topk,
