@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, repair, rules, topk, toxicity
+from . import lm, packing, repair, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), POLICY)
     base = F.col("failed").bitwiseAND(F.lit(rules.mask("base")).cast("long")) != 0
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op4_repair": op4_repair,
     "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_topk": op10_topk,
 }
