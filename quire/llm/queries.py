@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, packing, repair, rules, topk, toxicity
+from . import bpe, lm, packing, repair, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
@@ -53,6 +53,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49408))
 
@@ -82,6 +87,7 @@ select query_id, rank, vec_id, score from r where rank <= 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_bpe": op3_bpe,
     "op4_repair": op4_repair,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
