@@ -40,7 +40,7 @@ STRIP = ".,;:!?\"'()[]{}|*«»“”„…-"
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
-#: At most so many labelled rows of each label are fitted, those whose id hashes lowest.
+#: About so many labelled rows of each label are fitted, drawn with the probability that makes this their expected number.
 SAMPLE_PER_LABEL = 20_000
 #: At most so many features; each needs MIN_POSITIVE toxic rows that hold it.
 N_FEATURES, MIN_POSITIVE, MIN_LOG_ODDS = 2048, 4, 1.0
@@ -66,7 +66,7 @@ class Model:
     bias: float | None = None
 
     def scorer(self):
-        """text -> score; remembers up to a million words."""
+        """text -> score; remembers up to 300,000 words."""
         seen: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> float:
@@ -76,7 +76,7 @@ class Model:
             for w in raw_words(text):
                 f = seen.get(w)
                 if f is None:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
                     f = seen[w] = tuple(x for x in terms(w) if x in self.weights)
                 if f:
@@ -97,7 +97,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each feature, by label; at most a million features at a time."""
+    """Documents that hold each feature, by label; at most 400,000 features at a time."""
     n: tuple[Counter, Counter] = (Counter(), Counter())
     seen: dict[str, tuple[str, ...]] = {}
 
@@ -110,17 +110,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n[1].clear()
 
     for b in batches:
-        for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
             hit: set[str] = {""}  # counts the rows themselves
-            for w in raw_words(text):
+            for w in raw_words(text.as_py()):
                 f = seen.get(w)
                 if f is None:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     f = seen[w] = terms(w)
                 hit.update(f)
             n[y].update(hit)
-            if len(n[0]) + len(n[1]) > 1_000_000:
+            if len(n[0]) + len(n[1]) > 400_000:
                 yield from flush()
     yield from flush()
 
@@ -185,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not n0 or not n1:
         return Model()
     names = sorted(set(names) | {f"={w}" for w in SWAP})
-    part = lambda y: rows.where(F.col("toxic") == y).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(SAMPLE_PER_LABEL).select("text", "toxic") if (n0, n1)[y] > SAMPLE_PER_LABEL else rows.where(F.col("toxic") == y).select("text", "toxic")
-    data = part(0).unionAll(part(1)).mapInArrow(_sparse(names), "toxic int, ids array<int>, swapped array<int>").toArrow()
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_LABEL / n1)).otherwise(min(1.0, SAMPLE_PER_LABEL / n0))
+    data = rows.where(F.rand(5) < share).select("text", "toxic").mapInArrow(_sparse(names), "toxic int, ids array<int>, swapped array<int>").toArrow()
     y = np.array(data["toxic"], float)
     k = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, n1 / max(k[1], 1), n0 / max(k[0], 1))
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] |
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = model.scorer()
         for b in batches:
-            out = pa.array([s(t) for t in b.column("text").to_pylist()], pa.float64())
+            out = pa.array([s(t.as_py()) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), out], names=[*keep, name])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
