@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, repair, rules, topk, toxicity
+from . import bpe, lm, packing, pii, repair, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
+#: The surrogates' key. A deployment passes a secret of its own.
+PII_KEY = "quire"
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f &
  n_lines, cast(f as bigint) as failed from b
 """
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = lm.held_out(F.col("doc_id"))
@@ -86,6 +92,7 @@ select query_id, rank, vec_id, score from r where rank <= 20
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_bpe": op3_bpe,
     "op4_repair": op4_repair,
