@@ -16,6 +16,7 @@ candidates all are returned; empty tables give an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 #: Rows of a shard of candidates, and of a block of queries.
 SHARD, BLOCK = 4096, 512
 #: Nodes of up to so many points aren't split further.
-LEAF = 64
+LEAF, QUERY_LEAF = 256, 128
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -84,58 +85,70 @@ class CoverTree:
 
 def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's index, candidate's index, score) of each query's k best candidates with another id."""
-    tq, tc = CoverTree(q), CoverTree(c)
-    best = np.full((len(q), k), -np.inf)
-    at = np.full((len(q), k), -1, np.int64)
+    tq, tc = CoverTree(q, QUERY_LEAF), CoverTree(c)
+    # One number orders by score, then by smaller id: scores are whole, and places among the ids are below len(c).
+    place = np.empty(len(c))
+    place[np.argsort(cid, kind="stable")[::-1]] = np.arange(len(c))
     norm_q = [float(np.linalg.norm(x)) for x in tq.centre]
     centres_c = np.array(tc.centre)
     norm_c, radius_c = np.sqrt((centres_c**2).sum(axis=1)), np.array(tc.radius)
+    best = np.full((len(q), k), -np.inf)
+    at = np.full((len(q), k), -1, np.int64)
 
     def bound(n: int, m: np.ndarray) -> np.ndarray:
         """No query under n scores more with any candidate under m."""
         return centres_c[m] @ tq.centre[n] + norm_q[n] * radius_c[m] + tq.radius[n] * norm_c[m] + tq.radius[n] * radius_c[m] + 1e-3
 
-    def leaves(n: int) -> list[int]:
-        return [n] if not tq.children[n] else [y for x in tq.children[n] for y in leaves(x)]
+    def worst(rows: np.ndarray) -> float:
+        """The worst k-th score of the rows."""
+        return math.floor(best[rows].min() / len(c)) if np.isfinite(best[rows]).all() else -math.inf
+
+    def leaf(rows: np.ndarray, cols: np.ndarray) -> None:
+        key = (q[rows] @ c[cols].T) * len(c) + place[cols]
+        key[qid[rows][:, None] == cid[cols][None, :]] = -np.inf
+        better = (key > best[rows].min(axis=1)[:, None]).any(axis=1)
+        if not better.any():
+            return
+        rows, key = rows[better], key[better]
+        keys = np.concatenate([best[rows], key], axis=1)
+        who = np.concatenate([at[rows], np.broadcast_to(cols, key.shape)], axis=1)
+        by = np.argpartition(keys, -k, axis=1)[:, -k:]
+        best[rows], at[rows] = np.take_along_axis(keys, by, 1), np.take_along_axis(who, by, 1)
 
     def descend(n: int, nodes: np.ndarray) -> None:
         """Searches the queries under n among the candidates under nodes, the most promising node first."""
         a, b = tq.span[n]
         rows = tq.order[a:b]
         top = bound(n, nodes)
-        worst = best[rows, -1].min()
-        nodes = nodes[top >= worst]
+        nodes = nodes[top >= worst(rows)]
         if not len(nodes):
             return
         if tq.children[n]:
-            opened = [y for m in nodes for y in (tc.children[m] or [m])]
+            opened = np.array([y for m in nodes for y in (tc.children[m] or [m])])
             for child in tq.children[n]:
-                descend(child, np.array(opened))
+                descend(child, opened)
             return
-        heap = [(-t, m) for t, m in zip(bound(n, nodes), nodes, strict=True)]
-        heap.sort()
+        heap = list(zip((-bound(n, nodes)).tolist(), nodes.tolist(), strict=True))
+        heapq.heapify(heap)
+        least = worst(rows)
         while heap:
-            t, m = heap.pop(0)
-            if -t < best[rows, -1].min():
+            t, m = heapq.heappop(heap)
+            if -t < least:
                 return
             if tc.children[m]:
                 sub = np.array(tc.children[m])
-                heap += [(-u, y) for u, y in zip(bound(n, sub), sub, strict=True)]
-                heap.sort()
+                for x in zip((-bound(n, sub)).tolist(), sub.tolist(), strict=True):
+                    if -x[0] >= least:
+                        heapq.heappush(heap, x)
                 continue
             s, e = tc.span[m]
-            cols = tc.order[s:e]
-            score = q[rows] @ c[cols].T
-            score[qid[rows][:, None] == cid[cols][None, :]] = -np.inf
-            all_s = np.concatenate([best[rows], score], axis=1)
-            all_i = np.concatenate([at[rows], np.broadcast_to(cols, score.shape)], axis=1)
-            ids = np.where(all_i >= 0, cid[all_i], np.iinfo(np.int64).max)
-            by = np.lexsort((ids, -all_s), axis=1)[:, :k]
-            best[rows], at[rows] = np.take_along_axis(all_s, by, 1), np.take_along_axis(all_i, by, 1)
-
-    descend(0, np.array([0]))
-    r, j = np.nonzero(np.isfinite(best) & (at >= 0))
-    return r, at[r, j], best[r, j]
+            leaf(rows, tc.order[s:e])
+            least = worst(rows)
+
+    if len(q) and len(c):
+        descend(0, np.array([0]))
+    r, j = np.nonzero(np.isfinite(best))
+    return r, at[r, j], np.floor(best[r, j] / len(c))
 
 
 def _pairs(k: int):
