@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, packing, pii, repair, rules, topk, toxicity
+from . import bpe, jaccard, linededup, lm, packing, pii, repair, rules, topk, toxicity
 from .common import crc_mod, table
 
 POLICY = "v1"
@@ -68,6 +68,10 @@ def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49408))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), deleted="deleted_lines")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_bpe": op3_bpe,
     "op4_repair": op4_repair,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
