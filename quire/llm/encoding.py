@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct chunk of text once per task.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct chunk of text once per Python worker.
 
 A text is cut only where the tokenizer itself always cuts, so that the ids of the chunks, joined,
 are the ids of the text. Ids are below 65536 and travel as little-endian unsigned 16-bit integers.
@@ -13,15 +13,29 @@ import numpy as np
 
 #: White space that touches white space or an end of the text: the byte-level pattern then looks at more than one chunk.
 _AWKWARD = re.compile(r"\s\s|\A\s|\s\Z")
-#: Distinct chunks that a task remembers.
-REMEMBERED = 400_000
+#: Distinct chunks that a Python worker remembers, over all its tasks; about 200 MB.
+REMEMBERED = 1_000_000
+#: Where a full stop or comma isn't a chunk of its own: beside other marks, or (byte level) after white space.
+_MARKS = re.compile(r"[.,](?:[^\w \n]|_)|(?:[^\w \n]|_)[.,]")
+_MARKS_OR_SPACE = re.compile(_MARKS.pattern + r"|\s[.,]|\A[.,]")
+_STOP, _COMMA = "\x01", "\x02"
+_KNOWN: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def encoder(path: str, byte_level: bool) -> ChunkEncoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    if (path, byte_level) not in _KNOWN:
+        _KNOWN[path, byte_level] = ChunkEncoder(path, byte_level)
+    return _KNOWN[path, byte_level]
 
 
 class ChunkEncoder:
     """encode(texts) -> one bytes object of 16-bit ids per text; a null text is empty.
 
-    byte_level: a chunk is a word with the single space before it, or a line feed between two words.
-    Otherwise the tokenizer drops white space, and a chunk is what lies between spaces and line feeds.
+    byte_level: a chunk is a word with the single space before it, a line feed between two words, or
+    a lone full stop or comma with what follows it up to the next space.
+    Otherwise the tokenizer drops white space, and a chunk is what lies between spaces, line feeds
+    and lone full stops and commas.
     """
 
     def __init__(self, path: str, byte_level: bool):
@@ -43,15 +57,27 @@ class ChunkEncoder:
             seen.clear()
         new = list(chunks - seen.keys())
         for i in range(0, len(new), 20_000):
-            seen.update(zip(new[i : i + 20_000], self._ids([prefix + x for x in new[i : i + 20_000]]), strict=True))
+            part = new[i : i + 20_000]
+            texts = [x.replace(_STOP, ".").replace(_COMMA, ",") if x[:1] in (_STOP, _COMMA) else prefix + x for x in part] if self.byte_level else part
+            seen.update(zip(part, self._ids(texts), strict=True))
+
+    @staticmethod
+    def _apart(t: str) -> list[str]:
+        if not _MARKS.search(t):
+            t = t.replace(".", " . ").replace(",", " , ")
+        return t.replace("\n", " ").split(" ")
+
+    @staticmethod
+    def _marked(t: str) -> str:
+        return t if _MARKS_OR_SPACE.search(t) else t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.byte_level:
-            parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+            parts = [self._apart(t or "") for t in texts]
             self._learn(1, set().union(*parts), "")
             get = self.seen[1].__getitem__
             return [b"".join(map(get, p)) for p in parts]
-        rows = [None if not t else [x.split(" ") for x in t.split("\n")] if not _AWKWARD.search(t) else t for t in texts]
+        rows = [None if not t else t if _AWKWARD.search(t) or _STOP in t or _COMMA in t else [x.split(" ") for x in self._marked(t).split("\n")] for t in texts]
         self._learn(0, {x[0] for r in rows if isinstance(r, list) for x in r}, "")
         self._learn(1, {y for r in rows if isinstance(r, list) for x in r for y in x[1:]}, " ")
         first, rest = self.seen[0].__getitem__, self.seen[1].__getitem__

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .encoding import ChunkEncoder
+from .encoding import encoder
 
 WINDOW, SHARD, END_ID = 1024, 1000, 0
 #: BM25's constants, and the number of a seed's weightiest terms that are looked up.
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The written table of doc_id, row (its own number), n_ids, ids (16 bits each, with the end id)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = ChunkEncoder(tokenizer, byte_level=True), struct.pack("<H", END_ID)
+        enc, end = encoder(tokenizer, byte_level=True), struct.pack("<H", END_ID)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .encoding import ChunkEncoder
+from .encoding import encoder
 
 #: A block is closed when it holds so many ids; one document is never cut.
 BLOCK_IDS = 1 << 20
@@ -143,7 +143,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
     """The written dataset of blocks: shard, block, n_ids, payload. Ascending shard, block and place are ascending doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = ChunkEncoder(tokenizer, byte_level=False), struct.pack("<H", END_ID)
+        enc, end = encoder(tokenizer, byte_level=False), struct.pack("<H", END_ID)
         names: list[int | None] = []
         held: list[bytes] = []
         size, block, shard = 0, 0, 0
