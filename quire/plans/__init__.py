@@ -1 +1 @@
-"""Reserved."""
+"""Compositions of operators."""

@@ -1 +1 @@
-"""Reserved."""
+"""Sources and sinks of document relations."""

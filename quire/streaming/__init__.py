@@ -1 +1 @@
-"""Reserved."""
+"""Streams of papers."""
