@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a table that written() made and that nothing will read again."""
+    spark = table.sparkSession
+    for f in table.inputFiles()[:1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -12,12 +12,12 @@ import re
 import numpy as np
 
 #: White space that touches white space or an end of the text: the byte-level pattern then looks at more than one chunk.
-_AWKWARD = re.compile(r"\s\s|\A\s|\s\Z")
+_SPACES = re.compile(r"\s\s")
 #: Distinct chunks that a Python worker remembers, over all its tasks; about 200 MB.
 REMEMBERED = 1_000_000
 #: Where a full stop or comma isn't a chunk of its own: beside other marks, or (byte level) after white space.
-_MARKS = re.compile(r"[.,](?:[^\w \n]|_)|(?:[^\w \n]|_)[.,]")
-_MARKS_OR_SPACE = re.compile(_MARKS.pattern + r"|\s[.,]|\A[.,]")
+_MARKS = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,]))")
+_MARKS_OR_SPACE = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,])|(?<=\s[.,]))")
 _STOP, _COMMA = "\x01", "\x02"
 _KNOWN: dict[tuple[str, bool], ChunkEncoder] = {}
 
@@ -69,7 +69,7 @@ class ChunkEncoder:
 
     @staticmethod
     def _marked(t: str) -> str:
-        return t if _MARKS_OR_SPACE.search(t) else t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
+        return t if t[0] in ".," or _MARKS_OR_SPACE.search(t) else t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.byte_level:
@@ -77,7 +77,7 @@ class ChunkEncoder:
             self._learn(1, set().union(*parts), "")
             get = self.seen[1].__getitem__
             return [b"".join(map(get, p)) for p in parts]
-        rows = [None if not t else t if _AWKWARD.search(t) or _STOP in t or _COMMA in t else [x.split(" ") for x in self._marked(t).split("\n")] for t in texts]
+        rows = [None if not t else t if t[0].isspace() or t[-1].isspace() or _SPACES.search(t) or _STOP in t or _COMMA in t else [x.split(" ") for x in self._marked(t).split("\n")] for t in texts]
         self._learn(0, {x[0] for r in rows if isinstance(r, list) for x in r}, "")
         self._learn(1, {y for r in rows if isinstance(r, list) for x in r for y in x[1:]}, " ")
         first, rest = self.seen[0].__getitem__, self.seen[1].__getitem__

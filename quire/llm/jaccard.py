@@ -6,9 +6,10 @@ the prefixes of n - T + 1 + L shingles, more than the L longest inverted lists t
 out (DivideSkip): so the short lists alone name every candidate, and the sets of the candidates,
 long lists included, are then probed for the exact overlap.
 
-Lists aren't expanded into pairs. Each member meets its list's leader; links are merged into
-components; only lists that still hold several components go on, in full where they are short, by
-another leader and then in full otherwise. A pair within one component needs no link of its own.
+Lists aren't expanded into pairs. Each node meets the leader of one of its lists; links are merged
+into components; lists that still hold several components go on with other leaders. What is mixed
+after a few turns, which copies no longer are, is expanded, short lists first. A pair within one
+component needs no link of its own.
 
 Defined results: null and empty texts and texts without words have no shingles and link with
 nothing; up to k - 1 words are one shingle; repeated rows share a node; the component of rows whose
@@ -25,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: The share of a node's shingles whose lists it may leave out, in hundredths.
 SKIP_PERCENT = 4
 #: Frequent shingles put last: at most so many, seen in so many documents of one batch.
 FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
-#: Lists up to this length are expanded once a leader hasn't settled them.
-SHORT = 64
-#: Candidate documents up to this number are sent to every task; beyond, texts are shuffled.
-BROADCAST_CANDIDATES = 500_000
+#: Turns in which each node meets one leader; then lists up to SHORT are expanded, then what is left.
+TURNS, SHORT = 3, 64
+#: Ids and pairs of ids up to this number are sent to every task (at most 16 MB of longs); more are joined by shuffles.
+BROADCAST_ROWS = 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -104,13 +105,13 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The written table of doc_id, n (shingles), sig (of the set), prefix (hashes)."""
+    """The written table of row (its own number), doc_id, n (shingles), sig (of the set), prefix (hashes)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(k), frequent.value
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
+            ids, at, texts = b.column("doc_id"), b.column("row"), b.column("text")
             for i in range(0, b.num_rows, 1000):
                 out: list[tuple] = []
                 for t in texts.slice(i, 1000):
@@ -123,10 +124,10 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     p = p[: min(n, n - needed(n, percent) + 1 + skipped(n, percent))] if n else p
                     out.append((n, _signature(s), p.view(np.int64)))
                 n, sig, p = zip(*out, strict=True)
-                yield pa.record_batch({"doc_id": ids.slice(i, 1000), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
+                yield pa.record_batch({"row": at.slice(i, 1000), "doc_id": ids.slice(i, 1000), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(text.mapInArrow(rows, "doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
+    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(text.mapInArrow(rows, "row long, doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,7 +146,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("a <> b").distinct()
         m = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(m.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), "edges")
+        last, e = e, written(small.where("a <> b").distinct(), "edges")
+        dropped(last)
         now = mark(e)
         if now == seen:
             break
@@ -153,19 +155,25 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").unionAll(e.select("b", "b").toDF("node", "comp").distinct())
 
 
-def _lists(s: DataFrame, percent: int) -> DataFrame:
-    """The written inverted lists that name candidates: h, node, n, kept (false where the node leaves the list out)."""
-    nodes = s.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    post = written(nodes.select(F.explode("prefix").alias("h"), F.col("sig").alias("node"), "n"), "postings")
+def _some(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, marked for broadcast if a count finds them few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def _lists(s: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The written inverted lists that name candidates: h, node, n, df, kept (false where the node leaves the list out)."""
+    own = s.where("n > 0").join(_some(nodes.select("node")), s["row"] == F.col("node"), "left_semi")
+    post = own.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"))
     length = post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     held = post.join(length, "h")
     longest = F.row_number().over(_window("node", F.col("df").desc(), "h"))
     a = F.ceil(F.lit(percent) * F.col("n") / 100.0)
     out_of = F.greatest(F.lit(0), F.least(F.floor(F.lit(SKIP_PERCENT) * F.col("n") / 100.0) + 1, a - 1))
-    held = held.withColumn("kept", longest > out_of)
-    held = written(held.select("h", "node", "n", "kept", "df"), "held")
+    held = written(held.withColumn("kept", longest > out_of).select("h", "node", "n", "kept", "df"), "held")
     live = held.where("kept").select("h").distinct()
-    return written(held.join(live, "h", "left_semi"), "lists")
+    out = written(held.join(live, "h", "left_semi"), "lists")
+    dropped(held)
+    return out
 
 
 def _window(part: str, *order):
@@ -174,14 +182,12 @@ def _window(part: str, *order):
     return Window.partitionBy(part).orderBy(*order)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """The written table of sig, shingles of the given nodes."""
-    one = s.join(nodes, s["sig"] == nodes["node"], "left_semi").groupBy("sig").agg(F.min("doc_id").alias("_id"))
-    one = written(one, "candidates")
-    ids = one.select("_id").distinct()
-    small = one.count() <= BROADCAST_CANDIDATES
+def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataFrame:
+    """The written table of node, shingles of the candidates (node). Their documents are found by id and told by the set's signature."""
+    one = written(s.join(candidates, s["row"] == candidates["node"]).select("node", "sig", F.col("doc_id").alias("_id")), "candidates")
+    ids = _some(one.select("_id").distinct())
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = text.join(F.broadcast(ids) if small else ids, text["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    text = text.join(ids, text["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
@@ -191,11 +197,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, s: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch({"sig": pa.array([_signature(x) for x in sets], pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     made = text.select("text").mapInArrow(rows, "sig binary, shingles binary")
-    return written(made.join(one.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    # Rows that repeat an id may bring a set twice; a pair is then verified twice, to the same end.
+    return written(made.join(_some(one.select("sig", "node")), "sig").select("node", "shingles"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The written pairs (a, b) with ``link``. Sets meet their pairs in place where the pairs are few, and then their partners' sets in one shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,55 +213,73 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.record_batch({"a": b.column("a"), "b": b.column("b"), "link": pa.array(ok, pa.bool_())})
 
-    x = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(met.mapInArrow(rows, "a binary, b binary, link boolean"), "verified")
+    few = _some(pairs)
+    x = sets.join(few, sets["node"] == few["a"]).select("a", "b", F.col("shingles").alias("x"))
+    partners = _some(pairs.select(F.col("b").alias("node")).distinct())
+    y = sets.join(partners, "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return written(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean"), "verified")
 
 
 def _fit(percent: int, n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _nominated(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """At most one pair of each node: with the first of its lists' leaders. The order of nodes changes with the turn."""
+    key = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    lead = rows.groupBy("h").agg(F.min(F.struct(key.alias("key"), "node", "n", "comp")).alias("l"))
+    met = rows.join(lead, "h").where(F.col("comp") != F.col("l.comp")).where(_fit(percent, "n", "l.n"))
+    best = met.groupBy("node", "n").agg(F.min("l").alias("l"))
+    return best.select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
+
+
+def _every(rows: DataFrame) -> DataFrame:
+    """All pairs of different components that a kept list names."""
+    other = rows.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    return rows.where("kept").join(other, "h").where("comp <> comp2").select("node", "n", "b", "m")
+
+
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     s = prefixes(docs, k, percent)
-    lists = _lists(s, percent)
-    sets = None
-    tested: DataFrame | None = None
-    comps: DataFrame | None = None
-    for turn in range(3):
+    nodes = written(s.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
+    lists = _lists(s, nodes, percent)
+    sets = tested = comps = None
+    for turn in range(TURNS + 2):
         rows = lists.withColumn("comp", F.col("node"))
         if comps is not None:
             rows = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
             rows = written(rows.join(mixed, "h", "left_semi"), "mixed")
-        lead = rows.groupBy("h").agg((F.min if turn != 1 else F.max)(F.struct("node", "n", "comp")).alias("l")).select("h", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("comp2"))
-        star = rows.join(lead, "h")
-        every = rows.where("kept").join(rows.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2")), "h")
-        if turn == 0:
-            pairs = star
-        elif turn == 1:
-            pairs = star.where(F.col("df") > SHORT).unionByName(every.where(F.col("df") <= SHORT))
+        if turn < TURNS:
+            pairs = _nominated(rows, turn, percent)
+        elif turn == TURNS:
+            pairs = _every(rows.where(F.col("df") <= SHORT))
         else:
-            pairs = every
-        pairs = pairs.where("comp <> comp2").where(_fit(percent, "n", "m")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+            pairs = _every(rows)
+        pairs = pairs.where(_fit(percent, "n", "m")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if comps is not None:
+            dropped(rows)
         if pairs.isEmpty():
-            break
+            continue
         if sets is None:
             sets = _sets(docs, lists.select("node").distinct(), s, k)
         done = _verify(pairs, sets, percent)
+        dropped(pairs)
         tested = done if tested is None else tested.unionAll(done)
-        comps = written(components(tested.where("link")), "components")
-    tested = None
-    nodes = s.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
+        if not done.where("link").isEmpty():
+            comps = written(components(tested.where("link")), "components")
+    for used in (lists, sets):
+        if used is not None:
+            dropped(used)
+    groups_of = nodes.select("sig", "least")
     if comps is not None:
-        first = nodes.join(comps, nodes["sig"] == comps["node"]).select("sig", "least", "comp")
-        least = first.groupBy("comp").agg(F.min("least").alias("whole"))
-        joined = first.join(least, "comp").select("sig", "whole")
-        nodes = nodes.join(joined, "sig", "left").select("sig", F.coalesce("whole", "least").alias("least"))
-    linked = s.where("n > 0").select("doc_id", "n", "sig").join(nodes, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+        first = nodes.join(comps, "node").select("sig", "least", "comp")
+        whole = first.groupBy("comp").agg(F.min("least").alias("whole"))
+        joined = first.join(whole, "comp").select("sig", "whole")
+        groups_of = groups_of.join(joined, "sig", "left").select("sig", F.coalesce("whole", "least").alias("least"))
+    linked = s.where("n > 0").select("doc_id", "n", "sig").join(groups_of, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return linked.unionAll(s.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))

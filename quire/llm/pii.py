@@ -34,15 +34,16 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: Kinds in order: the first that fits a mention is its kind.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"\b(?i:" + SECRET_NAMES + r")\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}",
+    "secret": r"(?i:" + SECRET_NAMES + r")\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
-    "person": r"\b(?:" + _TITLE + r")\.? " + _NAME + "(?: " + _NAME + ")?",
+    "person": r"(?:" + _TITLE + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 }
-PATTERN = "|".join(KINDS.values())
+#: No mention begins inside a word, which most places of a text are.
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 #: Letters by script, lower and upper case; any other letter becomes Latin.
 SCRIPTS = [
     (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
@@ -194,8 +195,14 @@ def _layout(mention: Column, known: Column, key: str) -> Column:
     return F.get(F.transform(F.array(units(mention)), done), F.lit(0))
 
 
+def _may_mention(text: Column) -> Column:
+    """Every kind needs a digit, an at sign, an equals sign, a colon or a title: texts with none aren't searched."""
+    return reduce(lambda a, t: a | text.contains(f"{t} ") | text.contains(f"{t}. "), (t for x in TITLES.values() for t in x), text.rlike("[0-9@=:]"))
+
+
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+    t = F.coalesce(text, F.lit(""))
+    return F.when(_may_mention(t), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _draw(table: DataFrame, key: str) -> DataFrame:
