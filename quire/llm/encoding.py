@@ -19,6 +19,9 @@ REMEMBERED = 1_000_000
 _MARKS = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,]))")
 _MARKS_OR_SPACE = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,])|(?<=\s[.,]))")
 _STOP, _COMMA = "\x01", "\x02"
+#: New chunks go to the tokenizer so many at a time as one text, with a mark between them that is an id of its own.
+JOINED = 32
+_PLAIN = re.compile(r"[^\s\x00\x1c-\x1f]+").fullmatch
 _KNOWN: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
@@ -47,19 +50,36 @@ class ChunkEncoder:
             raise ValueError("ids need more than 16 bits")
         self.seen: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # at the start of a line, after a space
         self.feed = self._ids(["\n"])[0] if byte_level else b""
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        # Between line feeds, or between lone NULs, the tokenizer cuts in any case.
+        self.mark = "\n" if byte_level else " \x00 "
+        (self.mark_id,) = np.frombuffer(self._ids([self.mark])[0], "<u2")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_joined(self, texts: list[str]) -> list[bytes]:
+        """_ids of texts that hold neither white space (but for a single space at the start) nor the mark."""
+        out: list[bytes] = []
+        groups = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
+        for group, joined in zip(groups, self._ids([self.mark.join(g) for g in groups]), strict=True):
+            ends = (2 * np.flatnonzero(np.frombuffer(joined, "<u2") == self.mark_id)).tolist()
+            if len(ends) != len(group) - 1:
+                raise ValueError("the mark isn't an id of its own")
+            out += [joined[s:e] for s, e in zip([0, *(e + 2 for e in ends)], [*ends, len(joined)], strict=True)]
+        return out
 
     def _learn(self, k: int, chunks: set[str], prefix: str) -> None:
         seen = self.seen[k]
         if len(seen) > REMEMBERED:
             seen.clear()
-        new = list(chunks - seen.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            texts = [x.replace(_STOP, ".").replace(_COMMA, ",") if x[:1] in (_STOP, _COMMA) else prefix + x for x in part] if self.byte_level else part
-            seen.update(zip(part, self._ids(texts), strict=True))
+        plain, odd = [], []
+        for x in chunks - seen.keys():
+            (plain if _PLAIN(x) else odd).append(x)
+        for new, ids in ((plain, self._ids_joined), (odd, self._ids)):
+            for i in range(0, len(new), 20_000):
+                part = new[i : i + 20_000]
+                texts = [x.replace(_STOP, ".").replace(_COMMA, ",") if x[:1] in (_STOP, _COMMA) else prefix + x for x in part] if self.byte_level else part
+                seen.update(zip(part, ids(texts), strict=True))
 
     @staticmethod
     def _apart(t: str) -> list[str]:
