@@ -36,6 +36,8 @@ FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
 TURNS, SHORT = 3, 64
 #: Ids and pairs of ids up to this number are sent to every task (at most 16 MB of longs); more are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a Python worker remembers (about 30 MB); pairs of sets that it is handed at once.
+REMEMBERED, PAIRS_AT_ONCE = 150_000, 400
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -49,7 +51,7 @@ class Shingler:
     def _word(self, w: bytes) -> int:
         h = self.words.get(w)
         if h is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > REMEMBERED:
                 self.words.clear()
             h = self.words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return h
@@ -217,7 +219,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.join(few, sets["node"] == few["a"]).select("a", "b", F.col("shingles").alias("x"))
     partners = _some(pairs.select(F.col("b").alias("node")).distinct())
     y = sets.join(partners, "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return written(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean"), "verified")
+    met = x.join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
+    # Sets of long texts are large, so that a batch of pairs must be short.
+    conf = pairs.sparkSession.conf
+    usual = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIRS_AT_ONCE)
+    try:
+        return written(met, "verified")
+    finally:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
 
 
 def _fit(percent: int, n: str, m: str):
