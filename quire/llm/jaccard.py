@@ -30,7 +30,7 @@ from .common import dropped, written
 
 #: The share of a node's shingles whose lists it may leave out, in hundredths.
 SKIP_PERCENT = 4
-#: Frequent shingles put last: at most so many, seen in so many documents of one batch.
+#: Frequent shingles put last: at most so many, seen in so many documents of one batch of BATCH_DOCS, in the same share of a smaller one and in two at least.
 FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
 #: Turns in which each node meets one leader; then lists up to SHORT are expanded, then what is left.
 TURNS, SHORT = 3, 64
@@ -92,7 +92,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
             for i in range(0, b.num_rows, BATCH_DOCS):
                 sets = {_signature(s): s for s in (shingle(t.as_py()) for t in b.column("text").slice(i, BATCH_DOCS))}
                 h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                often = c >= BATCH_LEAST
+                often = c >= max(2, BATCH_LEAST * min(b.num_rows - i, BATCH_DOCS) // BATCH_DOCS)
                 yield pa.record_batch({"h": pa.array(h[often].view(np.int64)), "c": pa.array(c[often].astype(np.int64))})
 
     counts = written(docs.select("text").mapInArrow(rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
