@@ -6,7 +6,10 @@ copies of it in numpy on their own documents with shared noise samples; the copi
 weighted by tokens. The normaliser of every context pair is then exact and comes from one matrix
 product, exp(A R') (exp(B R') exp(bias))', so that a token's log probability is a few table lookups.
 A word of the rest class has the class's probability times its share of the class's training
-tokens; words never seen share the Good-Turing mass of the class.
+tokens. As in base_score, all words never seen are one outcome of score, with the Good-Turing mass
+of the class: score compares with base_score, but is no probability of the text. text_score is one:
+there, words never seen share that mass by their spelling, a normalised model of bytes trained on
+the distinct words, and none gets more than half of what a word seen once has.
 
 Counts are of all training documents. Words above a count that at most HEAD words reach are sent to
 every task; occurrences of the others meet their counts in a shuffle join on the word, where no
@@ -35,6 +38,7 @@ from .common import crc_mod, written
 END = b"\n"
 CLASSES, DIM, NOISE, BATCH = 1024, 20, 64, 8192
 HEAD = 1 << 17
+LOG_2 = float(np.log10(2))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -80,6 +84,63 @@ def head_words(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= low).collect()), key=lambda x: (-x[1], x[0]))
 
 
+def _bytes(words: list[bytes]) -> np.ndarray:
+    """The bytes of all words, each word between ends; an end is 256."""
+    x = np.frombuffer(END + END.join(words) + END, np.uint8).astype(np.int64)
+    x[x == END[0]] = 256
+    return x
+
+
+class Spelling:
+    """p(byte | the two before), interpolated with p(byte | the one before) and p(byte) in proportion to how often a context was seen; 256 begins and ends a word."""
+
+    def __init__(self, triples: np.ndarray, n: np.ndarray):
+        a, b, c = triples // 257**2, triples // 257 % 257, triples % 257
+        one = np.bincount(c, n, 257) + 1.0
+        two = np.bincount(b * 257 + c, n, 257**2).reshape(257, 257)
+        two = (two + 20 * one / one.sum()) / (two.sum(1, keepdims=True) + 20)
+        context, at = np.unique(a * 257 + b, return_inverse=True)
+        seen = np.bincount(at, n, len(context))
+        back = np.ones(257**2)
+        back[context] = 20 / (seen + 20)
+        by = np.argsort(triples)
+        self.triples, self.back, self.two = triples[by], back, two
+        self.own = (n / (seen[at] + 20))[by]
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Spelling:
+        """Trained on every distinct word once: the forms that new words resemble."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n: Counter = Counter()
+            for b in batches:
+                if words := [w for w in b.column("word").to_pylist() if w != END]:
+                    k, m = np.unique(cls._triples(words)[0], return_counts=True)
+                    n.update(dict(zip(k.tolist(), m.tolist(), strict=True)))
+            yield pa.record_batch({"k": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
+
+        got = counts.select("word").mapInArrow(rows, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        return cls(np.array(got["k"], np.int64), np.array(got["n"], float))
+
+    @staticmethod
+    def _triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The triples of all words, and where each word begins."""
+        x = _bytes(words)
+        a, b, c = np.append(256, x[:-2]), x[:-1], x[1:]
+        a = np.where(b == 256, 256, a)
+        starts = np.flatnonzero(b == 256)
+        return (a * 257 + b) * 257 + c, starts
+
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """Of each word, which isn't empty, the log10 of its probability among all strings of bytes."""
+        if not words:
+            return np.zeros(0)
+        k, starts = self._triples(words)
+        at = np.minimum(np.searchsorted(self.triples, k), max(len(self.triples) - 1, 0))
+        own = np.where(self.triples[at] == k, self.own[at], 0.0) if len(self.triples) else 0.0
+        return np.add.reduceat(np.log10(own + self.back[k // 257] * self.two.ravel()[k % 257**2]), starts)
+
+
 @dataclass
 class Vocabulary:
     head: list[tuple[bytes, int]]
@@ -223,12 +284,13 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score, text_score."""
     counts = written(count_words(training), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("s")).first()
     vocab = Vocabulary(head_words(counts), total["n"] or 0, total["v"], total["s"])
     p = train(training, vocab)
     floor = float(np.log10(vocab.n + vocab.v + 1))
+    spelling = Spelling.of(counts)
     log_rest, log_unseen = float(np.log10((1 - vocab.unseen) / max(vocab.n_rest, 1))), float(np.log10(vocab.unseen))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +317,16 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                             out.append((r, d, t, k, 0, 0.0, 0.0))
                     # A key that is no word and that no two rows share.
                     out.append((r, d, END + struct.pack("<q", r), known, known, bs, s))
-                cols = list(zip(*out, strict=True))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["row", "doc_id", "word", "n", "known", "base", "score"])
+                cols = [list(c) for c in zip(*out, strict=True)]
+                # The spelling of the words that no task knows counts where the join finds them unseen.
+                tail = [k for k, t in enumerate(cols[2]) if not t.startswith(END)]
+                spelled = np.zeros(len(out))
+                spelled[tail] = spelling.log10([cols[2][k] for k in tail])
+                cols.append(spelled)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["row", "doc_id", "word", "n", "known", "base", "score", "spelled"])
 
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = text.mapInArrow(rows, "row long, doc_id long, word binary, n long, known long, base double, score double")
+    parts = text.mapInArrow(rows, "row long, doc_id long, word binary, n long, known long, base double, score double, spelled double")
     tail = parts.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     own = F.length("word") > 0
     is_word = own & (F.substring(F.col("word"), 1, 1) != F.lit(END).cast("binary"))
@@ -271,9 +338,11 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         F.when(is_word, F.when(c.isNotNull(), F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("known"),
         F.when(is_word, F.col("n") * (F.log10(F.coalesce(c, F.lit(0)) + 1.0) - F.lit(floor))).otherwise(F.col("base")).alias("base"),
         F.when(is_word, F.col("n") * F.when(c.isNotNull(), F.lit(log_rest) + F.log10(c.cast("double"))).otherwise(F.lit(log_unseen))).otherwise(F.col("score")).alias("score"),
+        # What a word adds beyond its part of score.
+        F.when(is_word & c.isNull(), F.col("n") * (F.least(F.lit(log_unseen) + F.col("spelled"), F.lit(log_rest - LOG_2)) - F.lit(log_unseen))).otherwise(0.0).alias("more"),
     )
-    out = tail.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = tail.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("more").alias("more"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") + F.col("more")).alias("text_score"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -56,7 +56,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = lm.held_out(F.col("doc_id"))
     out = lm.score(docs, docs.where(~held))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "text_score")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,31 @@ def test_lm_edges(spark, edge, none):
     assert lm.score(edge, none).agg(F.sum("base_score")).first()[0] == 0
 
 
+def test_spelling_is_normalised():
+    ws = [b"aba", b"abba", "été".encode(), b"cab"]
+    k, n = np.unique(lm.Spelling._triples(ws)[0], return_counts=True)
+    m = lm.Spelling(k, n.astype(float))
+    for before in (b"", b"a", b"ab", b"zz"):
+        # The words that begin so, split by the next byte, have what all that begin so have.
+        p = 10 ** m.log10([before + bytes([x]) for x in range(256) if x != 10])
+        ends = 10 ** m.log10([before + bytes([x]) + b"a" for x in range(256) if x != 10])
+        assert p.sum() + ends.sum() < 1
+    for a, b in ((256, 256), (256, 97), (97, 98), (122, 122)):
+        t = (a * 257 + b) * 257 + np.arange(257)
+        at = np.minimum(np.searchsorted(m.triples, t), len(m.triples) - 1)
+        own = np.where(m.triples[at] == t, m.own[at], 0.0)
+        assert np.isclose((own + m.back[t // 257] * m.two.ravel()[t % 257**2]).sum(), 1)
+
+
+def test_lm_unseen_words_share_their_mass(spark):
+    texts = ["the cat sat", "the dog sat", "the cow ran"] * 3 + [" ".join(f"w{i}" for i in range(1500))]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = ["w1499", "zzqx", "zzqxzzqx", "q", "é"]
+    got = {r["doc_id"]: r["text_score"] for r in lm.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), training).collect()}
+    # Each is one word of the rest class; only the first was seen, once.
+    assert all(got[i] < got[0] for i in range(1, 5)) and got[2] < got[1]
+
+
 # ---- 3: BPE
 
 
