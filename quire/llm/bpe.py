@@ -162,8 +162,9 @@ def _runs(pattern: str):
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 t = text.as_py() or ""
                 found = find(t)
-                for w in set(found) - index.keys():
-                    index[w] = len(index)
+                for w in set(found):
+                    if w not in index:
+                        index[w] = len(index)
                 places.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 ids.append(d)
                 sizes.append(len(found))
