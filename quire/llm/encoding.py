@@ -73,9 +73,8 @@ class ChunkEncoder:
         if len(seen) > REMEMBERED:
             seen.clear()
         plain, odd = [], []
-        for x in chunks:
-            if x not in seen:
-                (plain if _PLAIN(x) else odd).append(x)
+        for x in chunks.difference(seen):  # a dict and not its keys: then only chunks is walked
+            (plain if _PLAIN(x) else odd).append(x)
         for new, ids in ((plain, self._ids_joined), (odd, self._ids)):
             for i in range(0, len(new), 20_000):
                 part = new[i : i + 20_000]

@@ -1,7 +1,7 @@
 """Token ids on disk under Re-Pair grammar compression.
 
 Documents are range-partitioned by id, encoded, and cut into blocks of bounded size. In each block
-the frequent pairs of adjacent ids become nonterminals, again and again; a block stores its rules,
+the frequent pairs of adjacent ids become nonterminals, until none is left or the symbols are used up; a block stores its rules,
 the expansion length of every rule, the compressed symbols, and where each document begins. Any
 document can be decoded alone: running sums of expansion lengths tell which symbols cover it.
 
@@ -30,59 +30,68 @@ from .encoding import encoder
 
 #: A block is closed when it holds so many ids; one document is never cut.
 BLOCK_IDS = 1 << 20
-#: Rounds of replacement; pairs replaced per round; occurrences that a pair needs.
-ROUNDS, PAIRS, LEAST = 8, 1500, 8
+#: Pairs replaced per round (more wait for the next one); occurrences that a pair needs to pay for its rule.
+PAIRS, LEAST = 3000, 8
 END_ID = 1
 MAGIC = b"RPG1"
 
 
+def _frequent(code: np.ndarray, most: int) -> np.ndarray:
+    """Sorted pairs that occur LEAST times; the most frequent ones where they are more than ``most``."""
+    own = np.sort(code)
+    far = own[LEAST - 1 :]  # equal to what lies LEAST - 1 places before
+    far = far[far == own[: len(far)]]
+    edge = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(far) else np.zeros(0, np.int64)
+    often = far[edge]
+    if len(often) > most:
+        often = often[np.argsort(-np.diff(np.append(edge, len(far))), kind="stable")[:most]]
+    return np.sort(often)
+
+
+def _occurrences(seq: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen pairs stand, and which of them; of occurrences that overlap every other one."""
+    lefts, rights = np.unique(chosen >> 16), np.unique(chosen & 0xFFFF)
+    left, right = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+    left[lefts], right[rights] = (1 + np.arange(len(lefts))) * (len(rights) + 1), 1 + np.arange(len(rights))
+    table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.int16)
+    table[left[chosen >> 16] + right[chosen & 0xFFFF]] = 1 + np.arange(len(chosen))
+    which = table[left[seq[:-1]] + right[seq[1:]]]
+    at = np.flatnonzero(which)
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+    take = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+    return at[take], which[at[take]] - 1
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules as pairs, expansion lengths, symbols) of ids below base. Nonterminal base + i stands for rules[i]; all symbols fit 16 bits."""
+    """(rules as pairs, expansion lengths, symbols) of ids below base, until no pair occurs LEAST times or 16 bits are full.
+
+    Nonterminal base + i stands for rules[i]. Each round replaces up to PAIRS pairs and shortens the sequence.
+    """
     seq, room = ids.astype(np.uint16), (1 << 16) - base
     rules: list[np.ndarray] = []
     lengths = np.ones(1 << 16, np.uint32)
     n = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or n >= room:
+    while len(seq) >= LEAST and n < room:
+        chosen = _frequent(seq[:-1].astype(np.uint32) << 16 | seq[1:], min(PAIRS, room - n))
+        if not len(chosen):
             break
-        code = seq[:-1].astype(np.uint32) << 16 | seq[1:]
-        own = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        count, own = np.diff(np.append(edge, len(code))), own[edge]
-        k = min(PAIRS, room - n)
-        often = np.flatnonzero(count >= LEAST)
-        if len(often) > k:
-            often = often[np.argsort(-count[often], kind="stable")[:k]]
-        if not len(often):
-            break
-        chosen = np.sort(own[often])
-        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        which = np.searchsorted(chosen, code[at])
-        hit = chosen[np.minimum(which, len(chosen) - 1)] == code[at]
-        at, which = at[hit], which[hit]
-        # Overlapping occurrences: of each run of adjacent places take every other one.
-        first = np.concatenate([[True], np.diff(at) != 1])
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begin) % 2 == 0
-        at, which = at[take], which[take]
-        used, name = np.unique(which, return_inverse=True)
-        seq = seq.copy()
-        seq[at] = (base + n + name).astype(np.uint16)
+        at, which = _occurrences(seq, chosen)
+        used = np.zeros(len(chosen), bool)
+        used[which] = True
+        seq[at] = (base + n - 1 + np.cumsum(used)[which]).astype(np.uint16)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         new = np.stack([chosen[used] >> 16, chosen[used] & 0xFFFF], axis=1).astype(np.uint16)
-        lengths[base + n : base + n + len(used)] = lengths[new[:, 0]] + lengths[new[:, 1]]
+        lengths[base + n : base + n + len(new)] = lengths[new[:, 0]] + lengths[new[:, 1]]
         rules.append(new)
-        n += len(used)
+        n += len(new)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
     return pairs, lengths[base : base + n], seq
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for, level by level: for a few symbols of one document."""
     seq = symbols
     while len(at := np.flatnonzero(seq >= base)):
         size = np.ones(len(seq), np.int64)
@@ -94,6 +103,14 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The same for a whole block: each rule is expanded once."""
+    parts = [struct.pack("<H", i) for i in range(base)]
+    for a, b in rules.tolist():
+        parts.append(parts[a] + parts[b])
+    return np.frombuffer(b"".join(map(parts.__getitem__, symbols.tolist())), "<u2")
+
+
 def pack_block(doc_ids: list[int | None], ids: list[bytes], base: int) -> bytes:
     sizes = np.array([len(x) // 2 for x in ids], np.int64)
     rules, lengths, symbols = compress(np.frombuffer(b"".join(ids), "<u2"), base)
@@ -128,7 +145,7 @@ class Block:
         self.n_ids = int(self.ends[-1]) if n_symbols else 0
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        return expand_all(self.symbols, self.rules, self.base)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, expanding only the symbols that cover it."""
