@@ -1,8 +1,10 @@
 """Packing documents into training windows by lexical retrieval.
 
-Texts are encoded once and written. Documents are dealt into shards of about SHARD documents; each
-shard holds a BM25 inverted index over token ids, with document frequencies of the whole corpus. A
-document longer than a window fills windows of its own; what remains of it is a seed or a neighbour.
+Texts are encoded once and written. Documents are sorted by their weightiest terms: first the
+weightiest of those that a shard's worth of documents hold, then of rarer and rarer ones. Shards of
+up to SHARD documents are cut from that order, so that documents that share terms meet at any size
+of the corpus, and a term of very many documents is split by the next ones. Each shard holds a BM25
+inverted index over token ids, with document frequencies of the whole corpus. A document longer than a window fills windows of its own; what remains of it is a seed or a neighbour.
 A seed's best unused neighbours fill its window greedily, the last one being cut where the window
 ends; what is left of that one stays unused. The last, partly filled window of a shard is cut into
 sequences of powers of two, so nothing is padded.
@@ -23,12 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 from .encoding import encoder
 
-WINDOW, SHARD, END_ID = 1024, 1000, 0
-#: BM25's constants, and the number of a seed's weightiest terms that are looked up.
-K1, B, QUERY_TERMS = 1.2, 0.75, 12
+WINDOW, END_ID = 1024, 0
+#: A shard is closed at so many documents or ids.
+SHARD, SHARD_IDS = 512, 1 << 22
+#: Sort keys: the weightiest term among those that so many documents hold.
+LEVELS = (SHARD // 2, SHARD // 16, 2)
+#: Bytes of ids a partition holds, about.
+PARTITION_BYTES = 32 << 20
+#: BM25's constants.
+K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -81,24 +89,16 @@ class Index:
         by = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[by], weight[by]
         own, first, count = np.unique(term[by], return_index=True, return_counts=True)
-        self.list = np.zeros((1 << 16, 2), np.int64)
-        self.list[own] = np.stack([first, first + count], 1)
-        # A seed's query: its weightiest terms that another document of the shard holds.
-        shared = np.zeros(1 << 16, bool)
-        shared[own[count > 1]] = True
-        self.query, at = [], 0
-        for t, _ in held:
-            w = np.where(shared[t], weight[at : at + len(t)], 0.0)
-            at += len(t)
-            top = np.argsort(-w, kind="stable")[:QUERY_TERMS] if len(t) > QUERY_TERMS else np.argsort(-w, kind="stable")
-            self.query.append(t[top[w[top] > 0]])
+        # A seed looks up all its terms that another document of the shard holds.
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start[own], self.size[own] = first, np.where(count > 1, count, 0)
+        self.terms = [t[self.size[t] > 0] for t, _ in held]
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n)
-        for t in self.query[seed]:
-            a, b = self.list[t]
-            out[self.doc[a:b]] += self.weight[a:b]
-        return out
+        start, size = self.start[self.terms[seed]], self.size[self.terms[seed]]
+        # The places of all lists, one after the other.
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def fill(sizes: list[int], index: Index) -> list[list[tuple[int, int, int]]]:
@@ -144,6 +144,27 @@ def fill(sizes: list[int], index: Index) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def content_keys(encoded: DataFrame, df: np.ndarray, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """encoded with k0, k1, ...: by level the weightiest of a document's terms, ties to the smaller id, -1 without one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [np.where(df >= least, idf, 0).astype(np.float32) for least in LEVELS]
+        for b in batches:
+            keys: list[list[int]] = [[] for _ in LEVELS]
+            for x in b.column("ids"):
+                ids = np.frombuffer(x.as_buffer(), "<u2")
+                t, tf = np.unique(ids, return_counts=True)
+                share = tf / (tf + K1 * (1 - B + B * len(ids) / mean_length))
+                for k, w in zip(keys, weights, strict=True):
+                    own = w[t] * share
+                    best = int(own.argmax())
+                    k.append(int(t[best]) if own[best] > 0 else -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k, pa.int32()) for k in keys)], names=[*b.schema.names, *(f"k{i}" for i in range(len(keys)))])
+
+    kept = encoded.select("row", "doc_id", "ids")
+    return kept.mapInArrow(rows, "row long, doc_id long, ids binary, " + ", ".join(f"k{i} int" for i in range(len(LEVELS))))
+
+
 def pack(encoded: DataFrame) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     total = encoded.agg(F.count("*").alias("n"), F.sum("n_ids").alias("ids")).first()
@@ -151,30 +172,38 @@ def pack(encoded: DataFrame) -> DataFrame:
     df = document_frequencies(encoded)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = (total["ids"] or 1) / max(n, 1)
-    shards = max(1, round(n / SHARD))
-
-    def shard_rows(shard: int, names: list, texts: list[bytes]) -> pa.RecordBatch:
-        docs = [np.frombuffer(x, "<u2") for x in texts]
-        out: list[tuple] = []
-        for k, row in enumerate(fill([len(x) for x in docs], Index(docs, idf, mean_length))):
-            at = 0
-            for d, s, length in row:
-                out.append((names[d], s, length, zlib.crc32(docs[d][s : s + length].astype("<u4").tobytes()), len(docs[d]), shard << 32 | k, at))
-                at += length
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, texts = None, [], []
+        names: list[int | None] = []
+        docs: list[np.ndarray] = []
+        held, part, sequence = 0, 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal sequence
+            out: list[tuple] = []
+            for row in fill([len(x) for x in docs], Index(docs, idf, mean_length)):
+                at = 0
+                for d, s, length in row:
+                    out.append((names[d], s, length, zlib.crc32(docs[d][s : s + length].astype("<u4").tobytes()), len(docs[d]), part << 40 | sequence, at))
+                    at += length
+                sequence += 1
+            names.clear()
+            docs.clear()
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+
         for b in batches:
-            for s, d, x in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                if s != now and names:
-                    yield shard_rows(now, names, texts)
-                    names, texts = [], []
-                now = s
+            for p, d, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                part = p
                 names.append(d)
-                texts.append(x.as_py())
-        if names:
-            yield shard_rows(now, names, texts)
-
-    dealt = encoded.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")).select("shard", "row", "doc_id", "ids")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(rows, PIECES)
+                docs.append(np.frombuffer(x.as_py(), "<u2"))
+                held += len(docs[-1])
+                if len(docs) == SHARD or held >= SHARD_IDS:
+                    yield close()
+                    held = 0
+        if docs:
+            yield close()
+
+    order = [*(f"k{i}" for i in range(len(LEVELS))), "row"]
+    parts = max(shuffle_partitions(encoded.sparkSession), -(-2 * (total["ids"] or 0) // PARTITION_BYTES))
+    dealt = content_keys(encoded, df, idf, mean_length).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(rows, PIECES)
