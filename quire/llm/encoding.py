@@ -10,6 +10,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that touches white space or an end of the text: the byte-level pattern then looks at more than one chunk.
 _SPACES = re.compile(r"\s\s")
@@ -18,7 +20,12 @@ REMEMBERED = 1_000_000
 #: Where a full stop or comma isn't a chunk of its own: beside other marks, or (byte level) after white space.
 _MARKS = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,]))")
 _MARKS_OR_SPACE = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,])|(?<=\s[.,]))")
-_STOP, _COMMA = "\x01", "\x02"
+_STOP, _COMMA, _START = "\x01", "\x02", "\x03"
+_OWN = re.compile(r"[\x01-\x03]")
+#: What begins a chunk that has no space before it: a line feed, or the start of the text.
+_FIRST = ("\n", _START)
+#: Texts are taken together up to so many characters.
+AT_ONCE = 4_000_000
 #: New chunks go to the tokenizer so many at a time as one text, with a mark between them that is an id of its own.
 JOINED = 32
 _PLAIN = re.compile(r"[^\s\x00\x1c-\x1f]+").fullmatch
@@ -48,7 +55,7 @@ class ChunkEncoder:
         self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.seen: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # at the start of a line, after a space
+        self.seen: dict[str, bytes] = {}
         self.feed = self._ids(["\n"])[0] if byte_level else b""
         # Between line feeds, or between lone NULs, the tokenizer cuts in any case.
         self.mark = "\n" if byte_level else " \x00 "
@@ -68,45 +75,75 @@ class ChunkEncoder:
             out += [joined[s:e] for s, e in zip([0, *(e + 2 for e in ends)], [*ends, len(joined)], strict=True)]
         return out
 
-    def _learn(self, k: int, chunks: set[str], prefix: str) -> None:
-        seen = self.seen[k]
-        if len(seen) > REMEMBERED:
-            seen.clear()
+    def _text(self, chunk: str) -> str:
+        """The text of a chunk, without the line feed or start of text before it."""
+        if not self.byte_level:
+            return chunk
+        if chunk[0] in _FIRST:
+            return chunk[1:]
+        return chunk.replace(_STOP, ".").replace(_COMMA, ",") if chunk[0] in (_STOP, _COMMA) else " " + chunk
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that are new to the worker."""
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
         plain, odd = [], []
-        for x in chunks.difference(seen):  # a dict and not its keys: then only chunks is walked
-            (plain if _PLAIN(x) else odd).append(x)
+        for x in chunks:
+            (plain if _PLAIN(x, 1 if x[:1] in _FIRST else 0) else odd).append(x)
         for new, ids in ((plain, self._ids_joined), (odd, self._ids)):
             for i in range(0, len(new), 20_000):
                 part = new[i : i + 20_000]
-                texts = [x.replace(_STOP, ".").replace(_COMMA, ",") if x[:1] in (_STOP, _COMMA) else prefix + x for x in part] if self.byte_level else part
-                seen.update(zip(part, ids(texts), strict=True))
+                self.seen.update(zip(part, ids([self._text(x) for x in part]), strict=True))
+        if self.byte_level:
+            self.seen.update((x, self.feed + self.seen[x]) for new in (plain, odd) for x in new if x[0] == "\n")
 
     @staticmethod
-    def _apart(t: str) -> list[str]:
+    def _apart(t: str) -> str:
         if not _MARKS.search(t):
             t = t.replace(".", " . ").replace(",", " , ")
-        return t.replace("\n", " ").split(" ")
+        return t.replace("\n", " ")
 
     @staticmethod
     def _marked(t: str) -> str:
-        return t if t[0] in ".," or _MARKS_OR_SPACE.search(t) else t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
+        if t[0] not in ".," and not _MARKS_OR_SPACE.search(t):
+            t = t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
+        return _START + t.replace("\n", " \n")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.byte_level:
-            parts = [self._apart(t or "") for t in texts]
-            self._learn(1, set().union(*parts), "")
-            get = self.seen[1].__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        rows = [None if not t else t if t[0].isspace() or t[-1].isspace() or _SPACES.search(t) or _STOP in t or _COMMA in t else [x.split(" ") for x in self._marked(t).split("\n")] for t in texts]
-        self._learn(0, {x[0] for r in rows if isinstance(r, list) for x in r}, "")
-        self._learn(1, {y for r in rows if isinstance(r, list) for x in r for y in x[1:]}, " ")
-        first, rest = self.seen[0].__getitem__, self.seen[1].__getitem__
-        out = []
-        for r in rows:
-            if r is None:
-                out.append(b"")
-            elif isinstance(r, str):
-                out.append(self._ids([r])[0])
-            else:
-                out.append(self.feed.join(first(x[0]) + b"".join(map(rest, x[1:])) for x in r))
+        """The ids of each text."""
+        out, a, chars = [], 0, 0
+        for b, t in enumerate(texts, 1):
+            chars += len(t or "")
+            if chars >= AT_ONCE or b == len(texts):
+                out += self._encode(texts[a:b])
+                a, chars = b, 0
         return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.byte_level:
+            return self._chunked([self._apart(t or "") for t in texts])
+        whole = [bool(t) and (t[0].isspace() or t[-1].isspace() or _SPACES.search(t) is not None or _OWN.search(t) is not None) for t in texts]
+        rest = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
+        cut = iter(self._chunked([self._marked(t) for t, w in zip(texts, whole, strict=True) if t and not w]))
+        return [b"" if not t else next(rest) if w else next(cut) for t, w in zip(texts, whole, strict=True)]
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        """Chunks lie between spaces: distinct ones are found by Arrow, and ids are laid out by places among them."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        found = lists.values.dictionary_encode()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.seen.get, chunks))
+        if new := [x for x, ids in zip(chunks, codes, strict=True) if ids is None]:
+            self._learn(new)
+            codes = [ids if ids is not None else self.seen[x] for x, ids in zip(chunks, codes, strict=True)]
+        flat = np.frombuffer(b"".join(codes), "<u2")
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
+        start = np.cumsum(size) - size
+        which = found.indices.to_numpy()
+        n = size[which]
+        end = np.cumsum(n)
+        raw = flat[np.repeat(start[which] - (end - n), n) + np.arange(end[-1])].tobytes()
+        at = np.append(0, 2 * end)[lists.offsets.to_numpy()].tolist()
+        return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]

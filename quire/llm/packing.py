@@ -34,7 +34,7 @@ SHARD, SHARD_IDS = 512, 1 << 22
 #: Sort keys: the weightiest term among those that so many documents hold.
 LEVELS = (SHARD // 2, SHARD // 16, 2)
 #: Bytes of ids a partition holds, about.
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 8 << 20
 #: BM25's constants.
 K1, B = 1.2, 0.75
 
@@ -47,8 +47,8 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, byte_level=True), struct.pack("<H", END_ID)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
                 ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "row": part.column("row"), "n_ids": pa.array([len(x) // 2 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 

@@ -48,34 +48,49 @@ def _frequent(code: np.ndarray, most: int) -> np.ndarray:
     return np.sort(often)
 
 
-def _occurrences(seq: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the chosen pairs stand, and which of them; of occurrences that overlap every other one."""
+def _hashed(code: np.ndarray) -> np.ndarray:
+    return (code * 0x9E3779B1 >> 14) & 0x3FFFF
+
+
+def _occurrences(code: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places (sorted; code is the pair at each) hold a chosen pair, and which one; of occurrences that overlap every other one."""
     lefts, rights = np.unique(chosen >> 16), np.unique(chosen & 0xFFFF)
-    left, right = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+    left, right = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     left[lefts], right[rights] = (1 + np.arange(len(lefts))) * (len(rights) + 1), 1 + np.arange(len(rights))
     table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.int16)
     table[left[chosen >> 16] + right[chosen & 0xFFFF]] = 1 + np.arange(len(chosen))
-    which = table[left[seq[:-1]] + right[seq[1:]]]
-    at = np.flatnonzero(which)
+    # A small table of hashed pairs, which stays in the cache, passes few places on to the exact one.
+    maybe = np.zeros(1 << 18, bool)
+    maybe[_hashed(chosen)] = True
+    near = np.flatnonzero(maybe.take(_hashed(code)))
+    code, places = code[near], places[near]
+    which = table.take(left.take(code >> 16) + right.take(code & 0xFFFF))
+    hit = np.flatnonzero(which)
+    at, which = places[hit], which[hit] - 1
     begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
     take = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
-    return at[take], which[at[take]] - 1
+    return at[take], which[take]
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs, expansion lengths, symbols) of ids below base, until no pair occurs LEAST times or 16 bits are full.
 
-    Nonterminal base + i stands for rules[i]. Each round replaces up to PAIRS pairs and shortens the sequence.
+    Nonterminal base + i stands for rules[i]. Each round replaces up to PAIRS pairs and shortens the
+    sequence. No occurrence of a replaced pair stays, so that only pairs with a new symbol can have
+    become frequent: if the last round took all frequent pairs, the next one counts only beside its symbols.
     """
     seq, room = ids.astype(np.uint16), (1 << 16) - base
     rules: list[np.ndarray] = []
     lengths = np.ones(1 << 16, np.uint32)
     n = 0
-    while len(seq) >= LEAST and n < room:
-        chosen = _frequent(seq[:-1].astype(np.uint32) << 16 | seq[1:], min(PAIRS, room - n))
+    places = np.arange(max(len(seq) - 1, 0))
+    while n < room:
+        code = seq[places].astype(np.int64) << 16 | seq[places + 1]
+        most = min(PAIRS, room - n)
+        chosen = _frequent(code.astype(np.uint32), most).astype(np.int64)
         if not len(chosen):
             break
-        at, which = _occurrences(seq, chosen)
+        at, which = _occurrences(code, places, chosen)
         used = np.zeros(len(chosen), bool)
         used[which] = True
         seq[at] = (base + n - 1 + np.cumsum(used)[which]).astype(np.uint16)
@@ -86,6 +101,12 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         lengths[base + n : base + n + len(new)] = lengths[new[:, 0]] + lengths[new[:, 1]]
         rules.append(new)
         n += len(new)
+        places = np.arange(len(seq) - 1)
+        if len(chosen) < most:
+            moved = at - np.arange(len(at))
+            beside = np.zeros(len(seq) + 1, bool)
+            beside[moved], beside[moved - 1] = True, True  # the last place stands for "before the first"
+            places = places[beside[: len(seq) - 1]]
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
     return pairs, lengths[base : base + n], seq
 
@@ -105,10 +126,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 def expand_all(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The same for a whole block: each rule is expanded once."""
-    parts = [struct.pack("<H", i) for i in range(base)]
-    for a, b in rules.tolist():
-        parts.append(parts[a] + parts[b])
-    return np.frombuffer(b"".join(map(parts.__getitem__, symbols.tolist())), "<u2")
+    names = sorted({*symbols[symbols < base].tolist(), *rules[rules < base].tolist()})
+    parts = {i: struct.pack("<H", i) for i in names}
+    for i, (a, b) in enumerate(rules.tolist(), base):
+        parts[i] = parts[a] + parts[b]
+    flat = np.frombuffer(b"".join(parts.values()), "<u2")
+    start, size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    known = np.fromiter(parts, np.int64, len(parts))
+    size[known] = np.fromiter(map(len, parts.values()), np.int64, len(parts)) // 2
+    start[known] = np.cumsum(size[known]) - size[known]
+    n = size[symbols]
+    end = np.cumsum(n)
+    return flat[np.repeat(start[symbols] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
 
 def pack_block(doc_ids: list[int | None], ids: list[bytes], base: int) -> bytes:
@@ -175,8 +204,8 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
 
         for b in batches:
             ids, texts, parts = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("shard").to_pylist()
-            for i in range(0, len(ids), 500):
-                for d, x, p in zip(ids[i : i + 500], enc.encode(texts[i : i + 500]), parts[i : i + 500], strict=True):
+            for i in range(0, len(ids), 2000):
+                for d, x, p in zip(ids[i : i + 2000], enc.encode(texts[i : i + 2000]), parts[i : i + 2000], strict=True):
                     shard = p
                     names.append(d)
                     held.append(x + end)
