@@ -72,3 +72,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -86,8 +86,8 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     """With a tiny space of surrogates, distinct values still get distinct ones."""
     small = pii.surrogate
 
-    def crowded(kind, value, attempt, key):
-        return F.when(attempt < 2, F.concat(F.lit("s"), F.pmod(F.crc32(value.cast("binary")), F.lit(3)).cast("string"))).otherwise(small(kind, value, attempt, key))
+    def crowded(u):
+        return F.when(u["attempt"] < 2, F.concat(F.lit("s"), F.pmod(F.crc32(u["value"].cast("binary")), F.lit(3)).cast("string"))).otherwise(small(u))
 
     monkeypatch.setattr(pii, "surrogate", crowded)
     text = " and ".join(f"u{i}@mail{i}.org" for i in range(20))
@@ -96,6 +96,47 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(got)) == 20 and out[1]["text"] == out[0]["text"] and out[2]["text"] is None and out[3]["text"] == "plain"
 
 
+def pii_of(spark, *texts, key="key"):
+    return [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).orderBy("doc_id").collect()]
+
+
+def test_pii_persons(spark):
+    (t,) = pii_of(spark, "Mr. John Q. Smith met Dr. John Smith. Later Smith and SMITH saw John; Mrs. van Berg, MR. SMITH and Dr. J. Smith left Smithfield and Bergen.")
+    got = re.fullmatch(r"Mr\. (\w+) (\w)\. (\w+) met Dr\. (\w+) (\w+)\. Later (\w+) and (\w+) saw (\w+); Mrs\. van (\w+), MR\. (\w+) and Dr\. (\w)\. (\w+) left Smithfield and Bergen\.", t)
+    john, q, smith, john2, *rest = got.groups()
+    assert john == john2 == rest[3] and q != "Q" and rest[6] != "J" and rest[4] not in ("Berg", smith)
+    assert {rest[0], rest[1], rest[2], rest[5], rest[7]} == {smith, smith.upper()}
+
+
+def test_pii_check_digits(spark):
+    def mod97(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    wrong = "DE88370400440532013000 4111111111111112 2024 10 12 1234 5678 9012"
+    a, b, c, d = pii_of(spark, "DE89370400440532013000", wrong, "fe80::1ff:fe23:4567:890a and 2001:DB8:0:0:8:800:200C:417A", "+491701234567 and 06 12 34 56 78 and 030 1234567")
+    assert re.fullmatch(r"DE\d{20}", a) and a != "DE89370400440532013000" and mod97(a) == 1 and b == wrong
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4} and [0-9A-F]{4}(:[0-9A-F]{1,4}){7}", c) and "fe80" not in c and "2001" not in c
+    assert re.fullmatch(r"\+\d{12} and \d\d \d\d \d\d \d\d \d\d and \d{3} \d{7}", d) and not re.search("1701234567|12 34 56|1234567", d)
+
+
+def test_pii_distinct_and_coreferent(spark):
+    """Over many documents: one surrogate per unit, and no two units with one surrogate."""
+    mails = [f"{a}{i}@x{i % 7}.org" for i in range(300) for a in ("p", "q")]
+    texts = [" ".join(mails[i : i + 40]) for i in range(0, 600, 20)]
+    seen = defaultdict(set)
+    for before, after in zip(texts, pii_of(spark, *texts), strict=True):
+        for x, y in zip(before.split(), after.split(), strict=True):
+            seen[x].add(y)
+    assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == 600
+
+
+def test_pii_keeps_columns(spark):
+    names = ["known", "sha", "hits", "new", "persons", "pattern", "ms", "found", "u", "Text_"]
+    docs = spark.createDataFrame([(1, "Mr. John Smith", *names)], ["doc_id", "text", *names])
+    out = pii.replace(docs, "key")
+    assert out.columns == docs.columns and list(out.drop("doc_id", "text").first()) == names
+
+
 def test_pii_edges(spark, edge, none):
     out = pii.replace(edge, "key", count="n")
     assert out.columns == [*edge.columns, "n"] and sorted(map(str, out.drop("n").collect())) == sorted(map(str, edge.collect()))
