@@ -3,13 +3,15 @@
 Documents with the same set of shingles become one node. A node's shingles stand in one order that
 all nodes share, the corpus's most frequent ones last. Two nodes that overlap enough share, within
 the prefixes of n - T + 1 + L shingles, more than the L longest inverted lists that a node leaves
-out (DivideSkip): so the short lists alone name every candidate, and the sets of the candidates,
-long lists included, are then probed for the exact overlap.
+out: so the short lists alone name every candidate.
 
-Lists aren't expanded into pairs. Each node meets the leader of one of its lists; links are merged
-into components; lists that still hold several components go on with other leaders. What is mixed
-after a few turns, which copies no longer are, is expanded, short lists first. A pair within one
-component needs no link of its own.
+Lists aren't expanded into pairs. In a few turns each node meets the leader of one of its lists,
+first the one most of whose shingles are shared, which in a group of near copies is the text they
+were made from. Links are merged into components, and most lists then hold one component only. The
+nodes of every list that still holds several are searched together, whatever their number (long
+lists in blocks): DivideSkip merges the short lists of a node, keeps those with T - L hits or more,
+and probes the L longest lists by binary search for them. The sums are exact overlaps. Only what
+joins two components leaves a task. A pair within one component needs no link of its own.
 
 Defined results: null and empty texts and texts without words have no shingles and link with
 nothing; up to k - 1 words are one shingle; repeated rows share a node; the component of rows whose
@@ -23,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,42 +36,56 @@ from .common import dropped, written
 SKIP_PERCENT = 4
 #: Frequent shingles put last: at most so many, seen in so many documents of one batch of BATCH_DOCS, in the same share of a smaller one and in two at least.
 FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
-#: Turns in which each node meets one leader; then lists up to SHORT are expanded, then what is left.
-TURNS, SHORT = 3, 64
+#: Turns in which each node meets one leader, before the search finds all that is left.
+TURNS = 2
+#: Shingles of a block of a list, about; and what a probe costs against a step of merging, for DivideSkip's choice of L.
+BLOCK_SHINGLES, PROBE_COST = 1 << 21, 0.1
 #: Ids and pairs of ids up to this number are sent to every task (at most 16 MB of longs); more are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Words whose hashes a Python worker remembers (about 30 MB); pairs of sets that it is handed at once.
-REMEMBERED, PAIRS_AT_ONCE = 150_000, 400
+#: Rows, and bytes of text, that are cut into shingles at once; pairs of sets that a task is handed at once.
+ROWS_AT_ONCE, CHARS_AT_ONCE, PAIRS_AT_ONCE = 2000, 4_000_000, 400
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class Shingler:
-    """text -> sorted 64-bit hashes of its distinct k-word shingles."""
+    """texts -> of each the sorted 64-bit hashes of its distinct k-word shingles."""
 
     def __init__(self, k: int):
-        self.k, self.words = k, {}
-
-    def _word(self, w: bytes) -> int:
-        h = self.words.get(w)
-        if h is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            h = self.words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return h
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        ws = (text or "").encode().lower().split()
-        if not ws:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self._word, ws), np.uint64, len(ws))
-        if len(ws) < self.k:
-            return np.frombuffer(hashlib.blake2b(b" ".join(ws), digest_size=8, key=b"short").digest(), np.uint64)
-        out = np.full(len(ws) - self.k + 1, np.uint64(0x27220A95FE8D4B0F))
+        self.k = k
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        words = lists.values.dictionary_encode()
+        which, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+        real = names[which] != "" if "" in names else np.ones(len(which), bool)  # white space at an end gives an empty word
+        h = hash_array(names, categorize=False)[which[real]] if len(names) else np.zeros(0, np.uint64)
+        end = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()].tolist()
+        mixed = np.full(max(len(h) - self.k + 1, 0), np.uint64(0x27220A95FE8D4B0F))
         for i in range(self.k):
-            out = (out ^ h[i : len(h) - self.k + 1 + i]) * _ODD[i % 4]
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+            mixed = (mixed ^ h[i : len(h) - self.k + 1 + i]) * _ODD[i % 4]
+            mixed ^= mixed >> np.uint64(29)
+        out = []
+        for x, y in zip(end, end[1:], strict=False):
+            if y - x >= self.k:
+                s = np.sort(mixed[x : y - self.k + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            elif y > x:
+                out.append(np.frombuffer(hashlib.blake2b(h[x:y].tobytes(), digest_size=8, key=b"short").digest(), np.uint64))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        return out
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with up to ROWS_AT_ONCE rows and about CHARS_AT_ONCE bytes of text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    a = total = 0
+    for b, n in enumerate(size.tolist(), 1):
+        total += n
+        if b - a == ROWS_AT_ONCE or total >= CHARS_AT_ONCE or b == len(size):
+            yield a, b
+            a, total = b, 0
 
 
 def needed(n: int, percent: int) -> int:
@@ -89,8 +107,10 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
+            texts = b.column("text")
             for i in range(0, b.num_rows, BATCH_DOCS):
-                sets = {_signature(s): s for s in (shingle(t.as_py()) for t in b.column("text").slice(i, BATCH_DOCS))}
+                part = texts.slice(i, BATCH_DOCS)
+                sets = {_signature(s): s for x, y in _slices(part) for s in shingle(part.slice(x, y - x))}
                 h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 often = c >= max(2, BATCH_LEAST * min(b.num_rows - i, BATCH_DOCS) // BATCH_DOCS)
                 yield pa.record_batch({"h": pa.array(h[often].view(np.int64)), "c": pa.array(c[often].astype(np.int64))})
@@ -114,10 +134,9 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         shingle, last = Shingler(k), frequent.value
         for b in batches:
             ids, at, texts = b.column("doc_id"), b.column("row"), b.column("text")
-            for i in range(0, b.num_rows, 1000):
+            for i, j in _slices(texts):
                 out: list[tuple] = []
-                for t in texts.slice(i, 1000):
-                    s = shingle(t.as_py())
+                for s in shingle(texts.slice(i, j - i)):
                     n = len(s)
                     p = s
                     if n and len(last):
@@ -126,7 +145,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     p = p[: min(n, n - needed(n, percent) + 1 + skipped(n, percent))] if n else p
                     out.append((n, _signature(s), p.view(np.int64)))
                 n, sig, p = zip(*out, strict=True)
-                yield pa.record_batch({"row": at.slice(i, 1000), "doc_id": ids.slice(i, 1000), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
+                yield pa.record_batch({"row": at.slice(i, j - i), "doc_id": ids.slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
 
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(text.mapInArrow(rows, "row long, doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
@@ -163,15 +182,17 @@ def _some(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _lists(s: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The written inverted lists that name candidates: h, node, n, df, kept (false where the node leaves the list out)."""
+    """The written inverted lists that name candidates: h, node, n, share, kept (false where the node leaves the list out)."""
     own = s.where("n > 0").join(_some(nodes.select("node")), s["row"] == F.col("node"), "left_semi")
-    post = own.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"))
+    post = own.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.size("prefix").alias("p"))
     length = post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     held = post.join(length, "h")
     longest = F.row_number().over(_window("node", F.col("df").desc(), "h"))
     a = F.ceil(F.lit(percent) * F.col("n") / 100.0)
     out_of = F.greatest(F.lit(0), F.least(F.floor(F.lit(SKIP_PERCENT) * F.col("n") / 100.0) + 1, a - 1))
-    held = written(held.withColumn("kept", longest > out_of).select("h", "node", "n", "kept", "df"), "held")
+    # The share of a node's shingles that others hold too.
+    share = F.floor(100 * F.count("*").over(_window("node")) / F.col("p")).cast("int")
+    held = written(held.select("h", "node", "n", (longest > out_of).alias("kept"), share.alias("share")), "held")
     live = held.where("kept").select("h").distinct()
     out = written(held.join(live, "h", "left_semi"), "lists")
     dropped(held)
@@ -181,7 +202,7 @@ def _lists(s: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _window(part: str, *order):
     from pyspark.sql.window import Window
 
-    return Window.partitionBy(part).orderBy(*order)
+    return Window.partitionBy(part).orderBy(*order) if order else Window.partitionBy(part)
 
 
 def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataFrame:
@@ -194,8 +215,9 @@ def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                sets = [shingle(t.as_py()) for t in b.column("text").slice(i, 1000)]
+            texts = b.column("text")
+            for i, j in _slices(texts):
+                sets = shingle(texts.slice(i, j - i))
                 yield pa.record_batch({"sig": pa.array([_signature(x) for x in sets], pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     made = text.select("text").mapInArrow(rows, "sig binary, shingles binary")
@@ -220,12 +242,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partners = _some(pairs.select(F.col("b").alias("node")).distinct())
     y = sets.join(partners, "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     met = x.join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
-    # Sets of long texts are large, so that a batch of pairs must be short.
-    conf = pairs.sparkSession.conf
+    return _short_batches(met, "verified")
+
+
+def _short_batches(df: DataFrame, name: str) -> DataFrame:
+    """df written with short Arrow batches, because sets of long texts are large."""
+    conf = df.sparkSession.conf
     usual = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIRS_AT_ONCE)
     try:
-        return written(met, "verified")
+        return written(df, name)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
 
@@ -235,18 +261,96 @@ def _fit(percent: int, n: str, m: str):
 
 
 def _nominated(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """At most one pair of each node: with the first of its lists' leaders. The order of nodes changes with the turn."""
-    key = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    """At most one pair of each node: with the first of its lists' leaders. Leaders share most with others in turn 0; then the order changes with the turn."""
+    key = -F.col("share") if turn == 0 else F.xxhash64("node", F.lit(turn))
     lead = rows.groupBy("h").agg(F.min(F.struct(key.alias("key"), "node", "n", "comp")).alias("l"))
     met = rows.join(lead, "h").where(F.col("comp") != F.col("l.comp")).where(_fit(percent, "n", "l.n"))
     best = met.groupBy("node", "n").agg(F.min("l").alias("l"))
     return best.select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
 
 
-def _every(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that a kept list names."""
-    other = rows.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    return rows.where("kept").join(other, "h").where("comp <> comp2").select("node", "n", "b", "m")
+def t_occurrences(sets: list[np.ndarray], comp: np.ndarray, percent: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets of different components, one where several would join the same two.
+
+    apart: if given, only sets with different values are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), size)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, member = every[order], who[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(first, len(every)))
+    number = np.repeat(np.arange(len(first)), count)
+    lists = np.empty(len(every), np.int64)
+    lists[order] = number  # of each shingle of each set, its list
+    key = number * len(sets) + member  # ascending, so that a list's members can be probed
+    begin = np.cumsum(size) - size
+    root, links = np.unique(comp, return_inverse=True)[1], []
+    most = np.bincount(root).argmax()
+    for x in np.flatnonzero(root != most):
+        own = lists[begin[x] : begin[x] + size[x]]
+        own = own[count[own] > 1]
+        t = needed(int(size[x]), percent)
+        if len(own) < t:
+            continue
+        own = own[np.argsort(count[own], kind="stable")]
+        skip = min(t - 1, int(t / (PROBE_COST * np.log2(count[own[-1]] + 1) + 1)))
+        short, long = own[: len(own) - skip], own[len(own) - skip :]
+        # The sorted short lists, merged; equal neighbours are occurrences.
+        n = count[short]
+        met = np.sort(member[np.repeat(first[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())], kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        hits = np.diff(np.append(edge, len(met)))
+        y = met[edge]
+        ok = (hits >= t - skip) & (root[y] != root[x]) & (100 * size[y] >= percent * size[x]) & (100 * size[x] >= percent * size[y])
+        if apart is not None:
+            ok &= apart[y] != apart[x]
+        y, hits = y[ok], hits[ok]
+        if len(y) and len(long):
+            probe = long[:, None] * len(sets) + y
+            hits = hits + (key[np.minimum(np.searchsorted(key, probe), len(key) - 1)] == probe).sum(axis=0)
+        for z in y[100 * hits >= percent * (size[x] + size[y] - hits)]:
+            if root[z] != root[x]:
+                links.append((int(x), int(z)))
+                root[root == root[z]] = root[x]
+    return links
+
+
+def _searched(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The written links (a, b) that the lists of rows (h, node, n, comp) hold. A list of many shingles is cut into blocks, and every two blocks meet."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            node, block, comp, shingles = zip(*held, strict=True)
+            apart = np.array(block) if now[1] != now[2] else None
+            got = t_occurrences(list(shingles), np.array(comp), percent, apart)
+            return pa.record_batch({"a": pa.array([node[x] for x, _ in got], pa.int64()), "b": pa.array([node[y] for _, y in got], pa.int64())})
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("h", "p", "q", "node", "block", "comp")]
+            for h, p, q, node, block, comp, x in zip(*cols, b.column("shingles"), strict=True):
+                if (h, p, q) != now:
+                    if len(held) > 1:
+                        yield close()
+                    now, held = (h, p, q), []
+                held.append((node, block, comp, np.frombuffer(x.as_py(), np.uint64)))
+        if len(held) > 1:
+            yield close()
+
+    # Lists with the same members need one search. Their sums of hashes tell.
+    one = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    same = rows.groupBy("h").agg(one.alias("members"), F.sum("n").alias("total")).groupBy("members").agg(F.min("h").alias("h"), F.max("total").alias("total"))
+    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    met = rows.join(same.select("h", blocks.alias("blocks")), "h")
+    met = met.select("h", "node", "comp", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks")
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("h", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "comp")
+    order = ["h", "p", "q"]
+    full = met.join(sets, "node").select(*order, "node", "block", "comp", "shingles").repartition(*order).sortWithinPartitions(*order)
+    return _short_batches(full.mapInArrow(links, "a long, b long"), "searched")
 
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -255,33 +359,26 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     nodes = written(s.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     lists = _lists(s, nodes, percent)
     sets = tested = comps = None
-    for turn in range(TURNS + 2):
+    for turn in range(TURNS + 1):
         rows = lists.withColumn("comp", F.col("node"))
         if comps is not None:
             rows = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
             rows = written(rows.join(mixed, "h", "left_semi"), "mixed")
-        if turn < TURNS:
-            pairs = _nominated(rows, turn, percent)
-        elif turn == TURNS:
-            pairs = _every(rows.where(F.col("df") <= SHORT))
+        if sets is None:
+            sets = _sets(docs, lists.select("node").distinct(), s, k)
+        if turn == TURNS:
+            new = _searched(rows, sets, percent)
         else:
-            pairs = _every(rows)
-        pairs = pairs.where(_fit(percent, "n", "m")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            pairs = _nominated(rows, turn, percent).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+            pairs = written(pairs, "pairs")
+            new = _verify(pairs, sets, percent).where("link").select("a", "b")
+            dropped(pairs)
         if comps is not None:
             dropped(rows)
-        if pairs.isEmpty():
-            continue
-        if sets is None:
-            sets = _sets(docs, lists.select("node").distinct(), s, k)
-        done = _verify(pairs, sets, percent)
-        dropped(pairs)
-        tested = done if tested is None else tested.unionAll(done)
-        if not done.where("link").isEmpty():
-            comps = written(components(tested.where("link")), "components")
+        if not new.isEmpty():
+            tested = new if tested is None else tested.unionAll(new)
+            comps = written(components(tested), "components")
     for used in (lists, sets):
         if used is not None:
             dropped(used)
