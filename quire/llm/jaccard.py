@@ -7,9 +7,10 @@ out: so the short lists alone name every candidate.
 
 Lists aren't expanded into pairs. In a few turns each node meets the leader of one of its lists,
 first the one most of whose shingles are shared, which in a group of near copies is the text they
-were made from. Links are merged into components, and most lists then hold one component only. The
-nodes of every list that still holds several are searched together, whatever their number (long
-lists in blocks): DivideSkip merges the short lists of a node, keeps those with T - L hits or more,
+were made from. Links are merged into components, and most lists then hold one component only. Of
+those that still hold several, the ones of up to SHORT nodes are expanded, since pairs of ids weigh
+less than sets. The nodes of every longer one are searched together, whatever their number (in
+blocks): DivideSkip merges the short lists of a node, keeps those with T - L hits or more,
 and probes the L longest lists by binary search for them. The sums are exact overlaps. Only what
 joins two components leaves a task. A pair within one component needs no link of its own.
 
@@ -36,8 +37,8 @@ from .common import dropped, written
 SKIP_PERCENT = 4
 #: Frequent shingles put last: at most so many, seen in so many documents of one batch of BATCH_DOCS, in the same share of a smaller one and in two at least.
 FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
-#: Turns in which each node meets one leader, before the search finds all that is left.
-TURNS = 2
+#: Turns in which each node meets one leader; then the pairs of lists up to SHORT nodes are tested, and the search finds all that is left.
+TURNS, SHORT = 2, 32
 #: Shingles of a block of a list, about; and what a probe costs against a step of merging, for DivideSkip's choice of L.
 BLOCK_SHINGLES, PROBE_COST = 1 << 21, 0.1
 #: Ids and pairs of ids up to this number are sent to every task (at most 16 MB of longs); more are joined by shuffles.
@@ -269,6 +270,12 @@ def _nominated(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
 
 
+def _every(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that a kept list names; each of rows brings up to SHORT - 1."""
+    other = rows.select("h", F.col("node").alias("b"), F.col("n").alias("m2"), F.col("comp").alias("comp2"))
+    return rows.where("kept").join(other, "h").where("comp <> comp2").where(_fit(percent, "n", "m2")).select("node", "b")
+
+
 def t_occurrences(sets: list[np.ndarray], comp: np.ndarray, percent: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets of different components, one where several would join the same two.
 
@@ -359,23 +366,20 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     nodes = written(s.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     lists = _lists(s, nodes, percent)
     sets = tested = comps = None
-    for turn in range(TURNS + 1):
-        rows = lists.withColumn("comp", F.col("node"))
-        if comps is not None:
-            rows = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-            rows = written(rows.join(mixed, "h", "left_semi"), "mixed")
+    for turn in range(TURNS + 2):
+        rows = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
+        rows = written(rows.join(mixed, "h"), "mixed")
         if sets is None:
-            sets = _sets(docs, lists.select("node").distinct(), s, k)
-        if turn == TURNS:
-            new = _searched(rows, sets, percent)
-        else:
-            pairs = _nominated(rows, turn, percent).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-            pairs = written(pairs, "pairs")
+            sets = _sets(docs, rows.select("node").distinct(), s, k)
+        if turn <= TURNS:
+            met = _nominated(rows, turn, percent) if turn < TURNS else _every(rows.where(F.col("m") <= SHORT), percent)
+            pairs = written(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
             new = _verify(pairs, sets, percent).where("link").select("a", "b")
             dropped(pairs)
-        if comps is not None:
-            dropped(rows)
+        else:
+            new = _searched(rows.where(F.col("m") > SHORT), sets, percent)
+        dropped(rows)
         if not new.isEmpty():
             tested = new if tested is None else tested.unionAll(new)
             comps = written(components(tested), "components")

@@ -412,6 +412,40 @@ def test_jaccard_over_documents(spark, docs):
     assert sorted(str(tuple(r)) for r in queries.op9_jaccard_join(spark, SF).collect()) == brute_groups(docs)
 
 
+def test_jaccard_near_copies_of_one_text(spark, monkeypatch):
+    """A long list in blocks: copies that link with the text they were made from, and some only with one another."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard, "SHORT", 4)
+    g = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(120):
+        t = list(base)
+        for i in g.choice(150, g.integers(1, 9), replace=False):
+            t[i] = f"x{i}y{g.integers(0, 3)}"
+        rows.append((k + 1, " ".join(t)))
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_groups(rows)
+
+
+def test_t_occurrences():
+    g = np.random.default_rng(8)
+    for _ in range(30):
+        pool = [np.unique(g.integers(0, 300, 40)) for _ in range(6)]
+        sets = [np.unique(np.concatenate([g.choice(p, g.integers(28, len(p)), replace=False), g.integers(300, 900, g.integers(0, 6))])).astype(np.uint64) for p in pool for _ in range(8)]
+        link = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        comp = np.arange(len(sets))
+        for a in range(len(sets)):
+            for b in range(a):
+                if comp[a] != comp[b] and link(sets[a], sets[b]):
+                    comp[comp == comp[a]] = comp[b]
+        got = np.arange(len(sets))
+        for a, b in jaccard.t_occurrences(sets, np.arange(len(sets)), 80):
+            assert link(sets[a], sets[b])
+            got[got == got[a]] = got[b]
+        assert len(set(zip(comp.tolist(), got.tolist()))) == len(set(comp)) == len(set(got))
+
+
 # ---- 10: top k
 
 
