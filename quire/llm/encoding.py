@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 #: White space that touches white space or an end of the text: the byte-level pattern then looks at more than one chunk.
 _SPACES = re.compile(r"\s\s")
-#: Distinct chunks that a Python worker remembers, over all its tasks; about 200 MB.
-REMEMBERED = 1_000_000
+#: Distinct chunks that a Python worker remembers, over all its tasks; about 300 MB.
+REMEMBERED = 1_500_000
 #: Where a full stop or comma isn't a chunk of its own: beside other marks, or (byte level) after white space.
 _MARKS = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,]))")
 _MARKS_OR_SPACE = re.compile(r"[.,](?:[^\w \n]|_|(?<=[^\w \n][.,])|(?<=_[.,])|(?<=\s[.,]))")
@@ -56,6 +56,7 @@ class ChunkEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.seen: dict[str, bytes] = {}
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.feed = self._ids(["\n"])[0] if byte_level else b""
         # Between line feeds, or between lone NULs, the tokenizer cuts in any case.
         self.mark = "\n" if byte_level else " \x00 "
@@ -131,7 +132,9 @@ class ChunkEncoder:
         """Chunks lie between spaces: distinct ones are found by Arrow, and ids are laid out by places among them."""
         if not texts:
             return []
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        rows = pa.array(texts, pa.string())
+        # A tokenizer that lower-cases has the same ids for A-Z and a-z.
+        lists = pc.split_pattern(pc.ascii_lower(rows) if self.lowers else rows, " ")
         found = lists.values.dictionary_encode()
         chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = list(map(self.seen.get, chunks))

@@ -31,7 +31,7 @@ from .encoding import encoder
 #: A block is closed when it holds so many ids; one document is never cut.
 BLOCK_IDS = 1 << 20
 #: Pairs replaced per round (more wait for the next one); occurrences that a pair needs to pay for its rule.
-PAIRS, LEAST = 3000, 8
+PAIRS, LEAST = 8000, 8
 END_ID = 1
 MAGIC = b"RPG1"
 
