@@ -44,36 +44,36 @@ r as (select *, case when regexp_full_match(part, '\d+') then cast(part as int)
  case when regexp_full_match(part, '\d+') then cast(part as int) else try_cast(regexp_extract(part, '^(\d+)\s*[–-]\s*(\d+)$', 2) as int) end as b from p),
 ok as (select paper_id, section_id, marker_no from r group by all having bool_and(coalesce(b >= a and b - a <= 40, false))),
 n as (select r.paper_id, r.section_id, r.marker_no, r.raw, part_no, unnest(range(a, b + 1)) as num from r join ok using (paper_id, section_id, marker_no)),
-lab as (select label, arg_max(ref_id, ord) as ref_id from v_ref group by label),
-l as (select n.*, lab.ref_id from n left join lab on lab.label = cast(n.num as varchar)),
+lab as (select paper_id, label, arg_max(ref_id, ord) as ref_id from v_paper_ref group by paper_id, label),
+l as (select n.*, lab.ref_id from n left join lab on lab.paper_id = n.paper_id and lab.label = cast(n.num as varchar)),
 g as (select paper_id, section_id, marker_no, raw, count(*) as n_parts, count(ref_id) as n_linked from l group by all)"""
 
 _over("expand_number_groups", ("v_section",), lambda s: links.number_markers(s, C.BRACKET).where("numbers is not null").select("paper_id", "section_id", "marker_no", F.explode(F.col("numbers").cast("array<bigint>")).alias("num")),
       f"with {_NUMBERS} select paper_id, section_id, marker_no, cast(num as bigint) as num from n")
-_over("linked_citations_by_ref", ("v_section", "v_ref"), links.linked_citations_by_ref,
-      f"with {_NUMBERS} select l.ref_id, count(*) as n_citations, count(distinct (l.paper_id, l.section_id)) as n_sections from l join g on l.paper_id = g.paper_id and l.section_id = g.section_id and l.marker_no = g.marker_no and n_parts = n_linked group by l.ref_id")
-_over("unmatched_markers", ("v_section", "v_ref"), links.unmatched_markers,
+_over("linked_citations_by_ref", ("v_section", "v_paper_ref"), links.linked_citations_by_ref,
+      f"with {_NUMBERS} select l.paper_id, l.ref_id, count(*) as n_citations, count(distinct l.section_id) as n_sections from l join g on l.paper_id = g.paper_id and l.section_id = g.section_id and l.marker_no = g.marker_no and n_parts = n_linked group by l.paper_id, l.ref_id")
+_over("unmatched_markers", ("v_section", "v_paper_ref"), links.unmatched_markers,
       f"with {_NUMBERS} select paper_id, section_id, marker_no, raw, n_parts - n_linked as n_missing from g where n_linked < n_parts")
-_over("marker_families", ("v_section", "v_ref"), links.marker_families,
+_over("marker_families", ("v_section", "v_paper_ref"), links.marker_families,
       f"""with {_NUMBERS},
  pm as (select paper_id, unnest(regexp_extract_all(content, '\\((\\d{{1,3}}(?:\\s*[,;–-]\\s*\\d{{1,3}})*)\\)', 1)) as m, generate_subscripts(regexp_extract_all(content, '\\((\\d{{1,3}}(?:\\s*[,;–-]\\s*\\d{{1,3}})*)\\)', 1), 1) as k from v_section),
  sm as (select paper_id, unnest(regexp_extract_all(content, '⟨sup:(\\d[\\d\\s,;–-]*)⟩', 1)) as m, generate_subscripts(regexp_extract_all(content, '⟨sup:(\\d[\\d\\s,;–-]*)⟩', 1), 1) as k from v_section),
  q as (select paper_id, k, f, trim(unnest(string_split(m, ','))) as part from (select *, 'paren' as f from pm union all select *, 'superscript' as f from sm)),
- qq as (select q.paper_id, q.k, q.f from q left join lab on lab.label = part group by all having count(*) = count(lab.ref_id)),
+ qq as (select q.paper_id, q.k, q.f from q left join lab on lab.paper_id = q.paper_id and lab.label = part group by all having count(*) = count(lab.ref_id)),
  u as (select paper_id, 'bracket' as f from g where n_parts = n_linked union all select paper_id, f from qq),
  c as (select paper_id, count(*) filter (f = 'bracket') as bracket, count(*) filter (f = 'paren') as paren, count(*) filter (f = 'superscript') as superscript from u group by paper_id)
  select paper_id, bracket, paren, superscript, case greatest(bracket, paren, superscript) when bracket then 'bracket' when paren then 'paren' else 'superscript' end as dominant,
  round(greatest(bracket, paren, superscript) / (bracket + paren + superscript), 2) as confidence from c""")
-_over("tokenized_sections", ("v_section", "v_ref"), lambda s, r: links.tokenised(s.where("family = 0"), r),
+_over("tokenized_sections", ("v_section", "v_paper_ref"), lambda s, r: links.tokenised(s.where("family = 0"), r),
       f"""with {_NUMBERS},
  ids as (select l.paper_id, l.marker_no, string_agg(l.ref_id, ',' order by part_no, num) as ids from l join g on l.paper_id = g.paper_id and l.marker_no = g.marker_no and n_parts = n_linked group by all),
  parts as (select paper_id, section_id, unnest(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]')) as part, generate_subscripts(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]'), 1) - 1 as k from v_section where family = 0)
  select parts.paper_id, parts.section_id, string_agg(part || case when m.raw is null then '' when ids.ids is null then '[' || m.raw || ']' else '[[citep:' || ids.ids || ']]' end, '' order by k) as content
  from parts left join m on m.paper_id = parts.paper_id and m.marker_no = k left join ids on ids.paper_id = parts.paper_id and ids.marker_no = k group by all""")
-_over("author_year_links", ("v_section", "v_ref"), lambda s, r: links.author_year_links(s.where("family = 1"), r).where("ref_id is not null").select("paper_id", "family", "year", "ref_id"),
+_over("author_year_links", ("v_section", "v_paper_ref"), lambda s, r: links.author_year_links(s.where("family = 1"), r).where("ref_id is not null").select("paper_id", "family", "year", "ref_id"),
       r"""with x as (select paper_id, unnest(list_concat(regexp_extract_all(content, '(\p{Lu}[\p{L}\p{N}_''’-]*)(?:\s+et\s+al\.?|,)?[\s,]*((?:19|20)\d{2})[;)]', 0), regexp_extract_all(content, '\p{Lu}[\p{L}\p{N}_''’-]*\s*\(\d{4}[a-z]?\)', 0))) as part from v_section where family = 1)
  select paper_id, lower(regexp_extract(part, '(\p{Lu}[\p{L}\p{N}_''’-]*)', 1)) as family, cast(regexp_extract(part, '(\d{4})', 1) as int) as year, ref_id from x
- join v_ref on lower(trim(split_part(author1, ',', 1))) = lower(regexp_extract(part, '(\p{Lu}[\p{L}\p{N}_''’-]*)', 1)) and v_ref.year = cast(regexp_extract(part, '(\d{4})', 1) as int)
+ join v_paper_ref using (paper_id) where lower(trim(split_part(author1, ',', 1))) = lower(regexp_extract(part, '(\p{Lu}[\p{L}\p{N}_''’-]*)', 1)) and v_paper_ref.year = cast(regexp_extract(part, '(\d{4})', 1) as int)
  qualify row_number() over (partition by paper_id, part order by ord) = 1""")
 
 _TOKENS = r"""

@@ -22,19 +22,21 @@ VIEWS: dict[str, str] = {
   when 1 then concat('Smith (', cast(1990 + (doc_id * 8) % 35 as varchar(20)), ') argued. ', replace(text, chr(10), ' '), ' Others agree (Müller, 1993; Doe et al., 1991).')
   when 2 then concat('Early work (', cast(doc_id % 40 + 1 as varchar(20)), ') grew (', cast((doc_id * 7) % 40 + 1 as varchar(20)), ') and (1, 3). ', replace(text, chr(10), ' '))
   else concat('Nets⟨sup:', cast(doc_id % 40 + 1 as varchar(20)), '⟩ and sets⟨sup:1,2⟩ and maps⟨sup:3⟩. ', replace(text, chr(10), ' ')) end as content from documents""",
-    "v_token_section": """select doc_id as paper_id, concat('Claim one [[citep:ref_', cast(doc_id % 40 + 1 as varchar(20)), ']]. ', replace(substring(text, 1, 400), chr(10), ' '), ' Claim two [[citet:ref_', cast((doc_id * 7) % 40 + 1 as varchar(20)), ']] and [[citep:ref_1,ref_', cast((doc_id * 3) % 40 + 1 as varchar(20)), ']].') as before_text,
- concat('Claim one ', case when doc_id % 5 = 0 then '' else concat('[[citep:ref_', cast(doc_id % 40 + 1 as varchar(20)), ']]') end, '. Claim two [[citet:ref_', cast((doc_id * 7) % 40 + 1 as varchar(20)), ']] and [[citep:ref_1,ref_', cast((doc_id * 3) % 40 + 1 as varchar(20)), ']].', case when doc_id % 7 = 0 then ' New [[citep:ref_999]].' else '' end) as after_text,
+    "v_token_section": """select doc_id as paper_id, concat('Claim one [[citep:ref_', cast(doc_id % 40 + 1 as varchar(20)), ']]. ', replace(text, chr(10), ' '), ' Claim two [[citet:ref_', cast((doc_id * 7) % 40 + 1 as varchar(20)), ']] and [[citep:ref_1,ref_', cast((doc_id * 3) % 40 + 1 as varchar(20)), ']].') as before_text,
+ concat('Claim one ', case when doc_id % 5 = 0 then '' else concat('[[citep:ref_', cast(doc_id % 40 + 1 as varchar(20)), ']]') end, '. ', replace(text, chr(10), ' '), ' Claim two [[citet:ref_', cast((doc_id * 7) % 40 + 1 as varchar(20)), ']] and [[citep:ref_1,ref_', cast((doc_id * 3) % 40 + 1 as varchar(20)), ']].', case when doc_id % 7 = 0 then ' New [[citep:ref_999]].' else '' end) as after_text,
  case when doc_id % 10 = 0 then 1 else 0 end as removal_ack from documents""",
     "v_finding": """select event_id as seq, user_id as paper_id, ts, case event_type when 'purchase' then 'missing_work' when 'view' then 'claim_supported' when 'click' then 'claim_unverifiable' when 'signup' then 'unparsed_reference' else 'search_failure' end as type,
  case event_type when 'purchase' then 'medium' when 'view' then 'info' when 'error' then 'info' else 'low' end as severity, concat(event_type, ' ', cast(event_id % 11 as varchar(20))) as title, value / 100.0 as score from events""",
     "v_region": """select doc_id as paper_id, cast(0 as int) as page, cast(r as int) as region_no, case r when 0 then 'table' when 1 then 'box' else 'figure' end as kind,
  cast(60 + 20 * r as double) as x0, cast(110 + 30 * r as double) as y0, cast(300 + 40 * r as double) as x1, cast(150 + 30 * r as double) as y1
- from documents cross join (select 0 as r union all select 1 union all select 2) k where doc_id % 5 = 0""",
+ from documents cross join (select 0 as r union all select 1 union all select 2) k""",
     "v_source": """select doc_id as seq, case when doc_id % 2 = 0 then 'openalex' else 'semantic_scholar' end as api, concat('W', cast(doc_id as varchar(20))) as api_id,
  substring(replace(text, chr(10), ' '), 1, 60) as title, cast(1980 + doc_id % 40 as int) as year,
  case when doc_id % 3 = 0 then concat('10.1000/X', cast(doc_id % 80 as varchar(20))) else null end as doi,
  concat('https://example.org/W', cast(doc_id as varchar(20))) as url, cast(n_chars as int) as cited_by_count from documents""",
 }
+#: Each paper has a bibliography of its own: most of the references, other ones in each.
+VIEWS["v_paper_ref"] = f"select doc_id as paper_id, r.* from documents cross join ({VIEWS['v_ref']}) r where (doc_id + ord) % 5 <> 0"
 _LINE = """select doc_id as paper_id, cast(line_seq as int) as line_seq, cast(floor(line_seq / 12.0) as int) as page,
  case when line_seq % 12 = 0 then concat('Running head ', cast(cast(floor(line_seq / 12.0) as int) as varchar(20))) else text end as text,
  cast(case when line_seq % 12 in (5, 6, 7) and doc_id % 2 = 0 then 330 when line_seq % 3 = 2 then 90 else 72 end as double) as x0,

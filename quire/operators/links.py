@@ -1,4 +1,4 @@
-"""Linking in-text markers to references."""
+"""Linking in-text markers to references. Labels, families and years are a paper's own: refs has a paper_id."""
 
 from __future__ import annotations
 
@@ -19,14 +19,14 @@ def number_markers(sections: DataFrame, pattern: str) -> DataFrame:
 
 
 def last_by_label(refs: DataFrame) -> DataFrame:
-    """(label, ref_id): of references that share a label the last counts."""
-    return refs.groupBy("label").agg(F.max_by("ref_id", "ord").alias("ref_id"))
+    """(paper_id, label, ref_id): of a paper's references that share a label the last counts."""
+    return refs.groupBy("paper_id", "label").agg(F.max_by("ref_id", "ord").alias("ref_id"))
 
 
 def link_numbers(markers: DataFrame, refs: DataFrame) -> DataFrame:
     """Markers with n_parts, n_linked and ref_ids in order. A marker links only if every number does."""
     parts = markers.where("numbers is not null").select("paper_id", "section_id", "marker_no", "raw", F.posexplode("numbers").alias("k", "n"))
-    parts = parts.join(last_by_label(refs), F.col("n").cast("string") == F.col("label"), "left")
+    parts = parts.withColumn("label", F.col("n").cast("string")).join(last_by_label(refs), ["paper_id", "label"], "left")
     keys = ["paper_id", "section_id", "marker_no", "raw"]
     found = F.transform(F.sort_array(F.collect_list(F.when(F.col("ref_id").isNotNull(), F.struct("k", "ref_id")))), lambda x: x["ref_id"])
     return parts.groupBy(*keys).agg(F.count("*").alias("n_parts"), F.count("ref_id").alias("n_linked"), found.alias("ref_ids"))
@@ -35,7 +35,7 @@ def link_numbers(markers: DataFrame, refs: DataFrame) -> DataFrame:
 def linked_citations_by_ref(sections: DataFrame, refs: DataFrame) -> DataFrame:
     links = link_numbers(number_markers(sections, C.BRACKET), refs).where("n_parts = n_linked")
     each = links.select("paper_id", "section_id", F.explode("ref_ids").alias("ref_id"))
-    return each.groupBy("ref_id").agg(F.count("*").alias("n_citations"), F.countDistinct("paper_id", "section_id").alias("n_sections"))
+    return each.groupBy("paper_id", "ref_id").agg(F.count("*").alias("n_citations"), F.countDistinct("section_id").alias("n_sections"))
 
 
 def unmatched_markers(sections: DataFrame, refs: DataFrame) -> DataFrame:
@@ -78,10 +78,10 @@ def _author_year_parts(sections: DataFrame) -> DataFrame:
 
 def author_year_links(sections: DataFrame, refs: DataFrame) -> DataFrame:
     """Author-year parts with the reference of that family and year; a letter picks among several in order, else the first."""
-    w = Window.partitionBy("family", "year").orderBy("ord")
-    keyed = refs.select(F.lower(T.family_name(F.col("author1"))).alias("family"), "year", "ord", "ref_id").withColumn("i", F.row_number().over(w))
-    by_key = keyed.groupBy("family", "year").agg(F.map_from_entries(F.collect_list(F.struct("i", "ref_id"))).alias("m"))
-    rows = _author_year_parts(sections).join(by_key, ["family", "year"], "left")
+    w = Window.partitionBy("paper_id", "family", "year").orderBy("ord")
+    keyed = refs.select("paper_id", F.lower(T.family_name(F.col("author1"))).alias("family"), "year", "ord", "ref_id").withColumn("i", F.row_number().over(w))
+    by_key = keyed.groupBy("paper_id", "family", "year").agg(F.map_from_entries(F.collect_list(F.struct("i", "ref_id"))).alias("m"))
+    rows = _author_year_parts(sections).join(by_key, ["paper_id", "family", "year"], "left")
     nth = F.when(F.col("letter") != "", F.ascii("letter") - 96).otherwise(1)
     return rows.select("paper_id", "section_id", "k", "family", "year", F.coalesce(F.try_element_at("m", nth), F.try_element_at("m", F.lit(1))).alias("ref_id"))
 

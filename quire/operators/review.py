@@ -26,10 +26,11 @@ def already_cited(sources: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def new_candidates(sources: DataFrame, refs: DataFrame) -> DataFrame:
-    """Results that aren't cited yet, the first of each DOI or title."""
-    known = refs.where("doi is not null").select(F.lower("doi").alias("d")).distinct()
-    rest = sources.join(known, F.lower("doi") == F.col("d"), "left_anti").withColumn("key", candidate_key())
-    return rest.groupBy("key").agg(F.min("seq").alias("seq"), F.min_by("api_id", "seq").alias("api_id"))
+    """Results that aren't cited yet, the first of each DOI or title; within each paper where both sides have a paper_id."""
+    own = ["paper_id"] if "paper_id" in sources.columns and "paper_id" in refs.columns else []
+    known = refs.where("doi is not null").select(*own, F.lower("doi").alias("d")).distinct()
+    rest = sources.withColumn("d", F.lower("doi")).join(known, [*own, "d"], "left_anti").withColumn("key", candidate_key())
+    return rest.groupBy(*own, "key").agg(F.min("seq").alias("seq"), F.min_by("api_id", "seq").alias("api_id"))
 
 
 def ranked(claims: DataFrame, sources: DataFrame, per_claim: int = 3, most: int = 8, least: float = 0.4) -> DataFrame:

@@ -59,6 +59,7 @@ def run(sections: DataFrame, refs: DataFrame, tokens: DataFrame, sources: DataFr
     """Findings without a model: unlinked markers, lost citations, and candidates that aren't cited yet."""
     a = links.unmatched_markers(sections, refs).select("paper_id", F.lit("unlinked_marker").alias("type"), F.lit("low").alias("severity"), F.concat(F.lit("["), "raw", F.lit("]")).alias("title"))
     b = integrity.lost(tokens).select("paper_id", F.lit("lost_citation").alias("type"), F.lit("high").alias("severity"), F.col("ref_id").alias("title"))
-    c = review.new_candidates(sources, refs).select(F.col("seq").alias("paper_id"), F.lit("missing_work").alias("type"), F.lit("medium").alias("severity"), F.col("key").alias("title"))
-    rows = a.unionByName(b).unionByName(c).withColumn("seq", F.xxhash64("type", "title"))
-    return review.by_severity(rows)
+    c = review.new_candidates(sources, refs).select("paper_id", F.lit("missing_work").alias("type"), F.lit("medium").alias("severity"), F.col("key").alias("title"))
+    # Findings that are the same count once, so that type and title number a paper's findings.
+    rows = a.unionByName(b).unionByName(c).groupBy("paper_id", "type", "severity", "title").agg(F.count("*").alias("n")).withColumn("seq", F.xxhash64("type", "title"))
+    return rows.join(review.by_severity(rows).select("paper_id", "seq", "place"), ["paper_id", "seq"])

@@ -18,7 +18,7 @@ def test_rows(spark, name):
 
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
-    assert out.columns == ["ref_id", "n_citations", "n_sections"] and out.count() > 0
+    assert out.columns == ["paper_id", "ref_id", "n_citations", "n_sections"] and out.count() > 0
 
 
 def test_registry():

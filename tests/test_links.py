@@ -13,7 +13,8 @@ from quire.operators import integrity, links, render
 @pytest.fixture(scope="module")
 def refs(spark):
     rows = [(i, f"ref_{i}", str(i), a, y, "A title", None, None) for i, (a, y) in enumerate([("Smith, J.", 2020), ("Doe, A.", 2021), ("Chen, L.", 2019), ("Chen, M.", 2019), ("Müller, K.", 2020)], 1)]
-    return spark.createDataFrame(rows, "ord int, ref_id string, label string, author1 string, year int, title string, doi string, container string")
+    own = spark.createDataFrame(rows, "ord int, ref_id string, label string, author1 string, year int, title string, doi string, container string")
+    return own.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("paper_id")))
 
 
 def sections(spark, *texts):
@@ -65,3 +66,11 @@ def test_integrity(spark, refs):
 def test_tex(spark):
     p = spark.createDataFrame([(1, "95% accuracy & more [[citep:ref_1]] [[citet:ref_2]]")], "paper_id int, after_text string")
     assert render.tex(p).first()["tex"] == r"95\% accuracy \& more \citep{ref_1} \citet{ref_2}"
+
+
+def test_bibliographies_are_a_papers_own(spark):
+    refs = spark.createDataFrame([(0, 1, "a", "1", "Smith, J.", 2020), (1, 1, "b", "1", "Smith, K.", 2020), (1, 2, "c", "2", "Doe, A.", 2021)], "paper_id int, ord int, ref_id string, label string, author1 string, year int")
+    two = sections(spark, "See [1], [2] and (Smith, 2020).", "See [1], [2] and (Smith, 2020).")
+    got = links.link_numbers(links.number_markers(two, C.BRACKET), refs).collect()
+    assert sorted((r["paper_id"], r["raw"], *r["ref_ids"]) for r in got) == [(0, "1", "a"), (0, "2"), (1, "1", "b"), (1, "2", "c")]
+    assert sorted((r["paper_id"], r["ref_id"]) for r in links.author_year_links(two, refs).collect()) == [(0, "a"), (1, "b")]

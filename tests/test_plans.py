@@ -65,3 +65,12 @@ def test_judged(spark):
     got = {r["seq"]: (r["type"], r["severity"]) for r in review.judged(df, model).collect()}
     assert got == {1: ("claim_supported", "info"), 2: ("claim_unverifiable", "low"), 3: ("unlinked_marker", "low"), 4: ("claim_unverifiable", "low"), 5: ("claim_unsupported", "high"), 6: ("claim_unverifiable", "low")}
     assert {r["type"] for r in review.judged(df, None).collect()} == {"claim_unverifiable", "unlinked_marker"}
+
+
+def test_review_run(spark):
+    sections = spark.createDataFrame([(4, "sec_1", "See [1] and [7].")], "paper_id long, section_id string, content string")
+    refs = spark.createDataFrame([(4, 1, "ref_1", "1", "10.1/a"), (5, 1, "ref_1", "1", "10.1/b")], "paper_id long, ord int, ref_id string, label string, doi string")
+    tokens = spark.createDataFrame([(4, "[[citep:ref_1]] and [[citep:ref_2]]", "[[citep:ref_1]]")], "paper_id long, before_text string, after_text string")
+    sources = spark.createDataFrame([(4, 1, "W1", "10.1/A", "one"), (4, 2, "W2", "10.1/B", "two"), (5, 3, "W3", "10.1/B", "two")], "paper_id long, seq long, api_id string, doi string, title string")
+    got = review.run(sections, refs, tokens, sources).collect()
+    assert sorted((r["paper_id"], r["type"], r["title"]) for r in got) == [(4, "lost_citation", "ref_2"), (4, "missing_work", "10.1/b"), (4, "unlinked_marker", "[7]")]
