@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, gets a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("quire.shared.dir", "")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("quire.shared.dir", where)
     return where

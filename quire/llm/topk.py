@@ -36,7 +36,7 @@ def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_c
     """(id long, v array<long>): floor(scale * x) of each usable vector."""
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null and size(x) > 0")
-    good = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e12))
+    good = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     return rows.where(good).select("id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
@@ -85,34 +85,42 @@ class CoverTree:
 
 def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's index, candidate's index, score) of each query's k best candidates with another id."""
-    tq, tc = CoverTree(q, QUERY_LEAF), CoverTree(c)
+    tq, tc = CoverTree(q.astype(np.float64), QUERY_LEAF), CoverTree(c.astype(np.float64))
     # One number orders by score, then by smaller id: scores are whole, and places among the ids are below len(c).
-    place = np.empty(len(c))
-    place[np.argsort(cid, kind="stable")[::-1]] = np.arange(len(c))
+    # Floating point where that number is exact in it, else whole numbers of any size.
+    peak = [max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0 for x in (q, c)]
+    exact = (peak[0] * peak[1] * q.shape[1] + 1) * (len(c) + 1) >= 1 << 53
+    kind = object if exact else np.float64
+    q, c = q.astype(kind), c.astype(kind)
+    place = np.empty(len(c), kind)
+    place[np.argsort(cid, kind="stable")[::-1]] = np.arange(len(c)).astype(kind)
     norm_q = [float(np.linalg.norm(x)) for x in tq.centre]
     centres_c = np.array(tc.centre)
     norm_c, radius_c = np.sqrt((centres_c**2).sum(axis=1)), np.array(tc.radius)
-    best = np.full((len(q), k), -np.inf)
+    lowest = -((peak[0] * peak[1] * q.shape[1] + 2) * (len(c) + 1)) if exact else -np.inf
+    best = np.full((len(q), k), lowest, kind)
     at = np.full((len(q), k), -1, np.int64)
 
     def bound(n: int, m: np.ndarray) -> np.ndarray:
         """No query under n scores more with any candidate under m."""
-        return centres_c[m] @ tq.centre[n] + norm_q[n] * radius_c[m] + tq.radius[n] * norm_c[m] + tq.radius[n] * radius_c[m] + 1e-3
+        sizes = (norm_q[n] + tq.radius[n]) * (norm_c[m] + radius_c[m])
+        return centres_c[m] @ tq.centre[n] + norm_q[n] * radius_c[m] + tq.radius[n] * norm_c[m] + tq.radius[n] * radius_c[m] + 1e-3 + 1e-9 * sizes
 
     def worst(rows: np.ndarray) -> float:
         """The worst k-th score of the rows."""
-        return math.floor(best[rows].min() / len(c)) if np.isfinite(best[rows]).all() else -math.inf
+        least = best[rows].min()
+        return math.floor(least / len(c)) if least > lowest and not exact else float(least // len(c)) if least > lowest else -math.inf
 
     def leaf(rows: np.ndarray, cols: np.ndarray) -> None:
         key = (q[rows] @ c[cols].T) * len(c) + place[cols]
-        key[qid[rows][:, None] == cid[cols][None, :]] = -np.inf
+        key[qid[rows][:, None] == cid[cols][None, :]] = lowest
         better = (key > best[rows].min(axis=1)[:, None]).any(axis=1)
         if not better.any():
             return
         rows, key = rows[better], key[better]
         keys = np.concatenate([best[rows], key], axis=1)
         who = np.concatenate([at[rows], np.broadcast_to(cols, key.shape)], axis=1)
-        by = np.argpartition(keys, -k, axis=1)[:, -k:]
+        by = np.argsort(keys, axis=1)[:, -k:] if exact else np.argpartition(keys, -k, axis=1)[:, -k:]
         best[rows], at[rows] = np.take_along_axis(keys, by, 1), np.take_along_axis(who, by, 1)
 
     def descend(n: int, nodes: np.ndarray) -> None:
@@ -147,27 +155,29 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
 
     if len(q) and len(c):
         descend(0, np.array([0]))
-    r, j = np.nonzero(np.isfinite(best))
-    return r, at[r, j], np.floor(best[r, j] / len(c))
+    r, j = np.nonzero(best > lowest)
+    score = best[r, j] // len(c) if exact else np.floor(best[r, j] / len(c))
+    return r, at[r, j], np.clip(score, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _pairs(k: int):
     def rows(table):
         is_query = np.array(table["is_query"])
         ids = np.array(table["id"])
-        x = np.array(table["v"].combine_chunks().flatten()).reshape(len(ids), -1).astype(np.float64)
+        x = np.array(table["v"].combine_chunks().flatten()).reshape(len(ids), -1)
         q, c = is_query, ~is_query
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
         if not q.any() or not c.any():
             return pa.table(empty)
         i, j, s = search(ids[q], x[q], ids[c], x[c], k)
-        return pa.table({"query_id": ids[q][i], "vec_id": ids[c][j], "score": s.astype(np.int64)})
+        return pa.table({"query_id": ids[q][i], "vec_id": ids[c][j], "score": s})
 
     return rows
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, rank from 1, vec_id, score. Both sides as quantised() gives them."""
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     n_q, n_c = queries.count(), vectors.count()
     blocks, shards = max(1, math.ceil(n_q / BLOCK)), max(1, math.ceil(n_c / SHARD))
     # A row stands for itself in every task of its block or shard: rows written are n_q * shards + n_c * blocks.
