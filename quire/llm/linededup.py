@@ -15,7 +15,7 @@ because lines without a word are skipped; so the number of doublings doesn't gro
 
 Defined results: null text stays null; lines without words are deleted only inside a deleted run;
 a document may end empty and stays; of repeated rows the first in storage order keeps its lines; a
-null doc_id sorts first; all other columns are kept; an empty table stays empty. Lines are told by
+null doc_id sorts first; all other columns are kept, whatever their names; an empty table stays empty. Lines are told by
 two 64-bit hashes.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import words, written
+from .common import unused, words, written
 
 MIN_WORDS = 50
 
@@ -117,9 +117,11 @@ def deletions(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
 
 def dedup(docs: DataFrame, text: str = "text", deleted: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that are later copies; deleted names a column for the number of lines that went."""
-    base = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rows = base.join(deletions(base, text, min_words), "_row", "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.exists("cut", lambda c: (c["a"] <= i) & (i <= c["b"])))
+    row, cut = unused(docs, "row", "cut")
+    base = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ranges = deletions(base.select(F.col(row).alias("_row"), "doc_id", text), text, min_words).toDF(row, cut)
+    rows = base.join(ranges, row, "left")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.exists(cut, lambda c: (c["a"] <= i) & (i <= c["b"])))
     if deleted:
-        rows = rows.withColumn(deleted, F.coalesce(F.aggregate("cut", F.lit(0).cast("long"), lambda n, c: n + c["b"] - c["a"] + 1), F.lit(0).cast("long")))
-    return rows.withColumn(text, F.when(F.col("cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_row", "cut")
+        rows = rows.withColumn(deleted, F.coalesce(F.aggregate(cut, F.lit(0).cast("long"), lambda n, c: n + c["b"] - c["a"] + 1), F.lit(0).cast("long")))
+    return rows.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop(row, cut)

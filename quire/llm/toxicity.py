@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
-from .common import crc_mod
+from .common import crc_mod, unused
 
 #: Pairs of identity terms that are swapped for one another.
 IDENTITY_PAIRS = [
@@ -209,5 +209,6 @@ def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] |
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with their own columns only."""
-    return score(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The documents that score below the threshold, with their own columns, whatever their names."""
+    (name,) = unused(docs, "toxicity")
+    return score(docs, model, name).where(F.col(name) < threshold).drop(name)

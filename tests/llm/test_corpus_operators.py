@@ -319,6 +319,14 @@ def test_line_dedup(spark, edge, none):
     assert got.columns == edge.columns and got.count() == len(EDGE) and linededup.dedup(none).count() == 0
 
 
+def test_line_dedup_keeps_columns(spark):
+    names = ["_row", "row", "cut", "j", "i", "w", "r", "h1"]
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\n{line}", *names), (2, f"{line}\nb", *names)], ["doc_id", "text", *names])
+    out = linededup.dedup(docs, deleted="n").orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [f"a\n{line}", "b"] and list(out[1])[2:-1] == names and out[1]["n"] == 1
+
+
 def test_line_dedup_over_documents(spark, docs):
     rows = sorted(docs)
     out = queries.op5_line_dedup(spark, SF).orderBy("doc_id").collect()

@@ -43,3 +43,19 @@ def test_near_copies_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
     assert sorted(r["doc_id"] for r in out) == [1, 7, 8, 9]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_on_edges(spark, empty):
+    names = ["row", "group", "deleted", "_toxicity", "known", "cut", "score", "toxic"]
+    rows = [] if empty else [(1, None, *names), (None, "no id", *names), (2, "", *names), (3, "a b\nc", *names), (3, "a b\nc", *names)]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, SF).collect()
+        if name == "packing":
+            # A document may be cut into pieces; each begins once.
+            assert sum(r["start"] == 0 for r in out) == len(rows)
+            continue
+        assert not out or [list(r)[2:] for r in out] == [names] * len(out)
+        assert len(out) == len(rows) - (name == "ngram_jaccard_join" and not empty)
