@@ -39,6 +39,32 @@ def encoder(path: str, byte_level: bool) -> ChunkEncoder:
     return _KNOWN[path, byte_level]
 
 
+def marked(t: str) -> str | None:
+    """A text with a space before each place where the byte-level pattern always cuts; None where it has to look at the whole text."""
+    if not t or t[0].isspace() or t[-1].isspace() or _SPACES.search(t) or _OWN.search(t):
+        return None
+    if t[0] not in ".," and not _MARKS_OR_SPACE.search(t):
+        t = t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
+    return _START + t.replace("\n", " \n")
+
+
+def texts_of(chunk: str) -> str:
+    """The text of a chunk between two spaces of marked()."""
+    if chunk[0] in _FIRST:
+        return chunk if chunk[0] == "\n" else chunk[1:]
+    return chunk.replace(_STOP, ".").replace(_COMMA, ",") if chunk[0] in (_STOP, _COMMA) else " " + chunk
+
+
+def chunked(texts: list[str], lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks between spaces, the places of all chunks among them, and where each text's chunks begin (and the last one's end)."""
+    if not texts:
+        return [], np.zeros(0, np.int32), np.zeros(1, np.int32)
+    rows = pa.array(texts, pa.string())
+    lists = pc.split_pattern(pc.ascii_lower(rows) if lower else rows, " ")
+    found = lists.values.dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), lists.offsets.to_numpy()
+
+
 class ChunkEncoder:
     """encode(texts) -> one bytes object of 16-bit ids per text; a null text is empty.
 
@@ -80,9 +106,7 @@ class ChunkEncoder:
         """The text of a chunk, without the line feed or start of text before it."""
         if not self.byte_level:
             return chunk
-        if chunk[0] in _FIRST:
-            return chunk[1:]
-        return chunk.replace(_STOP, ".").replace(_COMMA, ",") if chunk[0] in (_STOP, _COMMA) else " " + chunk
+        return chunk[1:] if chunk[0] in _FIRST else texts_of(chunk)
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that are new to the worker."""
@@ -104,12 +128,6 @@ class ChunkEncoder:
             t = t.replace(".", " . ").replace(",", " , ")
         return t.replace("\n", " ")
 
-    @staticmethod
-    def _marked(t: str) -> str:
-        if t[0] not in ".," and not _MARKS_OR_SPACE.search(t):
-            t = t.replace(".", " " + _STOP).replace(",", " " + _COMMA)
-        return _START + t.replace("\n", " \n")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         out, a, chars = [], 0, 0
@@ -123,20 +141,18 @@ class ChunkEncoder:
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.byte_level:
             return self._chunked([self._apart(t or "") for t in texts])
-        whole = [bool(t) and (t[0].isspace() or t[-1].isspace() or _SPACES.search(t) is not None or _OWN.search(t) is not None) for t in texts]
-        rest = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
-        cut = iter(self._chunked([self._marked(t) for t, w in zip(texts, whole, strict=True) if t and not w]))
-        return [b"" if not t else next(rest) if w else next(cut) for t, w in zip(texts, whole, strict=True)]
+        texts = [t or "" for t in texts]
+        cuts = [marked(t) for t in texts]
+        rest = iter(self._ids([t for t, c in zip(texts, cuts, strict=True) if c is None and t]))
+        cut = iter(self._chunked([c for c in cuts if c is not None]))
+        return [b"" if not t else next(rest) if c is None else next(cut) for t, c in zip(texts, cuts, strict=True)]
 
     def _chunked(self, texts: list[str]) -> list[bytes]:
         """Chunks lie between spaces: distinct ones are found by Arrow, and ids are laid out by places among them."""
         if not texts:
             return []
-        rows = pa.array(texts, pa.string())
         # A tokenizer that lower-cases has the same ids for A-Z and a-z.
-        lists = pc.split_pattern(pc.ascii_lower(rows) if self.lowers else rows, " ")
-        found = lists.values.dictionary_encode()
-        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        chunks, which, ends = chunked(texts, self.lowers)
         codes = list(map(self.seen.get, chunks))
         if new := [x for x, ids in zip(chunks, codes, strict=True) if ids is None]:
             self._learn(new)
@@ -144,9 +160,8 @@ class ChunkEncoder:
         flat = np.frombuffer(b"".join(codes), "<u2")
         size = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
         start = np.cumsum(size) - size
-        which = found.indices.to_numpy()
         n = size[which]
         end = np.cumsum(n)
         raw = flat[np.repeat(start[which] - (end - n), n) + np.arange(end[-1])].tobytes()
-        at = np.append(0, 2 * end)[lists.offsets.to_numpy()].tolist()
+        at = np.append(0, 2 * end)[ends].tolist()
         return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
