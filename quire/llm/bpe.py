@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import shuffle_partitions, written_by
 from .encoding import chunked, marked, texts_of
 
 #: A run of documents ends when it holds so many characters.
@@ -45,7 +45,7 @@ RANK_AT = ID_BITS + OFFSET_BITS
 ID_MASK = (1 << ID_BITS) - 1
 NONE = 1 << 20
 
-CODES = "run long, bucket int, docs array<long>, a binary, b binary, c binary, d binary"
+CODES = "run long, bucket int, ids_of binary, ids binary, length binary, text binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -173,13 +173,44 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
+    """Numbers byte by byte, all lowest bytes first, compressed."""
+    raw = np.ascontiguousarray(x).view("u1").reshape(len(x), -1).T.tobytes() if len(x) else b""
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unpacked(x: bytes, kind: str = "<i4") -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], n, codec="zstd", asbytes=True) if n else b"", kind)
+    n, kind = int.from_bytes(x[:8], "little"), np.dtype(kind)
+    raw = np.frombuffer(pa.decompress(x[8:], n, codec="zstd", asbytes=True) if n else b"", "u1")
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    return _packed(np.fromiter(map(len, words), "<i4", len(words))), _packed(np.frombuffer(b"".join(words), "u1"))
+
+
+def _words_of(lengths: bytes, text: bytes) -> pa.Array:
+    ends = np.append(0, np.cumsum(_unpacked(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(_unpacked(text, "u1"))])
+
+
+def _renumbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on, renamed so that frequent ones are small, and the old name of each."""
+    old = np.argsort(-np.bincount(x), kind="stable") if len(x) else np.zeros(0, np.int64)
+    new = np.empty(len(old), np.int32)
+    new[old] = np.arange(len(old))
+    return new[x], old
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Numbers given in order of first use: 0 for a first use, else the number plus one."""
+    first = np.zeros(len(x), bool)
+    first[np.unique(x, return_index=True)[1]] = True
+    return np.where(first, 0, x + 1).astype("<i4")
+
+
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """What _firsts was given."""
+    return np.where(x == 0, np.cumsum(x == 0) - 1, x - 1)
 
 
 class Run:
@@ -210,26 +241,22 @@ class Run:
             self.places.append(own)
 
     def row(self, run: int) -> pa.RecordBatch:
-        """run, docs, the packed places, and the words by bucket."""
-        words: dict[str, int] = {}
-        found = [self.find(texts_of(x)) if cut else [x] for cut, x in self.chunks]
+        """run, docs, the packed places, and the packed words by bucket."""
+        places, old = _renumbered(np.concatenate(self.places) if self.places else np.zeros(0, np.int32))
+        chunks, words = list(self.chunks), {}
+        found = [self.find(texts_of(x)) if cut else [x] for cut, x in map(chunks.__getitem__, old.tolist())]
         chunk_words = np.array([words.setdefault(w, len(words)) for f in found for w in f], np.int32)
-        bucket = (pd.util.hash_array(np.array(list(words), object)) % np.uint64(self.buckets)).astype(np.int64) if words else np.zeros(0, np.int64)
+        bucket = (pd.util.hash_array(np.array(list(words), object)) % np.uint64(self.buckets)).astype(np.int32) if words else np.zeros(0, np.int32)
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
+        ordered = list(map([w.encode() for w in words].__getitem__, order.tolist()))
         own, first = np.unique(bucket[order], return_index=True)
-        ends = pa.array(np.append(first, len(order)).astype(np.int32))
-        ordered = pa.array([w.encode() for w in words], pa.binary()).take(pa.array(order))
-        lists = pa.ListArray.from_arrays(ends, ordered)
-        parts = pa.StructArray.from_arrays([pa.array(own, pa.int32()), lists], ["bucket", "words"])
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int32)
-        return pa.record_batch({
-            "run": pa.array([run], pa.int64()), "docs": pa.array([self.docs], pa.list_(pa.int64())),
-            "a": pa.array([_packed(np.array(self.sizes, "<i4"))], pa.binary()), "b": pa.array([_packed(places)], pa.binary()),
-            "c": pa.array([_packed(np.array([len(f) for f in found], "<i4"))], pa.binary()), "d": pa.array([_packed(rank[chunk_words])], pa.binary()),
-            "parts": pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
-        })
+        ends = [*first.tolist(), len(order)]
+        parts = [{"bucket": b, "lengths": x, "text": t} for b, (x, t) in zip(own.tolist(), (_packed_words(ordered[i:j]) for i, j in zip(ends, ends[1:], strict=False)), strict=True)]
+        packed = (np.array(self.sizes, "<i4"), places.astype("<i4"), np.array([len(f) for f in found], "<i4"), _firsts(chunk_words), bucket)
+        return pa.record_batch([
+            pa.array([run], pa.int64()), pa.array([self.docs], pa.list_(pa.int64())), *(pa.array([_packed(x)], pa.binary()) for x in packed),
+            pa.array([parts], pa.list_(pa.struct([("bucket", pa.int32()), ("lengths", pa.binary()), ("text", pa.binary())]))),
+        ], names=["run", "docs", *"abcde", "parts"])
 
 
 def _runs(pattern: str, buckets: int):
@@ -252,7 +279,7 @@ def _runs(pattern: str, buckets: int):
 
 
 def _gather(ranks: dict[bytes, int]):
-    """Rows (run, bucket, words) sorted by bucket -> a row per bucket with its distinct words and whose they are."""
+    """Rows (run, bucket, packed words) sorted by bucket -> a row per bucket with its distinct words and whose they are."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = Starts(ranks)
@@ -268,13 +295,13 @@ def _gather(ranks: dict[bytes, int]):
             })
 
         for batch in batches:
-            for r, b, w in zip(batch.column("run").to_pylist(), batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+            for r, b, x, t in zip(*(batch.column(c).to_pylist() for c in ("run", "bucket", "lengths", "text")), strict=True):
                 if b != bucket and lists:
                     yield close()
                     runs, lists = [], []
                 bucket = b
                 runs.append(r)
-                lists.append(w.values)
+                lists.append(_words_of(x, t))
         if lists:
             yield close()
 
@@ -300,36 +327,37 @@ def _spread(ranks: dict[bytes, int]):
                     text = np.frombuffer(b"".join(d.to_pylist()), np.uint8)
                     packed = (c.value_lengths().to_numpy(), c.flatten().to_numpy(), pc.binary_length(d).to_numpy(), text)
                     yield pa.record_batch(
-                        [pa.array([run], pa.int64()), batch.column("bucket").slice(k, 1), pa.array([None], pa.list_(pa.int64())), *(pa.array([_packed(x)], pa.binary()) for x in packed)], names=["run", "bucket", "docs", "a", "b", "c", "d"]
+                        [pa.array([run], pa.int64()), batch.column("bucket").slice(k, 1), *(pa.array([_packed(x)], pa.binary()) for x in packed)], names=["run", "bucket", "ids_of", "ids", "length", "text"]
                     )
 
     return rows
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Rows of CODES, in parts by run and sorted by run and bucket.
+    """Runs of documents, each a row.
 
-    A run begins with the row of bucket -1: its documents' ids, and packed the number of chunks of
-    each, the places of these chunks, the number of words of each distinct chunk, the places of these
-    words. The run's words follow bucket by bucket: packed the number of ids of each, these ids, the
-    length of what they decode to, and these bytes.
+    run; docs: its documents' ids; packed: a, the number of chunks of each; b, the places of these
+    chunks; c, the number of words of each distinct chunk; d, the numbers of these words by first use;
+    e, the bucket of each word; and codes, by bucket for its words and packed: the number of ids of
+    each, these ids, the length of what they decode to, and these bytes.
     """
     spark, ranks = docs.sparkSession, read_ranks(rank_path)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-chars // RUN_CHARS))
     runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _runs(pattern, SPREAD * parts), "run long, docs array<long>, a binary, b binary, c binary, d binary, parts array<struct<bucket:int,words:array<binary>>>"
+        _runs(pattern, SPREAD * parts), "run long, docs array<long>, a binary, b binary, c binary, d binary, e binary, parts array<struct<bucket:int,lengths:binary,text:binary>>"
     )
-    runs = written(runs, "bpe")
-    words = runs.select("run", F.explode("parts").alias("p")).select("run", "p.bucket", "p.words")
+    runs = written_by(runs, "bpe", "run", parts)
+    words = runs.select("run", F.explode("parts").alias("p")).select("run", "p.bucket", "p.lengths", "p.text")
     buckets = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(ranks), "bucket int, runs array<long>, counts array<int>, which binary, words array<binary>, starts array<array<long>>")
     # A subquery can't stand inside a lambda, so the literals are columns of the few wide rows that buckets are.
     lit = buckets.withColumns({"_ranks": rank_literal(spark, ranks), "_pieces": piece_literal(spark, ranks)})
     codes = lit.withColumn("codes", F.transform("starts", lambda s: encode_word(s, F.col("_ranks"))))
     decoded = codes.withColumn("decoded", F.transform("codes", lambda c: decode_ids(c, F.col("_pieces"))))
     back = decoded.select("bucket", "runs", "counts", "which", "words", "codes", "decoded").mapInArrow(_spread(ranks), CODES)
-    own = runs.select("run", F.lit(-1).alias("bucket"), "docs", "a", "b", "c", "d")
-    return own.unionByName(back).repartition(parts, "run").sortWithinPartitions("run", "bucket")
+    # A run's codes are bounded as the run is. The runs lie in buckets, so only codes are shuffled.
+    by_run = back.repartition(parts, "run").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids_of", "ids", "length", "text"))).alias("codes"))
+    return runs.select("run", "docs", *"abcde").hint("merge").join(by_run, "run", "left")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -344,10 +372,13 @@ def digests(encoded: DataFrame) -> DataFrame:
     def joined(words: list[bytes], chunks: list[list[int]]) -> list[bytes]:
         return [words[c[0]] if len(c) == 1 else b"".join([words[w] for w in c]) for c in chunks]
 
-    def finish(own: tuple, parts: list[tuple]) -> pa.RecordBatch:
-        docs, sizes, places, chunk_sizes, chunk_words = own[0], *map(_unpacked, own[1:])
-        n_ids, ids, lengths = (np.concatenate([np.zeros(0, "<i4"), *(_unpacked(p[k]) for p in parts)]) for k in range(3))
-        text = b"".join(_unpacked(p[3], "u1").tobytes() for p in parts)
+    def finish(docs: list[int | None], packed: list[bytes], codes: list[dict]) -> pa.RecordBatch:
+        sizes, places, chunk_sizes, chunk_words, bucket = map(_unpacked, packed)
+        rank = np.empty(len(bucket), np.int64)
+        rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        chunk_words = rank[_numbers(chunk_words)]
+        n_ids, ids, lengths = (np.concatenate([np.zeros(0, "<i4"), *(_unpacked(p[k]) for p in codes)]) for k in ("ids_of", "ids", "length"))
+        text = b"".join(_unpacked(p["text"], "u1").tobytes() for p in codes)
         ends = np.append(0, np.cumsum(chunk_sizes)).tolist()
         flat = chunk_words.tolist()
         chunks = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
@@ -370,18 +401,8 @@ def digests(encoded: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
         for b in batches:
-            columns = [b.column(c) for c in "abcd"]
-            for k, (bucket, docs) in enumerate(zip(b.column("bucket").to_pylist(), b.column("docs"), strict=True)):
-                packed = [c[k].as_py() for c in columns]
-                if bucket < 0:
-                    if own:
-                        yield finish(own, parts)
-                    own, parts = (docs.as_py(), *packed), []
-                else:
-                    parts.append(packed)
-        if own:
-            yield finish(own, parts)
+            for k in range(b.num_rows):
+                yield finish(b.column("docs")[k].as_py(), [b.column(c)[k].as_py() for c in "abcde"], b.column("codes")[k].as_py() or [])
 
     return encoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

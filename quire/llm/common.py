@@ -30,19 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the session ends."""
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
     That cuts the lineage, and a lost executor costs a re-read rather than a recomputation.
     The table goes when the session ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = _own_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """written(), in buckets by key: a join on it with ``parts`` partitions needn't shuffle the table again."""
+    path = _own_path(df.sparkSession, name)
+    own = f"quire_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(own)
+    return df.sparkSession.table(own)
 
 
 def dropped(table: DataFrame) -> None:
