@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import bpe, jaccard, linededup, lm, packing, pii, queries, repair, rules, topk, toxicity
+from quire.llm.common import table
 from quire.llm.encoding import ChunkEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -217,6 +218,8 @@ def test_bpe_is_tiktoken(spark, edge, none):
     got = bpe.digests(bpe.encode(edge, path, P.PATTERN)).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(i), *expected(t)) for i, t in EDGE)
     assert bpe.digests(bpe.encode(none, path, P.PATTERN)).count() == 0
+    own = table(spark, SF, "documents").select("doc_id", "text").collect()
+    assert sorted(map(tuple, queries.op3_bpe(spark, SF).collect())) == sorted((i, *expected(t)) for i, t in own)
 
 
 # ---- 4 and 7: token ids
