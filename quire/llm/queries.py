@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, linededup, lm, packing, pii, repair, rules, topk, toxicity
-from .common import crc_mod, table
+from . import bpe, centroids, jaccard, linededup, lm, packing, pii, repair, rules, runs, shards, topk, toxicity
+from .common import crc_mod, table, words
 
 POLICY = "v1"
 #: The Spark setting that holds the surrogates' key. What is set here for the test tables is no secret: a deployment sets its own.
@@ -103,6 +103,76 @@ select query_id, rank, vec_id, score from r where rank <= 20
 """
 
 
+def op11_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.sized(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return shards.assign(rows, 24).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+_OP11 = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+poly as (select list(list_reduce(range(0, 8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b) as tab from range(0, 256) r(b)),
+c as (select doc_id, cast(strlen(t) + 8 as bigint) as size,
+ cast(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: cast(('0x' || x) as bigint)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as bigint) as text_crc32,
+ cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 16)) as ubigint) as h from d, poly),
+j as (select h, n, list_reduce(range(0, 64), lambda s, i: case when s.b >= n then s else
+   {'k': (s.k * 2862933555777941757 + 1) % 18446744073709551616, 'a': s.b,
+    'b': cast(least(cast(n as double), floor((s.b + 1) * (cast(2147483648 as double) / (cast((((s.k * 2862933555777941757 + 1) % 18446744073709551616) >> 33) as double) + 1)))) as bigint)} end,
+   {'k': cast(h as uhugeint), 'a': cast(-1 as bigint), 'b': cast(0 as bigint)}).a as s from (select distinct h from c) x, (select unnest([24, 25]) as n) y)
+select doc_id, size, text_crc32, 'key' as law, cast(a.s as int) as shard,
+ cast(row_number() over (partition by a.s order by doc_id, size, text_crc32) - 1 as bigint) as slot, cast(b.s as int) as grown_shard
+from c join j a on a.h = c.h and a.n = 24 join j b on b.h = c.h and b.n = 25
+"""
+
+
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = centroids.quantised(table(spark, sf_dir, "embeddings"), 64)
+    return centroids.cluster(points, 16, 3).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12() -> str:
+    near = "(select vec_id, rid, v, c, d from (select p.vec_id, p.rid, p.v, m.c, cast(list_sum(list_transform(list_zip(p.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from p, {m} m) x qualify row_number() over (partition by rid order by d, c) = 1)"
+    step = """n{k} as materialized (select * from {near}),
+u{k} as (select c, pos, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, 65)) as pos from n{k}) x group by c, pos),
+m{k} as materialized (select m.c, coalesce(q.v, m.v) as v from m{j} m left join (select c, list(cast((s - ((s % n + n) % n)) // n as bigint) order by pos) as v from u{k} group by c) q on q.c = m.c)"""
+    steps = ",\n".join(step.format(k=k, j=k - 1, near=near.format(m=f"m{k - 1}")) for k in (1, 2, 3))
+    return f"""
+with p as materialized (select vec_id, row_number() over () as rid, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+ where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+m0 as materialized (select cast(row_number() over (order by h, v) - 1 as int) as c, v from (select sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h, v from p order by h, v limit 16) x),
+{steps},
+n4 as materialized (select * from {near.format(m="m3")})
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+ sha256(array_to_string(m3.v, ',')) as centroid_sha256 from n4 join m3 using (c)
+"""
+
+
+def planted(text: Column, doc_id: Column) -> Column:
+    """The text, of one in ten documents with the words from one place on repeating a period; both follow from the id."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    found = F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))
+    return F.when(h % 10 == 0, found[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find(docs, keep=["doc_id"])
+    # Of two runs the one with the greater length/period, compared by products; of equal ones the first stands first already.
+    greater = lambda a, x: a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda a, x: F.when(greater(a, x), x).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("r"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "r.start", "r.length", "r.period", F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_lm_scoring": op2_lm_scoring,
@@ -114,9 +184,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_topk": op10_topk,
+    "op11_jump_hash": op11_jump_hash,
+    "op12_ball_tree": op12_ball_tree,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": _OP8,
     "op10_topk": _OP10,
+    "op11_jump_hash": _OP11,
+    "op12_ball_tree": _op12(),
 }
