@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixtures import oracle, view
 from .functions import citations as C
 from .functions import text as T
+from .catalog_pages import HEADINGS
 from .operators import integrity, layout, links, references, render, review
+from .registry import ORACLES, QUERIES, over as _over, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "linked_citations_by_ref"
 
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = oracle(sql)
-        return f
-
-    return put
-
-
-def _over(name: str, views: tuple[str, ...], f: Callable[..., DataFrame], sql: str | None = None) -> None:
-    """Registers f over injected views."""
-    query(name, sql)(lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views)))
-
-
 # ---- citation links ---------------------------------------------------------------------------
 
 _NUMBERS = r"""
@@ -157,7 +137,7 @@ _BODY = "bs as (select paper_id, size as body_size from (select paper_id, round(
 _over("running_heads", ("v_line",), layout.running_heads, f"with {_HEADS} select * from hh")
 _over("body_font_size", ("v_line",), layout.body_size, f"with {_BODY} select * from bs")
 _over("header_footer_filter", ("v_line",), lambda l: layout.without_furniture(l).select("paper_id", "line_seq"),
-      rf"""with {_HEADS} select paper_id, line_seq from v_line v where trim(text) <> '' and not regexp_matches(text, '(?i)^\s*(page\s+)?\d{{1,4}}(\s+of\s+\d{{1,4}})?\s*$')
+      rf"""with {_HEADS} select paper_id, line_seq from v_line v where trim(text) <> '' and not (regexp_matches(text, '(?i)^\s*(page\s+)?\d{{1,4}}(\s+of\s+\d{{1,4}})?\s*$') and (y0 < 26 or y0 > 234))
  and not exists (select 1 from hh where hh.paper_id = v.paper_id and hh.head = regexp_replace(lower(trim(v.text)), '\d+', '#', 'g'))""")
 
 
@@ -178,11 +158,8 @@ def _titled(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", F.when(F.col("size") == 12, name).otherwise(F.col("text")))
 
 
-_over("headings", ("v_line",), lambda l: layout.headings(_titled(l)).where("line_seq % 12 = 1").select("paper_id", "line_seq", "title", "level", "kind"),
-      f"""with tl as (select * replace (case when size = 12 then case line_seq % 36 when 1 then 'Introduction' when 13 then '2.' || cast(paper_id % 5 + 1 as varchar) || ' Model Details' else 'REFERENCES' end else text end as text) from v_line),
- b as (select paper_id, size as body from (select paper_id, round(size, 1) as size, sum(length(text)) as mass, min(line_seq) as seq from tl group by paper_id, round(size, 1)) qualify row_number() over (partition by paper_id order by mass desc, seq) = 1)
- select paper_id, line_seq, regexp_replace(text, '^[0-9.]+ ', '') as title, cast(case when text like '2.%' then 2 else 1 end as int) as level, case when text = 'REFERENCES' then 'references' else 'body' end as kind from tl join b using (paper_id)
- where line_seq % 12 = 1 and (size > 1.02 * body or text = 'REFERENCES')""")
+_TITLED = "tl as (select * replace (case when size = 12 then case line_seq % 36 when 1 then 'Introduction' when 13 then '2.' || cast(paper_id % 5 + 1 as varchar) || ' Model Details' else 'REFERENCES' end else text end as text), 1 = 0 as mostly_bold from v_line)"
+_over("headings", ("v_line",), lambda l: layout.headings(_titled(l)), f"with {_TITLED}, {HEADINGS.format(lines='tl')} select * from hd")
 _over("paragraphs", ("v_line",), layout.paragraphs,
       """with g as (select *, lag(page) over w as pp, lag(x0) over w as px, lag(y0) over w as py from v_line window w as (partition by paper_id order by line_seq)), m as (select paper_id, median(size) as h from v_line group by 1),
  n as (select g.*, case when pp is null or pp <> page or (px < 200) <> (x0 < 200) or y0 - py - size > 0.85 * h then 1 else 0 end as nw from g join m using (paper_id))

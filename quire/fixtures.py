@@ -35,31 +35,72 @@ VIEWS: dict[str, str] = {
  case when doc_id % 3 = 0 then concat('10.1000/X', cast(doc_id % 80 as varchar(20))) else null end as doi,
  concat('https://example.org/W', cast(doc_id as varchar(20))) as url, cast(n_chars as int) as cited_by_count from documents""",
 }
-#: Each paper has a bibliography of its own: most of the references, other ones in each.
-VIEWS["v_paper_ref"] = f"select doc_id as paper_id, r.* from documents cross join ({VIEWS['v_ref']}) r where (doc_id + ord) % 5 <> 0"
+#: Each paper has a bibliography of its own: up to 40 references, dealt from all by its id.
+VIEWS["v_paper_ref"] = """select d.doc_id as paper_id, k.item_id + 1 as ord, concat('ref_', cast(k.item_id + 1 as varchar(20))) as ref_id, cast(k.item_id + 1 as varchar(20)) as label, r.author1, r.year, r.title, r.doi, r.container
+ from documents d join benchmark k on k.item_id < 40 and (d.doc_id + k.item_id) % 5 <> 0 join (select count(*) as n from benchmark) c on true join v_ref r on r.ord = (d.doc_id * 7 + k.item_id) % c.n + 1"""
 _LINE = """select doc_id as paper_id, cast(line_seq as int) as line_seq, cast(floor(line_seq / 12.0) as int) as page,
  case when line_seq % 12 = 0 then concat('Running head ', cast(cast(floor(line_seq / 12.0) as int) as varchar(20))) else text end as text,
  cast(case when line_seq % 12 in (5, 6, 7) and doc_id % 2 = 0 then 330 when line_seq % 3 = 2 then 90 else 72 end as double) as x0,
  cast(case when line_seq % 12 = 0 then 20 else 90 + 14 * (line_seq % 12) end as double) as y0,
  cast(case when line_seq % 12 = 1 then 12 else 10 end as double) as size from ({raw}) z"""
+#: Lines of at most 60 characters, on pages of 40 lines in another order than they are read: two of three papers in two columns
+#: with three lines across, the third in one column with number-only lines beside their headings.
+VIEWS["v_page_line"] = """select paper_id, line_seq, page, text, x0, case when x0 = 60 and n = 1 then 72.0 when n = 1 then x0 + 10 when wide = 1 then 540.0 when two = 1 then x0 + 230 else 540.0 end as x1, y0, y0 + 11 as y1, size, bold, n as is_number from (
+ select paper_id, line_seq, page, two, size, bold, n, wide, case when n = 1 then case line_seq % 3 when 0 then '2.1' when 1 then 'IV.' else 'B.' end else text end as text,
+ cast(case when wide = 1 then 60 when two = 1 then case when side = 0 then 60 else 320 end when side = 0 then case when row5 = 2 then 100 else 60 end when row5 = 1 then 80 when row5 = 2 then 118 else 80 end as double) as x0,
+ cast(40 + 18 * row_no as double) + case when two = 1 then side * 0.02 when row5 = 2 then -17 when row5 in (0, 3, 4) then side * 9 else 0 end as y0 from (
+ select *, case when two = 1 and slot in (0, 14, 26) then 1 else 0 end as wide, case when two = 0 and ((side = 0 and row5 in (1, 2) and not (row5 = 2 and paper_id % 2 = 0)) or (side = 1 and row5 = 1)) then 1 else 0 end as n from (
+ select *, cast(floor(slot / 2.0) as int) as row_no, slot % 2 as side, cast(floor(slot / 2.0) as int) % 5 as row5 from (
+ select doc_id as paper_id, cast(line_seq as int) as line_seq, cast(floor(line_seq / 40.0) as int) as page, cast((line_seq % 40) * 7 % 40 as int) as slot, case when doc_id % 3 = 2 then 0 else 1 end as two, text,
+ cast(case when line_seq % 40 = 2 then 14 when line_seq % 40 = 9 then 13.8 else 10 end as double) as size, case when line_seq % 11 = 4 then 1 else 0 end as bold from v_raw_line) a) b) c) d"""
+#: Three spans a line; some are raised numbers, some raised letters.
+VIEWS["v_span"] = """select paper_id, page, line_seq, span_no, case raised when 1 then case when line_seq % 4 = 3 then 'th' when span_no = 0 then '1' else ' 2,3 ' end else text end as text,
+ size, case when (line_seq + span_no) % 9 = 1 then 'Serif-Bold' when (line_seq + span_no) % 9 = 4 then 'Serif-Oblique' else 'Serif' end as font, raised + case when line_seq % 8 = 1 then 16 else 0 end + case when span_no = 2 and line_seq % 6 = 2 then 2 else 0 end as flags, x0 + 70 * span_no as x0, y0, x0 + 70 * span_no + 60 as x1, y1 from (
+ select l.paper_id, l.page, l.line_seq, cast(k.item_id as int) as span_no, substring(l.text, cast(20 * k.item_id + 1 as int), 20) as text, l.size, l.x0, l.y0, l.y1, case when (l.line_seq * 3 + k.item_id) % 7 in (0, 1) then 1 else 0 end as raised from v_page_line l join benchmark k on k.item_id < 3) z"""
+#: Front matter on the first page, and lines that are, or nearly are, headings.
+VIEWS["v_head_line"] = """select paper_id, line_seq, page, x0, y0, x1, y1, size, case when bold = 1 or (line_seq > 9 and line_seq % 10 in (0, 6)) then 1 = 1 else 1 = 0 end as mostly_bold, case
+ when line_seq = 1 and paper_id % 2 = 0 then 'Abstract—We show that this holds' when line_seq = 3 then 'Ada M. Lovelace' when line_seq = 4 then 'Alan Turing∗†' when line_seq = 5 then 'University of Tests' when line_seq = 6 then 'Grace Hopper1,2' when line_seq = 7 then 'someone@tests.org' when line_seq = 8 and paper_id % 5 = 0 then 'Open Academy' when line_seq = 8 then 'O''Neil van Stone'
+ when line_seq % 10 = 0 and line_seq > 9 then case (paper_id + line_seq) % 9 when 0 then 'Introduction' when 1 then '3.1 Training Details' when 2 then '3.1 Training Details.' when 3 then 'IV. RESULTS' when 4 then 'B. Ablation Study' when 5 then '2 x = y + 4 - 12' when 6 then 'REFERENCES' when 7 then '12.4.1. Long Runs' else 'Discussion:' end
+ when line_seq % 10 = 3 and line_seq > 9 then case paper_id % 3 when 0 then 'methods' when 1 then '5 Conclusion' else 'APPENDIX' end else text end as text from v_page_line"""
 #: Only the split into lines differs by engine.
-LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\\\n')) e as pos, t")
+LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
-_TABLES = re.compile(r"\bfrom (documents|benchmark|events)\b")
+_SHORT = "regexp_extract_all(replace(text, chr(10), ' '), '(?s).{1,60}', 0)"
+BY_ENGINE = {
+    "v_line": (LINE_SPARK, LINE_DUCK),
+    "v_raw_line": (f"select doc_id, pos as line_seq, t as text from documents lateral view posexplode({_SHORT}) e as pos, t", f"select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, {_SHORT} as a from documents) q"),
+}
+_TABLES = re.compile(r"\b(from|join) (documents|benchmark|events)\b")
+_NAMES = [*BY_ENGINE, *VIEWS]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One injected relation as a DataFrame."""
-    text = LINE_SPARK if name == "v_line" else VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLES.findall(text))}
-    return spark.sql(_TABLES.sub(r"from {\1}", text), **used)
+def _text(name: str, duck: bool) -> str:
+    return BY_ENGINE[name][duck] if name in BY_ENGINE else VIEWS[name]
 
 
-def oracle(query: str) -> str:
-    """query, for the SQL oracle, with the views that it names as common table expressions."""
-    names = [n for n in [*VIEWS, "v_line"] if re.search(rf"\b{n}\b", query)]
-    ctes = ",\n".join(f"{n} as ({LINE_DUCK if n == 'v_line' else VIEWS[n]})" for n in names)
+def _needed(query: str, duck: bool) -> list[str]:
+    """The views that a query names, and those that they name, each before its users."""
+    out: list[str] = []
+    for n in [n for n in _NAMES if re.search(rf"\b{n}\b", query)]:
+        out += [m for m in [*_needed(_text(n, duck), duck), n] if m not in out]
+    return out
+
+
+def _with(query: str, duck: bool) -> str:
+    ctes = ",\n".join(f"{n} as ({_text(n, duck)})" for n in _needed(query, duck))
     body = query.strip()
     if not ctes:
         return body
     return f"with {ctes},\n{body[5:]}" if body.lower().startswith("with ") else f"with {ctes}\n{body}"
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One injected relation as a DataFrame."""
+    text = _with(_text(name, False), False)
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {t for _, t in _TABLES.findall(text)}}
+    return spark.sql(_TABLES.sub(r"\1 {\2}", text.replace("{", "{{").replace("}", "}}")), **used)
+
+
+def oracle(query: str) -> str:
+    """query, for the SQL oracle, with the views that it names as common table expressions."""
+    return _with(query, True)

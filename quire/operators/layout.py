@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +16,9 @@ KNOWN_HEADINGS = {
     "other": ["acknowledgements", "acknowledgments", "acknowledgement", "acknowledgment", "appendix", "broader impact", "ethics statement"],
 }
 PAGE_HEIGHT = 260.0
-NUMBERING = r"^(\d+(?:\.\d+)*)\.?\s+(.*)$"
+#: Numbers before a heading (3, 3.1, IV., B.) and the title after them; a line that holds a page's number.
+NUMBERING = r"^\s*(?:(\d+(?:\.\d+)*)\.?|([IVXLC]+)\.|([A-H])\.)\s+(.*)$"
+PAGE_NUMBER = r"(?i)^\s*(page\s+)?\d{1,4}(\s+of\s+\d{1,4})?\s*$"
 #: A figure's caption is at most so far from it.
 CAPTION_GAP = 40.0
 
@@ -33,10 +35,11 @@ def running_heads(lines: DataFrame, share: float = 0.35, height: float = PAGE_HE
     return heads.join(pages, "paper_id").where(F.col("n_pages") >= F.greatest(F.lit(2.0), share * F.col("n"))).select("paper_id", "head", "n_pages")
 
 
-def without_furniture(lines: DataFrame) -> DataFrame:
-    """Lines that are neither blank, page numbers nor running heads."""
-    plain = lines.where(F.trim("text") != "").where(~F.col("text").rlike(r"(?i)^\s*(page\s+)?\d{1,4}(\s+of\s+\d{1,4})?\s*$"))
-    heads = running_heads(lines).select("paper_id", "head")
+def without_furniture(lines: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:
+    """Lines that are neither blank, nor page numbers in the top or bottom tenth, nor running heads."""
+    band = (F.col("y0") < 0.1 * height) | (F.col("y0") > 0.9 * height)
+    plain = lines.where(F.trim("text") != "").where(~(F.col("text").rlike(PAGE_NUMBER) & band))
+    heads = running_heads(lines, height=height).select("paper_id", "head")
     keyed = plain.withColumn("head", T.running_key(F.col("text")))
     return keyed.join(heads, ["paper_id", "head"], "left_anti").drop("head")
 
@@ -48,18 +51,36 @@ def body_size(lines: DataFrame) -> DataFrame:
     return by.groupBy("paper_id").agg(best.alias("body_size"))
 
 
+def stripped(t: Column) -> tuple[Column, Column]:
+    """A heading's title without its number, and its level: one more than the number's dots."""
+    number = F.regexp_extract(t, NUMBERING, 1)
+    title = F.when(t.rlike(NUMBERING), F.trim(F.regexp_extract(t, NUMBERING, 4))).otherwise(t)
+    return title, F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(1).cast("int")
+
+
+def kind_of(title: Column) -> Column:
+    """The kind of a known section name, else null."""
+    key = F.regexp_replace(F.lower(title), r"[.:]+$", "")
+    return F.coalesce(*(F.when(key.isin(v), F.lit(k)) for k, v in KNOWN_HEADINGS.items()))
+
+
 def headings(lines: DataFrame) -> DataFrame:
-    """Lines that look like headings, with title, level and kind."""
+    """Lines that are headings, with title, level and kind.
+
+    At most 90 characters and 12 words. A known name only has to be set apart (larger, bold, in
+    capitals or numbered); any other line has to be numbered, larger or bold, mostly letters, and
+    not to end like a sentence. ``mostly_bold`` may be missing.
+    """
     t = F.trim("text")
-    number, rest = F.regexp_extract(t, NUMBERING, 1), F.regexp_extract(t, NUMBERING, 2)
-    title = F.when(number != "", rest).otherwise(t)
-    level = F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(1)
-    kind = F.coalesce(*(F.when(F.lower(title).isin(v), F.lit(k)) for k, v in KNOWN_HEADINGS.items()))
-    rows = lines.join(body_size(lines), "paper_id").where((F.length(t) <= 90) & (F.size(F.split(t, r"\s+")) <= 12))
-    apart = (F.col("size") > 1.02 * F.col("body_size")) | (number != "") | (F.upper(t) == t)
-    letters = F.length(F.regexp_replace(title, r"[^\p{L}]", "")) / F.greatest(F.length(title), F.lit(1))
-    unknown = (number != "") & ~t.rlike(r"[.,:;]$") & (F.col("size") > 1.02 * F.col("body_size")) & (letters > 0.75)
-    return rows.where((kind.isNotNull() & apart) | unknown | ((F.col("size") > 1.02 * F.col("body_size")) & ~t.rlike(r"[.,:;]$") & (letters > 0.75))).select("paper_id", "line_seq", title.alias("title"), level.cast("int").alias("level"), F.coalesce(kind, F.lit("body")).alias("kind"))
+    title, level = stripped(t)
+    bold = F.col("mostly_bold") if "mostly_bold" in lines.columns else F.lit(False)
+    rows = lines.join(body_size(lines), "paper_id").where((t != "") & (F.length(t) <= 90) & (F.size(F.split(t, r"\s+")) <= 12))
+    larger, numbered = F.col("size") > 1.02 * F.col("body_size"), t.rlike(NUMBERING)
+    apart = larger | bold | ((F.upper(t) == t) & (F.lower(t) != t)) | numbered
+    letters = F.length(F.regexp_replace(title, r"[^\p{L}\s]", "")) / F.greatest(F.length(title), F.lit(1))
+    other = numbered & (larger | bold) & ~t.rlike(r"[.,:;]$") & (letters > 0.75)
+    kind = kind_of(title)
+    return rows.where(F.when(kind.isNotNull(), apart).otherwise(other)).select("paper_id", "line_seq", title.alias("title"), level.alias("level"), F.coalesce(kind, F.lit("body")).alias("kind"))
 
 
 def section_lines(lines: DataFrame, marks: DataFrame) -> DataFrame:
