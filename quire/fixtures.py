@@ -62,6 +62,13 @@ VIEWS["v_head_line"] = """select paper_id, line_seq, page, x0, y0, x1, y1, size,
  when line_seq = 1 and paper_id % 2 = 0 then 'Abstract—We show that this holds' when line_seq = 3 then 'Ada M. Lovelace' when line_seq = 4 then 'Alan Turing∗†' when line_seq = 5 then 'University of Tests' when line_seq = 6 then 'Grace Hopper1,2' when line_seq = 7 then 'someone@tests.org' when line_seq = 8 and paper_id % 5 = 0 then 'Open Academy' when line_seq = 8 then 'O''Neil van Stone'
  when line_seq % 10 = 0 and line_seq > 9 then case (paper_id + line_seq) % 9 when 0 then 'Introduction' when 1 then '3.1 Training Details' when 2 then '3.1 Training Details.' when 3 then 'IV. RESULTS' when 4 then 'B. Ablation Study' when 5 then '2 x = y + 4 - 12' when 6 then 'REFERENCES' when 7 then '12.4.1. Long Runs' else 'Discussion:' end
  when line_seq % 10 = 3 and line_seq > 9 then case paper_id % 3 when 0 then 'methods' when 1 then '5 Conclusion' else 'APPENDIX' end else text end as text from v_page_line"""
+#: Nine drawings, tables and images a page, among them panels over each other, frames of the page and rules.
+VIEWS["v_drawing"] = """select paper_id, page, case when j = 0 and paper_id % 3 = 0 then 'table' when j < 6 then 'drawing' else 'image' end as kind, cast(j as bigint) as seq, x0, y0, x0 + w as x1, y0 + h as y1, case when j = 0 and paper_id % 3 = 0 then 'a | b' else '' end as body from (
+ select p.paper_id, p.page, k.item_id as j, cast(case when k.item_id % 4 = 3 then 320 else 60 + 3 * k.item_id end as double) as x0, cast(60 + (p.paper_id * 31 + p.page * 17 + k.item_id * k.item_id * 23) % 280 as double) as y0,
+ cast(case when k.item_id = 4 then 590 when k.item_id = 5 then 80 else 200 + (p.paper_id + k.item_id * 7) % 40 end as double) as w, cast(case when k.item_id = 4 and p.paper_id % 2 = 0 then 790 else 22 + (p.paper_id * 5 + k.item_id * 13) % 34 end as double) as h
+ from (select distinct paper_id, page from v_page_line) p join benchmark k on k.item_id < 9) z"""
+#: Pages with captions: some near a region, some apart, most with lines that go on.
+VIEWS["v_caption_line"] = """select paper_id, line_seq, page, x0, y0, x1, y1, size, case when line_seq % 9 = 5 and is_number = 0 then concat(case (paper_id + line_seq) % 4 when 0 then 'Table ' when 1 then 'Fig. ' when 2 then 'FIGURE ' else 'Figured ' end, cast(line_seq as varchar(20)), case when line_seq % 2 = 0 then '. ' else ': ' end, text) else text end as text from v_page_line"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
