@@ -33,10 +33,12 @@ from .common import shuffle_partitions, written_by
 from .encoding import chunked, marked, texts_of
 
 #: A run of documents ends when it holds so many characters.
-RUN_CHARS = 16_000_000
+RUN_CHARS = 10_000_000
 #: Buckets of words a run's worth of characters makes.
 SPREAD = 4
 LONG = 256
+#: Spark writes a table in at most so many buckets; beyond, a bucket holds several runs.
+MOST_BUCKETS = 100_000
 #: Small maps in the rank literal.
 MAPS = 1 << 15
 #: A part of a word in the fold: rank of the pair it begins, its offset and its id, in one long, so that the least one is merged next.
@@ -347,7 +349,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _runs(pattern, SPREAD * parts), "run long, docs array<long>, a binary, b binary, c binary, d binary, e binary, parts array<struct<bucket:int,lengths:binary,text:binary>>"
     )
-    runs = written_by(runs, "bpe", "run", parts)
+    held = min(parts, MOST_BUCKETS)
+    runs = written_by(runs, "bpe", "run", held)
     words = runs.select("run", F.explode("parts").alias("p")).select("run", "p.bucket", "p.lengths", "p.text")
     buckets = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(ranks), "bucket int, runs array<long>, counts array<int>, which binary, words array<binary>, starts array<array<long>>")
     # A subquery can't stand inside a lambda, so the literals are columns of the few wide rows that buckets are.
@@ -356,7 +359,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     decoded = codes.withColumn("decoded", F.transform("codes", lambda c: decode_ids(c, F.col("_pieces"))))
     back = decoded.select("bucket", "runs", "counts", "which", "words", "codes", "decoded").mapInArrow(_spread(ranks), CODES)
     # A run's codes are bounded as the run is. The runs lie in buckets, so only codes are shuffled.
-    by_run = back.repartition(parts, "run").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids_of", "ids", "length", "text"))).alias("codes"))
+    by_run = back.repartition(held, "run").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids_of", "ids", "length", "text"))).alias("codes"))
     return runs.select("run", "docs", *"abcde").hint("merge").join(by_run, "run", "left")
 
 

@@ -51,9 +51,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
-    """written(), in buckets by key: a join on it with ``parts`` partitions needn't shuffle the table again."""
-    path = _own_path(df.sparkSession, name)
+    """written(), in buckets by key: a join on it with ``parts`` partitions needn't shuffle the table again.
+
+    Such a table has a name in the catalog; names that earlier sessions left, whose files are gone, are dropped first.
+    """
+    spark = df.sparkSession
+    path = _own_path(spark, name)
     own = f"quire_{name}_{uuid.uuid4().hex}"
+    for left in spark.catalog.listTables(pattern=f"quire_{name}_*"):
+        facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe table extended {left.name}").collect()}
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(facts["Location"])
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            spark.sql(f"drop table if exists {left.name}")
     df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(own)
     return df.sparkSession.table(own)
 
