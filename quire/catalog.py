@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import citations as C
 from .functions import text as T
+from . import catalog_similar
 from .catalog_pages import HEADINGS
+from .catalog_sentences import SENTENCES as _SENT
 from .operators import integrity, layout, links, references, render, review
 from .registry import ORACLES, QUERIES, over as _over, query
 
@@ -64,11 +66,6 @@ _over("token_multiset", ("v_token_section",), lambda t: integrity.multiset(t, "b
 _FIRST = "f as (select paper_id, ref_id, row_number() over (partition by paper_id order by min(token_no * 1000 + k)) as number from e group by paper_id, ref_id)"
 _over("first_appearance_numbering", ("v_token_section",), links.first_appearance, f"with {_BEFORE}, {_FIRST} select * from f")
 _over("numeric_labels", ("v_token_section",), links.numeric_labels, f"with {_BEFORE}, {_FIRST} select paper_id, token_no, string_agg('[' || number || ']', ', ' order by k) as label from e join f using (paper_id, ref_id) group by paper_id, token_no")
-_SENT = r"""
-s0 as (select paper_id, regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])(et al|e\.g|i\.e|cf|vs|Fig|Figs|Eq|Eqs|Sec|Secs|Tab|Ref|Refs|Dr|Prof|Mr|Ms|Mrs|St|no|No|vol|Vol|pp|approx|resp|[A-Z])\.(\s)', '\1\2' || chr(2) || '\3', 'g') as t from {v}),
-s1 as (select paper_id, string_split(regexp_replace(t, '([.!?])(\s+)([A-Z\[\(\d“"''])', '\1' || chr(1) || '\3', 'g'), chr(1)) as a from s0),
-s2 as (select paper_id, list_filter(list_transform(a, lambda x: replace(x, chr(2), '.')), lambda x: trim(x) <> '') as a from s1),
-s as (select paper_id, unnest(a) as sentence, generate_subscripts(a, 1) - 1 as sentence_no from s2)"""
 _over("sentence_spans", ("v_section",), lambda s: s.select("paper_id", F.posexplode(T.sentences(F.col("content"))).alias("sentence_no", "sentence")).select("paper_id", "sentence_no", F.trim("sentence").alias("sentence")),
       f"with {_SENT.format(c='content', v='v_section')} select paper_id, sentence_no, trim(sentence) as sentence from s")
 _over("citation_context", ("v_token_section",), links.citation_context,

@@ -36,8 +36,8 @@ VIEWS: dict[str, str] = {
  concat('https://example.org/W', cast(doc_id as varchar(20))) as url, cast(n_chars as int) as cited_by_count from documents""",
 }
 #: Each paper has a bibliography of its own: up to 40 references, dealt from all by its id.
-VIEWS["v_paper_ref"] = """select d.doc_id as paper_id, k.item_id + 1 as ord, concat('ref_', cast(k.item_id + 1 as varchar(20))) as ref_id, cast(k.item_id + 1 as varchar(20)) as label, r.author1, r.year, r.title, r.doi, r.container
- from documents d join benchmark k on k.item_id < 40 and (d.doc_id + k.item_id) % 5 <> 0 join (select count(*) as n from benchmark) c on true join v_ref r on r.ord = (d.doc_id * 7 + k.item_id) % c.n + 1"""
+VIEWS["v_paper_ref"] = """select d.doc_id as paper_id, k.item_id + 1 as ord, concat('ref_', cast(k.item_id + 1 as varchar(20))) as ref_id, cast(k.item_id + 1 as varchar(20)) as label, r.author1, r.year, r.title, r.doi, r.container,
+ case when k.item_id % 4 = 3 then concat('2101.', cast(10000 + k.item_id + d.doc_id % 7 as varchar(20))) end as arxiv from documents d join benchmark k on k.item_id < 40 and (d.doc_id + k.item_id) % 5 <> 0 join (select count(*) as n from benchmark) c on true join v_ref r on r.ord = (d.doc_id * 7 + k.item_id) % c.n + 1"""
 _LINE = """select doc_id as paper_id, cast(line_seq as int) as line_seq, cast(floor(line_seq / 12.0) as int) as page,
  case when line_seq % 12 = 0 then concat('Running head ', cast(cast(floor(line_seq / 12.0) as int) as varchar(20))) else text end as text,
  cast(case when line_seq % 12 in (5, 6, 7) and doc_id % 2 = 0 then 330 when line_seq % 3 = 2 then 90 else 72 end as double) as x0,
@@ -69,6 +69,16 @@ VIEWS["v_drawing"] = """select paper_id, page, case when j = 0 and paper_id % 3
  from (select distinct paper_id, page from v_page_line) p join benchmark k on k.item_id < 9) z"""
 #: Pages with captions: some near a region, some apart, most with lines that go on.
 VIEWS["v_caption_line"] = """select paper_id, line_seq, page, x0, y0, x1, y1, size, case when line_seq % 9 = 5 and is_number = 0 then concat(case (paper_id + line_seq) % 4 when 0 then 'Table ' when 1 then 'Fig. ' when 2 then 'FIGURE ' else 'Figured ' end, cast(line_seq as varchar(20)), case when line_seq % 2 = 0 then '. ' else ': ' end, text) else text end as text from v_page_line"""
+VIEWS["v_paper"] = "select doc_id as paper_id, substring(replace(text, chr(10), ' '), 1, 50) as title from documents"
+#: What a search brought: every third reference of the paper, under another title, address or spelling, and the paper itself.
+VIEWS["v_search"] = """select r.paper_id, cast(r.ord as bigint) as seq, case (r.paper_id + r.ord) % 7 when 0 then upper(r.doi) else null end as doi,
+ case when (r.paper_id + r.ord) % 7 = 4 and r.arxiv is not null then concat('https://arxiv.org/abs/', r.arxiv, 'v2') else 'https://example.org/' end as url, case when (r.paper_id + r.ord) % 7 = 5 and r.arxiv is not null then concat('arXiv:', r.arxiv) else null end as note,
+ case (r.paper_id + r.ord) % 7 when 1 then substring(r.title, 4, 60) when 2 then concat(substring(r.title, 1, 20), 'Xy', substring(r.title, 26, 35)) when 3 then substring(r.title, 15, 60) when 6 then concat(substring(p.title, 3, 50), '!') else concat('Quite another work of ', r.author1, cast(r.ord as varchar(20))) end as title
+ from v_paper_ref r join v_paper p on p.paper_id = r.paper_id where r.ord % 3 = 0"""
+#: Author-year parts: families as printed, misspelt, or of another year.
+VIEWS["v_author_part"] = """select paper_id, cast(ord as int) as k, concat(split_part(author1, ',', 1), case (paper_id + ord) % 4 when 1 then 's' when 2 then 'sen' else '' end) as family, cast(year + case when ord % 9 = 0 then 1 else 0 end as int) as year, case ord % 5 when 1 then 'b' when 2 then 'a' else '' end as letter from v_paper_ref where ord % 2 = 0"""
+#: Sentences as a reviewer quotes them.
+VIEWS["v_claim"] = """select doc_id as paper_id, concat('sec_', cast(doc_id % 3 + 1 as varchar(20))) as section_id, cast(k.item_id as int) as claim_no, case k.item_id when 0 then substring(replace(d.text, chr(10), ' '), 1, 70) when 1 then 'Early work, prior work holds!' when 2 then 'Others also agree (1993; Doe 1991)' else 'nothing of the kind' end as sentence from documents d join benchmark k on k.item_id < 4"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
