@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written_by
+from .common import frees, shuffle_partitions, written_by
 from .encoding import chunked, marked, texts_of
 
 #: A run of documents ends when it holds so many characters.
@@ -277,7 +277,7 @@ def _runs(pattern: str, buckets: int):
         if run.docs:
             yield run.row(number)
 
-    return rows
+    return frees(rows)
 
 
 def _gather(ranks: dict[bytes, int]):
@@ -307,7 +307,7 @@ def _gather(ranks: dict[bytes, int]):
         if lists:
             yield close()
 
-    return rows
+    return frees(rows)
 
 
 def _spread(ranks: dict[bytes, int]):
@@ -332,7 +332,7 @@ def _spread(ranks: dict[bytes, int]):
                         [pa.array([run], pa.int64()), batch.column("bucket").slice(k, 1), *(pa.array([_packed(x)], pa.binary()) for x in packed)], names=["run", "bucket", "ids_of", "ids", "length", "text"]
                     )
 
-    return rows
+    return frees(rows)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -408,4 +408,4 @@ def digests(encoded: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 yield finish(b.column("docs")[k].as_py(), [b.column(c)[k].as_py() for c in "abcde"], b.column("codes")[k].as_py() or [])
 
-    return encoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(frees(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
