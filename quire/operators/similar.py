@@ -54,7 +54,8 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str
     """by, l, r: pairs of distinct texts (column s) that may reach the least ratio; each such pair once.
 
     Two texts that reach it share a gram of their prefixes, by a corpus-wide order of grams, or can both
-    lose all grams; and their lengths are near. Equal texts count once, so copies make no more pairs.
+    lose all grams; their lengths are near, and they have nearly all grams in common. Equal texts count
+    once, so copies make no more pairs.
     """
     by = list(by)
     a, b = (t.select(*by, "s").where("s <> ''").distinct() for t in (left, right))
@@ -63,7 +64,10 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str
     x = _keyed(a, by, rank, least, small).withColumnRenamed("s", "l")
     y = _keyed(b, by, rank, least, small).withColumnRenamed("s", "r")
     n, m = F.length("l"), F.length("r")
-    return x.join(y, [*by, "g"]).where(200 * F.least(n, m) >= least * (n + m)).select(*by, "l", "r").distinct()
+    met = x.join(y, [*by, "g"]).where(200 * F.least(n, m) >= least * (n + m)).select(*by, "l", "r").distinct()
+    own, other = _grams(F.col("l")), _grams(F.col("r"))
+    lost = GRAM * F.floor((n + m) * (1 - least / 100) + 1e-9)
+    return met.where(F.size(F.array_intersect(own, other)) >= F.greatest(F.size(own), F.size(other)) - lost)
 
 
 def pairs(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
