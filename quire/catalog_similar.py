@@ -36,9 +36,16 @@ over("known_works", ("v_search", "v_paper_ref", "v_paper"), similar.known_works,
   union all select fm.paper_id, fm.seq, 2 from fm join rt on rt.paper_id = fm.paper_id where rt.s <> '' and {_ratio("fm.s", "fm.m", "rt.s")} >= 90
   union all select fm.paper_id, fm.seq, 3 from fm join pt on pt.paper_id = fm.paper_id where pt.s <> '' and {_ratio("fm.s", "fm.m", "pt.s")} >= 93)
  select paper_id, seq, ['doi', 'arxiv', 'title', 'self'][min(why) + 1] as reason from w group by paper_id, seq""")
+
+
+def located(sections: str, claims: str, number: str, sentence: str) -> str:
+    """CTEs that end in lo: number, sentence_no, ratio of each claim that has a sentence in its section."""
+    return f"""{SENTENCES.format(c="content", v=sections)}, lx as (select s.paper_id, v.section_id, sentence_no, {_PLAIN.format(c="sentence")} as x from s join {sections} v using (paper_id)),
+ lq as (select *, {_PLAIN.format(c=sentence)} as q from {claims}), lm as (select paper_id, section_id, {number}, q, {_masks("q")} as m from lq where q <> ''),
+ ln as (select lm.paper_id, lm.section_id, lm.{number}, sentence_no, {_ratio("q", "m", "x")} as ratio from lm join (select * from lx where x <> '') lx on lx.paper_id = lm.paper_id and lx.section_id = lm.section_id and 200 * least(length(q), length(x)) >= 75 * (length(q) + length(x))),
+ lo as (select * from ln where ratio >= 75 qualify row_number() over (partition by paper_id, section_id, {number} order by ratio desc, sentence_no) = 1)"""
+
+
 over("located_sentences", ("v_section", "v_claim"), similar.located,
-     f"""with {SENTENCES.format(c="content", v="v_section")}, sx as (select s.paper_id, v.section_id, sentence_no, {_PLAIN.format(c="sentence")} as x from s join v_section v using (paper_id)),
- c as (select *, {_PLAIN.format(c="sentence")} as q from v_claim), cm as (select paper_id, section_id, claim_no, q, {_masks("q")} as m from c where q <> ''),
- n as (select cm.paper_id, cm.section_id, cm.claim_no, sentence_no, {_ratio("q", "m", "x")} as ratio from cm join (select * from sx where x <> '') sx on sx.paper_id = cm.paper_id and sx.section_id = cm.section_id and 200 * least(length(q), length(x)) >= 75 * (length(q) + length(x))),
- b as (select * from n where ratio >= 75 qualify row_number() over (partition by paper_id, section_id, claim_no order by ratio desc, sentence_no) = 1)
- select c.paper_id, c.section_id, c.claim_no, cast(sentence_no as int) as sentence_no, ratio from c left join b using (paper_id, section_id, claim_no)""")
+     f"""with {located("v_section", "v_claim", "claim_no", "sentence")}
+ select c.paper_id, c.section_id, c.claim_no, cast(sentence_no as int) as sentence_no, ratio from lq c left join lo using (paper_id, section_id, claim_no)""")

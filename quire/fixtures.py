@@ -79,6 +79,17 @@ VIEWS["v_search"] = """select r.paper_id, cast(r.ord as bigint) as seq, case (r.
 VIEWS["v_author_part"] = """select paper_id, cast(ord as int) as k, concat(split_part(author1, ',', 1), case (paper_id + ord) % 4 when 1 then 's' when 2 then 'sen' else '' end) as family, cast(year + case when ord % 9 = 0 then 1 else 0 end as int) as year, case ord % 5 when 1 then 'b' when 2 then 'a' else '' end as letter from v_paper_ref where ord % 2 = 0"""
 #: Sentences as a reviewer quotes them.
 VIEWS["v_claim"] = """select doc_id as paper_id, concat('sec_', cast(doc_id % 3 + 1 as varchar(20))) as section_id, cast(k.item_id as int) as claim_no, case k.item_id when 0 then substring(replace(d.text, chr(10), ' '), 1, 70) when 1 then 'Early work, prior work holds!' when 2 then 'Others also agree (1993; Doe 1991)' else 'nothing of the kind' end as sentence from documents d join benchmark k on k.item_id < 4"""
+#: Findings that a reviewer accepted: new works, known ones by DOI or title, ones without a source or a section.
+VIEWS["v_accept"] = """select c.paper_id * 4 + c.claim_no as finding_id, c.paper_id, case when c.claim_no = 3 and c.paper_id % 2 = 0 then 'sec_9' else c.section_id end as section_id, c.sentence as claim, 'openalex' as api, concat('https://example.org/', cast(c.paper_id as varchar(20))) as url,
+ case when c.paper_id % 6 = 1 and c.claim_no = 1 then upper(r.doi) end as doi, case when c.claim_no = 2 and c.paper_id % 4 = 0 then null when c.claim_no = 0 and c.paper_id % 5 = 0 then concat(' ', upper(r.title), ' ') else concat('New work ', cast(c.claim_no as varchar(20))) end as title
+ from v_claim c join (select paper_id, min(ord) as ord from v_paper_ref group by paper_id) m on m.paper_id = c.paper_id join v_paper_ref r on r.paper_id = c.paper_id and r.ord = m.ord"""
+#: Operations of commands: two of three look for citations; every fifth names an unknown section; every other rewrite begins from the section as it was.
+VIEWS["v_op"] = """select s.paper_id as proposal_id, s.paper_id, cast(k.item_id as int) as op_no, case when (s.paper_id + k.item_id) % 3 = 2 then 'rewrite_section' else 'find_citations' end as op,
+ case when (s.paper_id + k.item_id) % 5 = 4 then 'sec_9' else s.section_id end as section_id, cast(1 + (s.paper_id + k.item_id) % 3 as int) as max_new, case when (s.paper_id + k.item_id) % 3 = 2 and s.paper_id % 4 <> 3 then concat('In short, ', s.content) end as text
+ from v_section s join benchmark k on k.item_id < 2 + s.paper_id % 3"""
+VIEWS["v_asked"] = """select o.proposal_id, o.op_no, c.claim_no, c.sentence, case when (o.proposal_id + c.claim_no) % 4 = 3 then 'Same Query' when c.claim_no = 1 and o.proposal_id % 6 = 0 then ' ' else concat('query ', cast(c.claim_no as varchar(20))) end as query from v_op o join v_claim c on c.paper_id = o.paper_id where o.op = 'find_citations'"""
+VIEWS["v_offer"] = """select a.proposal_id, a.op_no, a.claim_no, cast(k.item_id as bigint) as seq, concat(case when k.item_id % 2 = 0 then 'Source ' else 'SOURCE ' end, cast((a.proposal_id + k.item_id + a.claim_no) % 4 as varchar(20))) as title, (a.proposal_id * 7 + a.claim_no * 3 + k.item_id * 5) % 10 / 10.0e0 as score from v_asked a join benchmark k on k.item_id < 5"""
+VIEWS["v_spot"] = """select a.proposal_id, o.max_new, a.claim_no, a.query, case when a.claim_no = (a.proposal_id % 4) then null else a.claim_no end as sentence_no from v_asked a join v_op o on o.proposal_id = a.proposal_id and o.op_no = a.op_no where a.op_no = 0"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Abbreviations after which a full stop ends no sentence.
+#: Abbreviations after which a full stop ends no sentence, and what a sentence begins with.
 ABBREVIATIONS = r"et al|e\.g|i\.e|cf|vs|Fig|Figs|Eq|Eqs|Sec|Secs|Tab|Ref|Refs|Dr|Prof|Mr|Ms|Mrs|St|no|No|vol|Vol|pp|approx|resp"
-_END = rf"(?:(?<!\b(?:{ABBREVIATIONS}))(?<!\b[A-Z])(\.)|([!?]))(\s+)(?=[A-Z\[\(\d“\"'])"
+# The mark comes first, so that what may stand before it is looked at only where there is one.
+_END = rf"(?:(\.)(?<!\b(?:{ABBREVIATIONS})\.)(?<!\b[A-Z]\.)|([!?]))(\s+)(?=[A-Z\[\(\d“\"'])"
+
+
+def sentence_pieces(text: Column) -> Column:
+    """Sentences with the white space after them: joined, they are the text."""
+    return F.split(F.regexp_replace(text, _END, "$1$2$3\x01"), "\x01")
 
 
 def sentences(text: Column) -> Column:

@@ -50,15 +50,20 @@ def _keyed(texts: DataFrame, by: Sequence[str], rank: DataFrame, least: float, b
     return rare.select(*by, "s", F.explode(every).alias("g"))
 
 
-def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = ()) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = (), small_blocks: bool = False) -> DataFrame:
     """by, l, r: pairs of distinct texts (column s) that may reach the least ratio; each such pair once.
 
     Two texts that reach it share a gram of their prefixes, by a corpus-wide order of grams, or can both
     lose all grams; their lengths are near, and they have nearly all grams in common. Equal texts count
-    once, so copies make no more pairs.
+    once, so copies make no more pairs. small_blocks: ``by`` leaves so few rows together (families of a
+    paper's year, sentences of a section) that lengths alone decide.
     """
     by = list(by)
     a, b = (t.select(*by, "s").where("s <> ''").distinct() for t in (left, right))
+    if small_blocks:
+        met = a.withColumnRenamed("s", "l").join(b.withColumnRenamed("s", "r"), by)
+        n, m = F.length("l"), F.length("r")
+        return met.where(200 * F.least(n, m) >= least * (n + m))
     rank = b.select(F.explode(_grams(F.col("s"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     small = rank.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     x = _keyed(a, by, rank, least, small).withColumnRenamed("s", "l")
@@ -70,15 +75,15 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str
     return met.where(F.size(F.array_intersect(own, other)) >= F.greatest(F.size(own), F.size(other)) - lost)
 
 
-def pairs(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+def pairs(left: DataFrame, right: DataFrame, least: float, by: Sequence[str] = (), strict: bool = False, small_blocks: bool = False) -> DataFrame:
     """by, l, r, ratio: all pairs of distinct texts of the two sides at the least ratio (strict: above it)."""
-    out = candidates(left, right, least, by).withColumn("ratio", ratio("l", "r"))
+    out = candidates(left, right, least, by, small_blocks).withColumn("ratio", ratio("l", "r"))
     return out.where(F.col("ratio") > least if strict else F.col("ratio") >= least)
 
 
 def nearest(left: DataFrame, right: DataFrame, least: float, by: Sequence[str], order: str, strict: bool = False) -> DataFrame:
-    """Each text of left with the row of right that is most like it: by, l, r, ratio and ``order``, which breaks ties."""
-    near = pairs(left, right, least, by, strict).join(right.select(*by, F.col("s").alias("r"), order), [*by, "r"])
+    """Each text of left with the row of right that is most like it: by, l, r, ratio and ``order``, which breaks ties. ``by`` leaves few rows together."""
+    near = pairs(left, right, least, by, strict, small_blocks=True).join(right.select(*by, F.col("s").alias("r"), order), [*by, "r"])
     best = F.row_number().over(Window.partitionBy(*by, "l").orderBy(F.col("ratio").desc(), order))
     return near.withColumn("_k", best).where("_k = 1").drop("_k")
 

@@ -36,6 +36,7 @@ def test_pairs_equal_all_pairs(spark, least):
     for strict in (False, True):
         want = sorted((p, l, r) for p, l, r in every if (indel_ratio(l, r) > least if strict else indel_ratio(l, r) >= least))
         assert sorted((r["p"], r["l"], r["r"]) for r in similar.pairs(left, right, least, ["p"], strict).collect()) == want
+        assert sorted((r["p"], r["l"], r["r"]) for r in similar.pairs(left, right, least, ["p"], strict, small_blocks=True).collect()) == want
     unkeyed = {(l, r) for l in set(a) for r in set(b) if l and r and indel_ratio(l, r) >= least}
     assert {(r["l"], r["r"]) for r in similar.pairs(left, right, least).collect()} == unkeyed
     if least >= 90:
