@@ -85,14 +85,14 @@ a as (select paper_id, ref_id, count(*) as n from (select paper_id, unnest(strin
 ch as (select coalesce(a.paper_id, b.paper_id) as paper_id, coalesce(a.ref_id, b.ref_id) as ref_id, coalesce(b.n, 0) as n_before, coalesce(a.n, 0) as n_after from a full join b on a.paper_id = b.paper_id and a.ref_id = b.ref_id)"""
 _REPORT = """
 lo as (select paper_id, sum(n_before - n_after) as n_lost from ch where n_before > n_after group by 1),
-un as (select paper_id, count(*) as n_unknown from a where ref_id not in (select ref_id from v_ref) group by 1),
+un as (select paper_id, count(*) as n_unknown from a where not exists (select 1 from v_known_ref k where k.paper_id = a.paper_id and k.ref_id = a.ref_id) group by 1),
 rep as (select p.paper_id, p.before_text, p.after_text, cast(coalesce(n_lost, 0) as bigint) as n_lost, coalesce(n_unknown, 0) as n_unknown,
  cast(case when coalesce(n_lost, 0) > 0 and removal_ack = 0 then 1 else 0 end + case when coalesce(n_unknown, 0) > 0 then 1 else 0 end as int) as n_blocking,
  cast(case when coalesce(n_lost, 0) > 0 and removal_ack = 1 then 1 else 0 end as int) as n_warning from v_token_section p left join lo using (paper_id) left join un using (paper_id))"""
 _over("lost_citations", ("v_token_section",), integrity.lost, f"with {_COUNTS} select paper_id, ref_id, n_before - n_after as shortfall from ch where n_before > n_after")
 _over("token_diff", ("v_token_section",), integrity.token_diff, f"with {_COUNTS} select paper_id, ref_id, case when n_before > n_after then 'missing' else 'invented' end as kind, abs(n_before - n_after) as n from ch where n_before <> n_after")
-_over("unknown_refs", ("v_token_section", "v_ref"), integrity.unknown, f"with {_COUNTS} select paper_id, ref_id, n from a where ref_id not in (select ref_id from v_ref)")
-_over("integrity_report", ("v_token_section", "v_ref"), integrity.report, f"with {_COUNTS}, {_REPORT} select paper_id, n_lost, n_unknown, n_blocking, n_warning, n_blocking = 0 as ok from rep")
+_over("unknown_refs", ("v_token_section", "v_known_ref"), integrity.unknown, f"with {_COUNTS} select paper_id, ref_id, n from a where not exists (select 1 from v_known_ref k where k.paper_id = a.paper_id and k.ref_id = a.ref_id)")
+_over("integrity_report", ("v_token_section", "v_known_ref"), integrity.report, f"with {_COUNTS}, {_REPORT} select paper_id, n_lost, n_unknown, n_blocking, n_warning, n_blocking = 0 as ok from rep")
 
 
 def _current(t: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _current(t: DataFrame) -> DataFrame:
     return t.select("paper_id", F.when(F.col("paper_id") % 11 == 0, F.concat("before_text", F.lit(" Edited."))).otherwise(F.col("before_text")).alias("content"), F.lit(1).alias("version"))
 
 
-_over("apply_approved", ("v_token_section", "v_ref"), lambda t, r: integrity.apply(_current(t), t, r),
+_over("apply_approved", ("v_token_section", "v_known_ref"), lambda t, r: integrity.apply(_current(t), t, r),
       f"""with {_COUNTS}, {_REPORT}, st as (select *, case when paper_id % 11 = 0 then before_text || ' Edited.' else before_text end as cur from rep)
  select paper_id, case when n_blocking = 0 and cur = before_text then after_text else cur end as content, cast(case when n_blocking = 0 and cur = before_text then 2 else 1 end as int) as version,
  case when n_blocking > 0 then 'blocked' when cur <> before_text then 'stale' else 'applied' end as status from st""")

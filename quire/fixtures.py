@@ -90,6 +90,25 @@ VIEWS["v_op"] = """select s.paper_id as proposal_id, s.paper_id, cast(k.item_id
 VIEWS["v_asked"] = """select o.proposal_id, o.op_no, c.claim_no, c.sentence, case when (o.proposal_id + c.claim_no) % 4 = 3 then 'Same Query' when c.claim_no = 1 and o.proposal_id % 6 = 0 then ' ' else concat('query ', cast(c.claim_no as varchar(20))) end as query from v_op o join v_claim c on c.paper_id = o.paper_id where o.op = 'find_citations'"""
 VIEWS["v_offer"] = """select a.proposal_id, a.op_no, a.claim_no, cast(k.item_id as bigint) as seq, concat(case when k.item_id % 2 = 0 then 'Source ' else 'SOURCE ' end, cast((a.proposal_id + k.item_id + a.claim_no) % 4 as varchar(20))) as title, (a.proposal_id * 7 + a.claim_no * 3 + k.item_id * 5) % 10 / 10.0e0 as score from v_asked a join benchmark k on k.item_id < 5"""
 VIEWS["v_spot"] = """select a.proposal_id, o.max_new, a.claim_no, a.query, case when a.claim_no = (a.proposal_id % 4) then null else a.claim_no end as sentence_no from v_asked a join v_op o on o.proposal_id = a.proposal_id and o.op_no = a.op_no where a.op_no = 0"""
+#: Proposals of two changes, in sec_1 and sec_2, with new references of which some lack a source or are cited by nothing.
+VIEWS["v_change"] = """select paper_id * 2 as proposal_id, paper_id, paper_id * 10 + 1 as change_id, 'sec_1' as section_id, before_text as before, after_text as after, concat('Improve the text of paper ', cast(paper_id as varchar(20))) as command from v_token_section
+ union all select paper_id * 2, paper_id, paper_id * 10 + 2, case when paper_id % 13 = 5 then 'sec_9' else 'sec_2' end, 'Nets [[citep:ref_2]] learn.', case when paper_id % 6 = 1 then 'Nets learn.' else concat('Nets [[citep:ref_2]] learn [[citet:ref_9', cast(paper_id % 4 as varchar(20)), ']].') end, 'x' from v_token_section
+ union all select paper_id * 2 + 1, paper_id, paper_id * 10 + 3, 'sec_2', 'Nets [[citep:ref_2]] learn.', 'Nets [[citep:ref_2]] learn well.', null from v_token_section where paper_id % 3 = 0"""
+VIEWS["v_new_ref"] = """select paper_id * 2 as proposal_id, concat('ref_9', cast(k.item_id as varchar(20))) as ref_id, 'openalex' as source, case when paper_id % 8 = 3 and k.item_id = 1 then null else 'https://example.org' end as source_url from v_token_section t join benchmark k on k.item_id < 3"""
+VIEWS["v_removal"] = """select paper_id * 2 as proposal_id, 'sec_1' as section_id, concat('ref_', cast(paper_id % 40 + 1 as varchar(20))) as ref_id from v_token_section where removal_ack = 1"""
+VIEWS["v_state"] = """select paper_id, 'sec_1' as section_id, case when paper_id % 11 = 0 then concat(before_text, ' Edited.') else before_text end as content from v_token_section union all select paper_id, 'sec_2', 'Nets [[citep:ref_2]] learn.' from v_token_section"""
+VIEWS["v_known_ref"] = """select d.doc_id as paper_id, concat('ref_', cast(k.item_id + 1 as varchar(20))) as ref_id from documents d join benchmark k on k.item_id < 40"""
+VIEWS["v_manual"] = """select paper_id as edit_id, case when paper_id % 10 = 7 then -1 - paper_id else paper_id end as paper_id, case when paper_id % 10 = 6 then 'sec_9' else 'sec_2' end as section_id, case paper_id % 4 when 0 then 'Nets [[citep:ref_2]] learn.' when 1 then 'Nets [[citep:ref_77,ref_2]] learn [[citet:ref_66]].' else 'Nets learn.' end as content, cast(case paper_id % 3 when 0 then null when 1 then 3 else 2 end as int) as base_version from v_token_section"""
+#: What a planning model answered: plans of several operations, in fences or prose, and malformed ones.
+VIEWS["v_answer"] = """select doc_id as command_id, doc_id as paper_id, case doc_id % 16
+ when 0 then concat('{"plan": "Add support", "operations": [{"op": "find_citations", "section_id": "sec_1", "topic": "nets ', cast(doc_id as varchar(20)), '", "max_new": ', cast(doc_id % 9 as varchar(20)), '}]}')
+ when 1 then '```json
+{"plan": "Shorten", "operations": [{"op": "rewrite_section", "section_id": "sec_2", "instruction": "  Cut it by half. "}]}
+```' when 2 then 'Here it is: {"plan": "Both", "operations": [{"op": "find_citations", "section_id": "sec_1"}, {"op": "rewrite_section", "section_id": "sec_2", "instruction": "Tighten"}]} as asked.'
+ when 3 then '{"plan": "I refuse", "operations": []}' when 4 then '{"plan": "No list", "operations": {"op": "x"}}' when 5 then '[1, 2' when 6 then '{"plan": "no operations"}' when 7 then null
+ when 8 then '{"operations": [{"op": "find_citations", "section_id": "sec_9"}]}' when 9 then '{"operations": [{"op": "delete_all", "section_id": "sec_1"}]}' when 10 then '{"operations": [{"op": "rewrite_section", "section_id": "sec_1", "instruction": " "}]}'
+ when 11 then '{"plan": "Six", "operations": [{"op": "find_citations", "section_id": "sec_1", "max_new": 2}, {"op": "find_citations", "section_id": "sec_2", "max_new": "4"}, {"op": "find_citations", "section_id": "sec_1", "max_new": 2.9}, {"op": "rewrite_section", "section_id": "sec_1", "instruction": "x"}, {"op": "nonsense"}, 7]}'
+ when 12 then '{"operations": [7]}' when 13 then '[{"op": "find_citations", "section_id": "sec_1"}]' when 14 then '{"plan": "Bad", "operations": [{"op": "find_citations", "section_id": "sec_1", "max_new": "many"}]}' else '{"plan": null, "operations": null}' end as answer from documents"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import citations as C
 
@@ -29,7 +30,9 @@ def token_diff(rows: DataFrame) -> DataFrame:
 
 
 def unknown(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    return multiset(rows, "after_text").join(refs.select("ref_id"), "ref_id", "left_anti").select("paper_id", "ref_id", "n")
+    """Ids in the new text that the references don't have; a paper's own where refs have a paper_id."""
+    own = [c for c in ("paper_id", "ref_id") if c in refs.columns]
+    return multiset(rows, "after_text").join(refs.select(*own), own, "left_anti").select("paper_id", "ref_id", "n")
 
 
 def report(rows: DataFrame, refs: DataFrame) -> DataFrame:
@@ -60,3 +63,89 @@ def needed(new_refs: DataFrame, approved: DataFrame) -> DataFrame:
     """New references that an approved text cites."""
     cited = multiset(approved, "after_text").select("ref_id").distinct()
     return new_refs.join(cited, "ref_id", "left_semi")
+
+
+def _token_counts(changes: DataFrame, text: str, name: str) -> DataFrame:
+    keys = ["proposal_id", "paper_id", "section_id"]
+    return changes.select(*keys, F.explode(C.token_ids(F.col(text))).alias("ref_id")).groupBy(*keys, "ref_id").agg(F.count("*").alias(name))
+
+
+def violations(changes: DataFrame, refs: DataFrame, new_refs: DataFrame, removals: DataFrame, adds: DataFrame) -> DataFrame:
+    """What is wrong with proposals: proposal_id, section_id, ref_id, kind, n, blocking.
+
+    changes: proposal_id, paper_id, section_id, before, after; refs: paper_id, ref_id; new_refs: proposal_id,
+    ref_id, source, source_url; removals (acknowledged): proposal_id, section_id, ref_id; adds (declared):
+    proposal_id, ref_id. citation_lost: a section cites a reference less often (only a warning where
+    the removal is acknowledged); unknown_ref: cited, but neither the paper's nor new;
+    no_provenance: new without a source and its address; asserted_add_missing: declared, but nowhere
+    in the proposal's text (a warning).
+    """
+    keys = ["proposal_id", "section_id", "ref_id"]
+    before, after = _token_counts(changes, "before", "b"), _token_counts(changes, "after", "a")
+    short = before.join(after, ["proposal_id", "paper_id", "section_id", "ref_id"], "left").withColumn("n", F.col("b") - F.coalesce("a", F.lit(0))).where("n > 0")
+    said = removals.select(*keys).distinct().withColumn("_said", F.lit(True))
+    lost_ = short.join(said, keys, "left").select(*keys, F.lit("citation_lost").alias("kind"), "n", F.col("_said").isNull().alias("blocking"))
+    unknown_ = after.join(refs.select("paper_id", "ref_id"), ["paper_id", "ref_id"], "left_anti").join(new_refs.select("proposal_id", "ref_id"), ["proposal_id", "ref_id"], "left_anti")
+    unknown_ = unknown_.select(*keys, F.lit("unknown_ref").alias("kind"), F.col("a").alias("n"), F.lit(True).alias("blocking"))
+    none = F.lit(None).cast("string").alias("section_id")
+    bare = new_refs.where("coalesce(source, '') = '' or coalesce(source_url, '') = ''").select("proposal_id", none, "ref_id", F.lit("no_provenance").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("blocking"))
+    absent = adds.select("proposal_id", "ref_id").distinct().join(after.select("proposal_id", "ref_id"), ["proposal_id", "ref_id"], "left_anti")
+    absent = absent.select("proposal_id", none, "ref_id", F.lit("asserted_add_missing").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("blocking"))
+    return lost_.unionAll(unknown_).unionAll(bare).unionAll(absent)
+
+
+def apply_approved(sections: DataFrame, papers: DataFrame, refs: DataFrame, changes: DataFrame, approved: DataFrame, new_refs: DataFrame, removals: DataFrame) -> dict[str, DataFrame]:
+    """Applies what of each proposal is approved, whole or not at all.
+
+    sections: paper_id, section_id, content; papers: paper_id, version; refs: paper_id, ref_id; changes with
+    change_id and command; approved: change_id. New references that no approved text cites fall away
+    before the check, so that approving one change and not another leaves no dangling token.
+    A proposal is 'rejected' (nothing approved), 'missing_section', 'violations', 'stale' (a section isn't
+    what the change began from), 'later' (an earlier proposal of the paper is applied now) or 'applied'.
+    Returns proposals (with status), sections (as they are then), papers (with versions), references
+    (added: paper_id, ref_id, proposal_id), snapshots (the sections of changed papers as they were, with
+    version, reason and proposal_id) and citations (paper_id, section_id, nth, raw, ref_ids).
+    """
+    chosen = changes.join(approved.select("change_id").distinct(), "change_id", "left_semi")
+    cited = chosen.select("proposal_id", F.explode(C.token_ids(F.col("after"))).alias("ref_id")).distinct()
+    pruned = new_refs.join(cited, ["proposal_id", "ref_id"], "left_semi")
+    none = cited.limit(0)
+    wrong = violations(chosen, refs, pruned, removals, none).where("blocking").select("proposal_id").distinct().withColumn("_wrong", F.lit(True))
+    held = chosen.join(sections, ["paper_id", "section_id"], "left")
+    state = held.groupBy("proposal_id").agg(F.count("*").alias("_n"), F.count_if(F.col("content").isNull()).alias("_missing"), F.count_if(F.col("content") != F.col("before")).alias("_stale"))
+    every = changes.groupBy("proposal_id", "paper_id").agg(F.max("command").alias("command"))
+    rows = every.join(state, "proposal_id", "left").join(wrong, "proposal_id", "left")
+    status = F.when(F.col("_n").isNull(), "rejected").when(F.col("_missing") > 0, "missing_section").when(F.col("_wrong"), "violations").when(F.col("_stale") > 0, "stale").otherwise("applied")
+    rows = rows.withColumn("status", status)
+    first = F.row_number().over(Window.partitionBy("paper_id", "status").orderBy("proposal_id"))
+    rows = rows.withColumn("status", F.when((F.col("status") == "applied") & (first > 1), "later").otherwise(F.col("status")))
+    done = rows.where("status = 'applied'").select("proposal_id", "paper_id", "command")
+    new = chosen.join(done.select("proposal_id"), "proposal_id", "left_semi").select("paper_id", "section_id", "after")
+    after = sections.join(new, ["paper_id", "section_id"], "left").select("paper_id", "section_id", F.coalesce("after", "content").alias("content"))
+    bumped = papers.join(done.select("paper_id", F.lit(1).alias("_up")), "paper_id", "left").select("paper_id", (F.col("version") + F.coalesce("_up", F.lit(0))).alias("version"))
+    added = pruned.join(done.select("proposal_id", "paper_id"), "proposal_id").join(refs.select("paper_id", "ref_id"), ["paper_id", "ref_id"], "left_anti").select("paper_id", "ref_id", "proposal_id").distinct()
+    reason = F.concat(F.lit("edit: "), F.substring(F.coalesce("command", F.lit("")), 1, 120))
+    snapshots = sections.join(done, "paper_id").join(papers, "paper_id").select("paper_id", "version", reason.alias("reason"), "proposal_id", "section_id", "content")
+    return {"proposals": rows.select("proposal_id", "paper_id", "status"), "sections": after, "papers": bumped, "references": added, "snapshots": snapshots, "citations": citations(after)}
+
+
+def citations(sections: DataFrame) -> DataFrame:
+    """The citations of sections as their tokens say: paper_id, section_id, nth (from 0), raw, ref_ids."""
+    rows = sections.select("paper_id", "section_id", F.posexplode(F.regexp_extract_all("content", F.lit(C.TOKEN), F.lit(0))).alias("nth", "raw"))
+    return rows.select("paper_id", "section_id", "nth", "raw", C.token_ids(F.col("raw")).alias("ref_ids"))
+
+
+def manual_edits(edits: DataFrame, sections: DataFrame, papers: DataFrame, refs: DataFrame) -> DataFrame:
+    """Edits by hand (edit_id, paper_id, section_id, content, base_version or null) with status and the paper's version after each.
+
+    'no_paper', 'no_section', 'conflict' (another base version), 'unknown_refs', 'unchanged' or 'applied'. Lost citations are
+    the editor's own business. One edit a paper at a time: several that would apply are tried each by itself.
+    """
+    strange = edits.select("edit_id", "paper_id", F.explode(C.token_ids(F.col("content"))).alias("ref_id")).join(refs.select("paper_id", "ref_id"), ["paper_id", "ref_id"], "left_anti")
+    strange = strange.groupBy("edit_id").agg(F.array_sort(F.collect_set("ref_id")).alias("unknown"))
+    rows = edits.join(sections.select("paper_id", "section_id", F.col("content").alias("_old")), ["paper_id", "section_id"], "left").join(papers.select("paper_id", "version"), "paper_id", "left").join(strange, "edit_id", "left")
+    status = (
+        F.when(F.col("version").isNull(), "no_paper").when(F.col("_old").isNull(), "no_section").when(F.col("base_version") != F.col("version"), "conflict")
+        .when(F.col("unknown").isNotNull(), "unknown_refs").when(F.col("content") == F.col("_old"), "unchanged").otherwise("applied")
+    )
+    return rows.select("edit_id", "paper_id", "section_id", status.alias("status"), (F.col("version") + F.when(status == "applied", 1).otherwise(0)).alias("version"), "unknown")

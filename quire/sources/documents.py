@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kept import kept
+
 BUCKETS = 64
 PAPER = "paper_id string, title string, uploaded_at double, version int, csl_style string, body string"
 
@@ -47,20 +49,16 @@ def upsert(papers: DataFrame, path: str) -> None:
     """
     spark = papers.sparkSession
     new = papers.withColumn("bucket", bucket(F.col("paper_id")))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        merged = new
-    else:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place) and len(fs.listStatus(place)):
         touched = new.select("bucket").distinct()
-        merged = new.unionByName(old.join(touched, "bucket", "left_semi"))
+        merged = new.unionByName(spark.read.parquet(path).join(touched, "bucket", "left_semi"))
+    else:
+        merged = new
     last = F.row_number().over(Window.partitionBy("bucket", "paper_id").orderBy(F.col("version").desc()))
-    merged = merged.withColumn("_k", last).where("_k = 1").drop("_k")
-    # The old files are inputs of this very job, so the result is made before they go.
-    merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-    merged.count()
+    # The old files are inputs of this very job, so the result is written elsewhere before they go.
+    merged = kept(merged.withColumn("_k", last).where("_k = 1").drop("_k"), "papers")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
