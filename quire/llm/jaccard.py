@@ -31,7 +31,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, frees, written
 
 #: The share of a node's shingles whose lists it may leave out, in hundredths.
 SKIP_PERCENT = 4
@@ -116,7 +116,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
                 often = c >= max(2, BATCH_LEAST * min(b.num_rows - i, BATCH_DOCS) // BATCH_DOCS)
                 yield pa.record_batch({"h": pa.array(h[often].view(np.int64)), "c": pa.array(c[often].astype(np.int64))})
 
-    counts = written(docs.select("text").mapInArrow(rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    counts = written(docs.select("text").mapInArrow(frees(rows), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     left, low = FREQUENT, None
     for r in sorted(counts.groupBy(level.alias("b")).count().collect(), key=lambda r: -r["b"]):
@@ -149,7 +149,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.record_batch({"row": at.slice(i, j - i), "doc_id": ids.slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
 
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(text.mapInArrow(rows, "row long, doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
+    return written(text.mapInArrow(frees(rows), "row long, doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataF
                 sets = shingle(texts.slice(i, j - i))
                 yield pa.record_batch({"sig": pa.array([_signature(x) for x in sets], pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-    made = text.select("text").mapInArrow(rows, "sig binary, shingles binary")
+    made = text.select("text").mapInArrow(frees(rows), "sig binary, shingles binary")
     # Rows that repeat an id may bring a set twice; a pair is then verified twice, to the same end.
     return written(made.join(_some(one.select("sig", "node")), "sig").select("node", "shingles"), "sets")
 
@@ -242,7 +242,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.join(few, sets["node"] == few["a"]).select("a", "b", F.col("shingles").alias("x"))
     partners = _some(pairs.select(F.col("b").alias("node")).distinct())
     y = sets.join(partners, "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = x.join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, link boolean")
+    met = x.join(y, "b").select("a", "b", "x", "y").mapInArrow(frees(rows), "a long, b long, link boolean")
     return _short_batches(met, "verified")
 
 
@@ -357,7 +357,7 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = met.select("h", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "comp")
     order = ["h", "p", "q"]
     full = met.join(sets, "node").select(*order, "node", "block", "comp", "shingles").repartition(*order).sortWithinPartitions(*order)
-    return _short_batches(full.mapInArrow(links, "a long, b long"), "searched")
+    return _short_batches(full.mapInArrow(frees(links), "a long, b long"), "searched")
 
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import unused, words, written
+from .common import frees, unused, words, written
 
 MIN_WORDS = 50
 
@@ -99,7 +99,7 @@ def deletions(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
     for x in levels[1:]:
         ranks = ranks.unionByName(x)
     by_doc = active.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("j", "i", "w"))).alias("x"))
-    spans = by_doc.mapInArrow(_window_ends(min_words), "_row long, doc_id long, s long, n long, a long, b long")
+    spans = by_doc.mapInArrow(frees(_window_ends(min_words)), "_row long, doc_id long, s long, n long, a long, b long")
     spans = spans.withColumn("k", F.floor(F.log2(F.col("n") + 0.5)).cast("int")).withColumn("t", F.expr("s + n - shiftleft(1L, k)"))
     left = ranks.select("_row", F.col("j").cast("long").alias("s"), "k", F.col("r").alias("r1"))
     right = ranks.select("_row", F.col("j").cast("long").alias("t"), "k", F.col("r").alias("r2"))

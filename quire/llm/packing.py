@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import frees, shuffle_partitions, written
 from .encoding import encoder
 
 WINDOW, END_ID = 1024, 0
@@ -53,7 +53,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "row": part.column("row"), "n_ids": pa.array([len(x) // 2 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return written(rows_of.mapInArrow(rows, "doc_id long, row long, n_ids long, ids binary"), "packing")
+    return written(rows_of.mapInArrow(frees(rows), "doc_id long, row long, n_ids long, ids binary"), "packing")
 
 
 def document_frequencies(encoded: DataFrame) -> np.ndarray:
@@ -70,7 +70,7 @@ def document_frequencies(encoded: DataFrame) -> np.ndarray:
         yield pa.record_batch({"id": pa.array(at.astype(np.int32)), "n": pa.array(df[at])})
 
     out = np.zeros(1 << 16, np.int64)
-    for r in encoded.select("ids").mapInArrow(rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.select("ids").mapInArrow(frees(rows), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -162,7 +162,7 @@ def content_keys(encoded: DataFrame, df: np.ndarray, idf: np.ndarray, mean_lengt
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k, pa.int32()) for k in keys)], names=[*b.schema.names, *(f"k{i}" for i in range(len(keys)))])
 
     kept = encoded.select("row", "doc_id", "ids")
-    return kept.mapInArrow(rows, "row long, doc_id long, ids binary, " + ", ".join(f"k{i} int" for i in range(len(LEVELS))))
+    return kept.mapInArrow(frees(rows), "row long, doc_id long, ids binary, " + ", ".join(f"k{i} int" for i in range(len(LEVELS))))
 
 
 def pack(encoded: DataFrame) -> DataFrame:
@@ -206,4 +206,4 @@ def pack(encoded: DataFrame) -> DataFrame:
     order = [*(f"k{i}" for i in range(len(LEVELS))), "row"]
     parts = max(shuffle_partitions(encoded.sparkSession), -(-2 * (total["ids"] or 0) // PARTITION_BYTES))
     dealt = content_keys(encoded, df, idf, mean_length).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(rows, PIECES)
+    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(frees(rows), PIECES)

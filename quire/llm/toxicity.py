@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.storagelevel import StorageLevel
 
-from .common import crc_mod, unused
+from .common import crc_mod, dropped, frees, unused, written
 
 #: Pairs of identity terms that are swapped for one another.
 IDENTITY_PAIRS = [
@@ -127,17 +126,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(rows: DataFrame) -> tuple[list[str], int, int]:
     """The chosen features, and the numbers of clean and of toxic rows. What reaches the driver is bounded by N_FEATURES."""
-    counts = rows.select("text", "toxic").mapInArrow(_count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = counts.where(f"pos >= {MIN_POSITIVE} or feature = ''").persist(StorageLevel.DISK_ONLY)
+    counts = rows.select("text", "toxic").mapInArrow(frees(_count), "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = written(counts.where(f"pos >= {MIN_POSITIVE} or feature = ''"), "features")
     total = counts.where("feature = ''").select("neg", "pos").first()
     if not total or not total["neg"] or not total["pos"]:
-        counts.unpersist()
         return [], total["neg"] if total else 0, total["pos"] if total else 0
     n0, n1 = total["neg"], total["pos"]
     odds = F.log((F.col("pos") + 0.5) / (n1 + 1.0)) - F.log((F.col("neg") + 0.5) / (n0 + 1.0))
     best = counts.where("feature <> ''").withColumn("lo", odds).where(f"lo >= {MIN_LOG_ODDS}").orderBy((F.col("pos") * F.col("lo")).desc(), "feature").limit(N_FEATURES)
     out = [r["feature"] for r in best.select("feature").collect()]
-    counts.unpersist()
+    dropped(counts)
     return out, n0, n1
 
 
@@ -186,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     names = sorted(set(names) | {f"={w}" for w in SWAP})
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_LABEL / n1)).otherwise(min(1.0, SAMPLE_PER_LABEL / n0))
-    data = rows.where(F.rand(5) < share).select("text", "toxic").mapInArrow(_sparse(names), "toxic int, ids array<int>, swapped array<int>").toArrow()
+    # Which rows are taken follows from what they hold, not from how files lie.
+    drawn = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) / (1 << 30)
+    data = rows.where(drawn < share).select("text", "toxic").mapInArrow(frees(_sparse(names)), "toxic int, ids array<int>, swapped array<int>").toArrow()
     y = np.array(data["toxic"], float)
     k = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, n1 / max(k[1], 1), n0 / max(k[0], 1))
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] |
             out = pa.array([s(t.as_py()) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), out], names=[*keep, name])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(frees(rows), schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
