@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import citations as C
 from .functions import text as T
-from . import catalog_edits, catalog_similar
+from . import catalog_edits, catalog_exports, catalog_similar
 from .catalog_pages import HEADINGS
 from .catalog_sentences import SENTENCES as _SENT
 from .operators import integrity, layout, links, references, render, review
@@ -117,7 +117,7 @@ _over("csl_type_guess", ("v_ref",), references.csl_types,
       "select ref_id, case when regexp_matches(coalesce(container, ''), '(?i)arxiv|preprint') then 'article' when regexp_matches(container, '(?i)proceedings|conference|workshop|symposium') then 'paper-conference' when container is not null then 'article-journal' else 'article' end as csl_type from v_ref")
 _over("display_names", ("v_ref",), references.display_names, "select ref_id, trim(split_part(author1, ',', 1)) || ' et al., ' || cast(year as varchar) as display_name from v_ref")
 _over("best_url", ("v_ref",), references.best_url, "select ref_id, 'https://doi.org/' || doi as url from v_ref")
-_ESC = r"""replace(replace(replace(replace(replace(replace({c}, '\', '\textbackslash{{}}'), '&', '\&'), '%', '\%'), '#', '\#'), '_', '\_'), '$', '\$')"""
+_ESC = r"""replace(replace(replace(replace(replace({c}, '\', '\textbackslash{{}}'), '&', '\&'), '%', '\%'), '#', '\#'), '_', '\_')"""
 _over("bibtex_entries", ("v_ref",), references.bibtex,
       f"""with k as (select *, case when container like 'Proc%' then 'inproceedings' when container like 'Journal%' then 'article' else 'misc' end as e, case when container like 'Proc%' then 'booktitle' when container like 'Journal%' then 'journal' else 'howpublished' end as v from v_ref)
  select ref_id, '@' || e || '{{' || ref_id || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {{' || {_ESC.format(c='title')} || '}}', '  author = {{' || author1 || '}}', '  year = {{' || cast(year as varchar) || '}}', '  ' || v || ' = {{' || {_ESC.format(c='container')} || '}}', '  doi = {{' || doi || '}}') || chr(10) || '}}' as entry from k""")

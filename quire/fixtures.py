@@ -109,6 +109,19 @@ VIEWS["v_answer"] = """select doc_id as command_id, doc_id as paper_id, case doc
  when 8 then '{"operations": [{"op": "find_citations", "section_id": "sec_9"}]}' when 9 then '{"operations": [{"op": "delete_all", "section_id": "sec_1"}]}' when 10 then '{"operations": [{"op": "rewrite_section", "section_id": "sec_1", "instruction": " "}]}'
  when 11 then '{"plan": "Six", "operations": [{"op": "find_citations", "section_id": "sec_1", "max_new": 2}, {"op": "find_citations", "section_id": "sec_2", "max_new": "4"}, {"op": "find_citations", "section_id": "sec_1", "max_new": 2.9}, {"op": "rewrite_section", "section_id": "sec_1", "instruction": "x"}, {"op": "nonsense"}, 7]}'
  when 12 then '{"operations": [7]}' when 13 then '[{"op": "find_citations", "section_id": "sec_1"}]' when 14 then '{"plan": "Bad", "operations": [{"op": "find_citations", "section_id": "sec_1", "max_new": "many"}]}' else '{"plan": null, "operations": null}' end as answer from documents"""
+#: References with all that an entry may have; one in eleven can't be rendered. Names are parted by semicolons.
+VIEWS["v_cite_ref"] = """select paper_id, ord, ref_id, case when ord % 13 = 0 then null else label end as label, case when ord % 10 = 9 then '' else concat(author1, case ord % 5 when 1 then ';Doe, Ann' when 2 then ';Roe, R. S.;Poe, Ed' when 3 then ';Van Dyke, A.;Bo, C.;Li, D E' when 4 then ';Collective' else '' end) end as names,
+ case when ord % 17 = 3 then null else year end as year, case when ord % 10 = 9 then concat(title, ' & 5% more_') else title end as title, container, case when ord % 3 = 0 then cast(ord + 10 as varchar(20)) end as volume, case when ord % 4 = 1 then concat(cast(ord as varchar(20)), '-', cast(ord + 9 as varchar(20))) end as pages, doi, arxiv,
+ case when ord % 6 = 5 then 'https://example.org/a_b' end as url, concat('raw entry #', cast(ord as varchar(20))) as raw_text, ord % 11 <> 5 as renderable, case when ord % 8 = 1 then 'agent' else 'pdf_parse' end as added_by, case when ord % 8 = 1 and ord % 3 <> 0 then 'supports a claim' end as added_reason, case when ord % 8 = 1 then 'openalex' end as source, case when ord % 8 = 1 then 'https://example.org/w' end as source_url from v_paper_ref"""
+VIEWS["v_meta"] = """select doc_id as paper_id, case when doc_id % 9 = 4 then null else concat('On 5% & ', substring(replace(text, chr(10), ' '), 1, 20)) end as title, case doc_id % 3 when 0 then '' when 1 then 'Ada Lovelace' else 'A. Tu_ring;Grace Hopper' end as names, cast(doc_id % 3 + 1 as int) as version from documents"""
+#: Five sections a paper: abstract, three levels, references.
+VIEWS["v_doc_section"] = """select d.doc_id as paper_id, cast(k.item_id as int) as sec_no, concat('sec_', cast(k.item_id + 1 as varchar(20))) as section_id, case k.item_id when 0 then 'Abstract' when 1 then 'Intro & more' when 2 then 'Data_sets' when 3 then 'Fine points' else 'References' end as title,
+ cast(case k.item_id when 2 then 2 when 3 then 4 else 1 end as int) as level, case k.item_id when 0 then 'abstract' when 4 then 'references' else 'body' end as kind,
+ case k.item_id when 0 then concat('Abstract—', substring(d.text, 1, 80), ' [[citep:ref_3]].') when 4 then '' when 3 then case when d.doc_id % 2 = 0 then ' ' else concat('See [[citet:ref_', cast(d.doc_id % 40 + 1 as varchar(20)), ']] and [[citep:ref_5,ref_99]] or [[citep:ref_99]].') end
+  else concat(replace(substring(d.text, cast(100 * k.item_id as int), 300), chr(10), concat(chr(10), chr(10), chr(10))), ' As in [[citep:ref_', cast((d.doc_id * 7 + k.item_id) % 40 + 1 as varchar(20)), ', ref_7]] by [[citet:ref_2]] (5% & #1).') end as content from documents d join benchmark k on k.item_id < 5"""
+VIEWS["v_doc_float"] = """select d.doc_id as paper_id, cast(k.item_id as int) as float_no, case k.item_id % 3 when 0 then 'figure' when 1 then 'table' else 'box' end as kind, cast(k.item_id as int) as page, case when k.item_id = 2 then '' else concat('Figure ', cast(k.item_id as varchar(20)), '. A & B') end as caption,
+ case when k.item_id = 0 then '' else concat('cell_1 | 5%', chr(10), substring(replace(d.text, chr(10), ' '), 1, 30), chr(10), chr(10), 'more [[citep:ref_2]]') end as text, case when k.item_id = 3 then null when k.item_id = 4 then 'sec_5' when k.item_id = 0 and d.doc_id % 4 = 0 then 'sec_1' else 'sec_2' end as section_id from documents d join benchmark k on k.item_id < 3 + d.doc_id % 3"""
+VIEWS["v_history"] = """select paper_id, cast(k.item_id + 1 as int) as version, concat('edit: step ', cast(k.item_id as varchar(20))) as reason, cast('2026-01-02 03:04:05' as timestamp) as created_at from v_meta m join benchmark k on k.item_id < m.version - 1"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")

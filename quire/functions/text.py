@@ -31,7 +31,7 @@ def tex_escape(text: Column) -> Column:
 def bibtex_escape(text: Column) -> Column:
     """The backslash first, then the special characters."""
     out = F.replace(text, F.lit("\\"), F.lit(r"\textbackslash{}"))
-    for c in "&%#_$":
+    for c in "&%#_":
         out = F.replace(out, F.lit(c), F.lit("\\" + c))
     return out
 
