@@ -122,6 +122,13 @@ VIEWS["v_doc_section"] = """select d.doc_id as paper_id, cast(k.item_id as int)
 VIEWS["v_doc_float"] = """select d.doc_id as paper_id, cast(k.item_id as int) as float_no, case k.item_id % 3 when 0 then 'figure' when 1 then 'table' else 'box' end as kind, cast(k.item_id as int) as page, case when k.item_id = 2 then '' else concat('Figure ', cast(k.item_id as varchar(20)), '. A & B') end as caption,
  case when k.item_id = 0 then '' else concat('cell_1 | 5%', chr(10), substring(replace(d.text, chr(10), ' '), 1, 30), chr(10), chr(10), 'more [[citep:ref_2]]') end as text, case when k.item_id = 3 then null when k.item_id = 4 then 'sec_5' when k.item_id = 0 and d.doc_id % 4 = 0 then 'sec_1' else 'sec_2' end as section_id from documents d join benchmark k on k.item_id < 3 + d.doc_id % 3"""
 VIEWS["v_history"] = """select paper_id, cast(k.item_id + 1 as int) as version, concat('edit: step ', cast(k.item_id as varchar(20))) as reason, cast('2026-01-02 03:04:05' as timestamp) as created_at from v_meta m join benchmark k on k.item_id < m.version - 1"""
+#: Reference lists of two lines an entry: with numbers, with hanging indents, by author without either, and prose.
+VIEWS["v_reflist"] = """select paper_id, cast(line_seq as int) as line_seq, cast(floor(line_seq / 30.0) as int) as page, cast(floor(line_seq / 15.0) as int) % 2 as column, cast(case when paper_id % 4 = 1 and part = 1 then 62 else 50 end as double) as x0, text from (
+ select r.paper_id, r.ord * 2 + k.item_id as line_seq, k.item_id as part, case when r.paper_id % 4 = 3 then lower(substring(r.title, 1, 20)) when k.item_id = 0 then concat(case when r.paper_id % 4 = 0 then concat(case r.paper_id % 3 when 0 then '[' when 1 then '(' else '' end, cast(case when r.ord % 12 = 7 then r.ord + 20 else r.ord end as varchar(20)), case r.paper_id % 3 when 0 then '] ' when 1 then ') ' else '. ' end) else '' end, r.author1, ' Of things num-')
+  else concat('bered ', substring(r.title, 1, 10), '. Journal ', cast(r.ord as varchar(20)), case when r.paper_id % 4 = 1 then ', pp. 3-9.' else concat(', ', cast(r.year as varchar(20)), '.') end) end as text
+ from v_paper_ref r join benchmark k on k.item_id < 2) z"""
+VIEWS["v_entry"] = """select concat(cast(paper_id as varchar(20)), '-', ref_id) as ref_id, concat(author1, ' (', cast(year as varchar(20)), '). Things in print. ', case ord % 4 when 0 then 'In Proc of Tests' when 1 then 'Journal of Tests' else 'arXiv preprint' end, case ord % 3 when 0 then concat(', vol. ', cast(ord as varchar(20)), ', pp. ', cast(ord as varchar(20)), ' - ', cast(ord + 8 as varchar(20))) when 1 then concat(', ', cast(ord as varchar(20)), '(2): ', cast(ord as varchar(20)), '–', cast(ord + 8 as varchar(20))) else '' end, '.',
+ case when doi is not null then concat(' doi:', doi, '.') else '' end, case when arxiv is not null then concat(' arXiv:', arxiv, 'v3.') else '' end, case when ord % 6 = 1 then ' https://example.org/p_1999.' else '' end) as raw_text, doi, arxiv, year, case ord % 6 when 1 then 'https://example.org/p_1999' end as url from v_paper_ref"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
