@@ -59,10 +59,17 @@ def test_sentences(spark):
 def test_integrity(spark, refs):
     rows = [(1, "a [[citep:ref_1]] b [[citep:ref_1]]", "a [[citep:ref_1]] b", 0), (2, "a [[citep:ref_1]]", "a", 1), (3, "a", "a [[citep:ref_9]]", 0), (4, "a [[citep:ref_2]]", "b [[citet:ref_2]]", 0)]
     p = spark.createDataFrame(rows, "paper_id int, before_text string, after_text string, removal_ack int")
-    got = {r["paper_id"]: (r["n_lost"], r["n_unknown"], r["n_blocking"], r["n_warning"], r["ok"]) for r in integrity.report(p, refs).collect()}
+    got = {r["paper_id"]: (r["n_lost"], r["n_unknown"], r["n_blocking"], r["n_warning"], r["ok"]) for r in integrity.report(p, refs.drop("paper_id")).collect()}
     assert got == {1: (1, 0, 1, 0, False), 2: (1, 0, 0, 1, True), 3: (0, 1, 1, 0, False), 4: (0, 0, 0, 0, True)}
 
 
+def test_unknown_references_are_a_papers_own(spark):
+    """What another paper lists is unknown here."""
+    refs = spark.createDataFrame([(1, "ref_1"), (2, "ref_2")], "paper_id int, ref_id string")
+    p = spark.createDataFrame([(1, "", "[[citep:ref_1,ref_2]]", 0), (2, "", "[[citep:ref_2]]", 0)], "paper_id int, before_text string, after_text string, removal_ack int")
+    assert [(r["paper_id"], r["ref_id"]) for r in integrity.unknown(p, refs).collect()] == [(1, "ref_2")]
+
+
 def test_tex(spark):
     p = spark.createDataFrame([(1, "95% accuracy & more [[citep:ref_1]] [[citet:ref_2]]")], "paper_id int, after_text string")
     assert render.tex(p).first()["tex"] == r"95\% accuracy \& more \citep{ref_1} \citet{ref_2}"
