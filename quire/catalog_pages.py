@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import layout, pages, regions
+from .plans import papers
 from .registry import over
 
 _KNOWN = " ".join(f"when key in ({', '.join(repr(x) for x in names)}) then '{kind}'" for kind, names in layout.KNOWN_HEADINGS.items())
@@ -170,3 +171,14 @@ over("float_sections", ("v_caption_line", "v_drawing"), _float_sections,
  sy as (select * from sx where section_no > 0 and line_seq % 25 <> 7), ss as (select paper_id, section_no, arg_min(page, line_seq) as page_start from sy group by all)
  select fx.paper_id, float_no, fx.page, anchor_line, coalesce(sy.section_no, (select max(section_no) from ss where ss.paper_id = fx.paper_id and page_start <= fx.page)) as section_no
  from fx left join sy on sy.paper_id = fx.paper_id and sy.line_seq = anchor_line""")
+
+
+def _parsed(part: str):
+    def of(lines, drawings):
+        return getattr(papers.parse(lines, drawings), part)
+
+    return of
+
+
+over("parsed_sections", ("v_head_line", "v_drawing"), lambda l, d: _parsed("sections")(l, d).select("paper_id", "section_no", "title", "level", "kind", "page_start", "page_end", F.length("content").alias("n_chars")))
+over("parsed_floats", ("v_head_line", "v_drawing"), _parsed("floats"))
