@@ -46,14 +46,14 @@ _over("marker_families", ("v_section", "v_paper_ref"), links.marker_families,
  c as (select paper_id, count(*) filter (f = 'bracket') as bracket, count(*) filter (f = 'paren') as paren, count(*) filter (f = 'superscript') as superscript from u group by paper_id)
  select paper_id, bracket, paren, superscript, case greatest(bracket, paren, superscript) when bracket then 'bracket' when paren then 'paren' else 'superscript' end as dominant,
  round(greatest(bracket, paren, superscript) / (bracket + paren + superscript), 2) as confidence from c""")
-_over("tokenized_sections", ("v_section", "v_paper_ref"), lambda s, r: links.tokenised(s.where("family = 0"), r),
+_over("tokenized_sections", ("v_section", "v_paper_ref"), links.tokenised,
       f"""with {_NUMBERS},
  ids as (select l.paper_id, l.marker_no, string_agg(l.ref_id, ',' order by part_no, num) as ids from l join g on l.paper_id = g.paper_id and l.marker_no = g.marker_no and n_parts = n_linked group by all),
- parts as (select paper_id, section_id, unnest(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]')) as part, generate_subscripts(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]'), 1) - 1 as k from v_section where family = 0)
+ parts as (select paper_id, section_id, unnest(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]')) as part, generate_subscripts(regexp_split_to_array(content, '\\[\\d[\\d\\s,;–-]*\\]'), 1) - 1 as k from v_section)
  select parts.paper_id, parts.section_id, string_agg(part || case when m.raw is null then '' when ids.ids is null then '[' || m.raw || ']' else '[[citep:' || ids.ids || ']]' end, '' order by k) as content
  from parts left join m on m.paper_id = parts.paper_id and m.marker_no = k left join ids on ids.paper_id = parts.paper_id and ids.marker_no = k group by all""")
-_over("author_year_links", ("v_section", "v_paper_ref"), lambda s, r: links.author_year_links(s.where("family = 1"), r).where("ref_id is not null").select("paper_id", "family", "year", "ref_id"),
-      r"""with x as (select paper_id, unnest(list_concat(regexp_extract_all(content, '(\p{Lu}[\p{L}\p{N}_''’-]*)(?:\s+et\s+al\.?|,)?[\s,]*((?:19|20)\d{2})[;)]', 0), regexp_extract_all(content, '\p{Lu}[\p{L}\p{N}_''’-]*\s*\(\d{4}[a-z]?\)', 0))) as part from v_section where family = 1)
+_over("author_year_links", ("v_section", "v_paper_ref"), lambda s, r: links.author_year_links(s, r).where("ref_id is not null").select("paper_id", "family", "year", "ref_id"),
+      r"""with x as (select paper_id, unnest(list_concat(regexp_extract_all(content, '(\p{Lu}[\p{L}\p{N}_''’-]*)(?:\s+et\s+al\.?|,)?[\s,]*((?:19|20)\d{2})[;)]', 0), regexp_extract_all(content, '\p{Lu}[\p{L}\p{N}_''’-]*\s*\(\d{4}[a-z]?\)', 0))) as part from v_section)
  select paper_id, lower(regexp_extract(part, '(\p{Lu}[\p{L}\p{N}_''’-]*)', 1)) as family, cast(regexp_extract(part, '(\d{4})', 1) as int) as year, ref_id from x
  join v_paper_ref using (paper_id) where lower(trim(split_part(author1, ',', 1))) = lower(regexp_extract(part, '(\p{Lu}[\p{L}\p{N}_''’-]*)', 1)) and v_paper_ref.year = cast(regexp_extract(part, '(\d{4})', 1) as int)
  qualify row_number() over (partition by paper_id, part order by ord) = 1""")
@@ -74,8 +74,8 @@ _over("citation_context", ("v_token_section",), links.citation_context,
 _over("claim_texts", ("v_token_section",), lambda t: review.claim_texts(t, "before_text"),
       f"""with {_SENT.format(c='before_text', v='v_token_section')},
  c as (select paper_id, sentence_no, trim(regexp_replace(regexp_replace(sentence, '\\[\\[cite([pt]):([A-Za-z0-9_,\\- ]+?)\\]\\]', '', 'g'), '\\s+', ' ', 'g')) as claim from s) select * from c where length(claim) >= 25""")
-_over("bibliography_order", ("v_ref",), links.bibliography,
-      "select ref_id, lower(trim(split_part(author1, ',', 1))) as family, year, cast(row_number() over (order by lower(trim(split_part(author1, ',', 1))), year, lower(title), ord) as int) as place from v_ref")
+_over("bibliography_order", ("v_paper_ref",), links.bibliography,
+      "select paper_id, ref_id, lower(trim(split_part(author1, ',', 1))) as family, year, cast(row_number() over (partition by paper_id order by lower(trim(split_part(author1, ',', 1))), year, lower(title), ord) as int) as place from v_paper_ref")
 
 # ---- integrity ----------------------------------------------------------------------------------
 
@@ -104,8 +104,8 @@ _over("apply_approved", ("v_token_section", "v_known_ref"), lambda t, r: integri
       f"""with {_COUNTS}, {_REPORT}, st as (select *, case when paper_id % 11 = 0 then before_text || ' Edited.' else before_text end as cur from rep)
  select paper_id, case when n_blocking = 0 and cur = before_text then after_text else cur end as content, cast(case when n_blocking = 0 and cur = before_text then 2 else 1 end as int) as version,
  case when n_blocking > 0 then 'blocked' when cur <> before_text then 'stale' else 'applied' end as status from st""")
-_over("needed_new_refs", ("v_ref", "v_token_section"), lambda r, t: integrity.needed(r.where("ord % 2 = 0").select("ref_id", "title"), t),
-      f"with {_COUNTS} select ref_id, title from v_ref where ord % 2 = 0 and ref_id in (select ref_id from a)")
+_over("needed_new_refs", ("v_ref", "v_token_section"), lambda r, t: integrity.needed(r.select("ref_id", "title"), t),
+      f"with {_COUNTS} select ref_id, title from v_ref where ref_id in (select ref_id from a)")
 
 # ---- references ---------------------------------------------------------------------------------
 
@@ -121,8 +121,8 @@ _ESC = r"""replace(replace(replace(replace(replace({c}, '\', '\textbackslash{{}}
 _over("bibtex_entries", ("v_ref",), references.bibtex,
       f"""with k as (select *, case when container like 'Proc%' then 'inproceedings' when container like 'Journal%' then 'article' else 'misc' end as e, case when container like 'Proc%' then 'booktitle' when container like 'Journal%' then 'journal' else 'howpublished' end as v from v_ref)
  select ref_id, '@' || e || '{{' || ref_id || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {{' || {_ESC.format(c='title')} || '}}', '  author = {{' || author1 || '}}', '  year = {{' || cast(year as varchar) || '}}', '  ' || v || ' = {{' || {_ESC.format(c='container')} || '}}', '  doi = {{' || doi || '}}') || chr(10) || '}}' as entry from k""")
-_over("next_ref_numbers", ("v_ref", "v_source"), lambda r, s: references.next_numbers(r, s.where("seq < 25").select("seq")),
-      "select seq, 'ref_' || cast((select max(ord) from v_ref) + row_number() over (order by seq) as varchar) as ref_id from v_source where seq < 25")
+_over("next_ref_numbers", ("v_paper_ref", "v_search"), lambda r, s: references.next_numbers(r, s.select("paper_id", "seq")),
+      "select paper_id, seq, 'ref_' || cast((select max(ord) from v_paper_ref r where r.paper_id = v_search.paper_id) + row_number() over (partition by paper_id order by seq) as varchar) as ref_id from v_search")
 
 # ---- layout -------------------------------------------------------------------------------------
 
@@ -223,6 +223,8 @@ _over("tex_escape_shielded", ("v_token_section",), render.tex,
       r"""with p as (select paper_id, regexp_split_to_array(after_text, '\[\[cite[pt]:[A-Za-z0-9_,\- ]+?\]\]') as a, regexp_extract_all(after_text, '\[\[cite([pt]):([A-Za-z0-9_,\- ]+?)\]\]', 1) as k, regexp_extract_all(after_text, '\[\[cite([pt]):([A-Za-z0-9_,\- ]+?)\]\]', 2) as v from v_token_section)
  select paper_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: regexp_replace(a[i], '([&%#_])', '\\\1', 'g') || case when i <= len(k) then '\cite' || k[i] || '{' || v[i] || '}' else '' end), '') as tex from p""")
 _over("markdown_export", ("v_section",), render.markdown, "select paper_id, string_agg('## ' || section_id || chr(10) || chr(10) || content, chr(10) || chr(10) order by section_id) as markdown from v_section group by paper_id")
-_over("paragraph_parts", ("v_token_section",), lambda t: render.paragraph_parts(t).where("kind = 'cite'").select("paper_id", F.col("value").alias("ids")),
-      r"select paper_id, unnest(regexp_extract_all(after_text, '\[\[cite[pt]:([A-Za-z0-9_,\- ]+?)\]\]', 1)) as ids from v_token_section")
+_over("paragraph_parts", ("v_token_section",), render.paragraph_parts,
+      r"""with p as (select paper_id, regexp_split_to_array(after_text, '\[\[cite[pt]:[A-Za-z0-9_,\- ]+?\]\]') as a, regexp_extract_all(after_text, '\[\[cite[pt]:([A-Za-z0-9_,\- ]+?)\]\]', 1) as k from v_token_section),
+ q as (select paper_id, unnest(flatten(list_transform(a, lambda x, i: case when i <= len(k) then [struct_pack(kind := 'text', value := x), struct_pack(kind := 'cite', value := k[i])] else [struct_pack(kind := 'text', value := x)] end))) as x,
+  generate_subscripts(flatten(list_transform(a, lambda x, i: case when i <= len(k) then [1, 2] else [1] end)), 1) - 1 as part_no from p) select paper_id, cast(part_no as int) as part_no, x.kind, x.value from q""")
 _over("paper_catalog", ("v_section",), render.catalogue, "select paper_id, count(*) as n_sections, cast(sum(length(content)) as bigint) as n_chars, max(section_id) as last_section from v_section group by paper_id")

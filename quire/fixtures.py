@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS: dict[str, str] = {
     "v_ref": """select item_id + 1 as ord, concat('ref_', cast(item_id + 1 as varchar(20))) as ref_id, cast(item_id + 1 as varchar(20)) as label,
  concat(case item_id % 8 when 0 then 'Smith' when 1 then 'Doe' when 2 then 'Chen' when 3 then 'Müller' when 4 then 'Álvarez' when 5 then 'Öztürk' when 6 then 'Li' else 'Wu' end, ', ', case item_id % 3 when 0 then 'J.' when 1 then 'A.' else 'L.' end) as author1,
- cast(1990 + item_id % 35 as int) as year, substring(replace(text, chr(10), ' '), 1, 60) as title,
+ cast(1990 + item_id % 35 as int) as year, split_part(replace(text, chr(10), ' '), '.', 1) as title,
  case when item_id % 3 = 0 then concat('10.1000/x', cast(item_id as varchar(20))) else null end as doi,
  case item_id % 4 when 0 then 'Proceedings of Tests' when 1 then 'Journal of Tests' when 2 then 'arXiv preprint' else null end as container from benchmark""",
     "v_section": """select doc_id as paper_id, concat('sec_', cast(doc_id % 3 + 1 as varchar(20))) as section_id, cast(doc_id % 4 as int) as family,
@@ -27,11 +27,11 @@ VIEWS: dict[str, str] = {
  case when doc_id % 10 = 0 then 1 else 0 end as removal_ack from documents""",
     "v_finding": """select event_id as seq, user_id as paper_id, ts, case event_type when 'purchase' then 'missing_work' when 'view' then 'claim_supported' when 'click' then 'claim_unverifiable' when 'signup' then 'unparsed_reference' else 'search_failure' end as type,
  case event_type when 'purchase' then 'medium' when 'view' then 'info' when 'error' then 'info' else 'low' end as severity, concat(event_type, ' ', cast(event_id % 11 as varchar(20))) as title, value / 100.0 as score from events""",
-    "v_region": """select doc_id as paper_id, cast(0 as int) as page, cast(r as int) as region_no, case r when 0 then 'table' when 1 then 'box' else 'figure' end as kind,
+    "v_region": """select paper_id, page, cast(page * 3 + r as int) as region_no, case r when 0 then 'table' when 1 then 'box' else 'figure' end as kind,
  cast(60 + 20 * r as double) as x0, cast(110 + 30 * r as double) as y0, cast(300 + 40 * r as double) as x1, cast(150 + 30 * r as double) as y1
- from documents cross join (select 0 as r union all select 1 union all select 2) k""",
+ from (select distinct paper_id, page from v_line) p cross join (select 0 as r union all select 1 union all select 2) k""",
     "v_source": """select doc_id as seq, case when doc_id % 2 = 0 then 'openalex' else 'semantic_scholar' end as api, concat('W', cast(doc_id as varchar(20))) as api_id,
- substring(replace(text, chr(10), ' '), 1, 60) as title, cast(1980 + doc_id % 40 as int) as year,
+ split_part(replace(text, chr(10), ' '), '.', 1) as title, cast(1980 + doc_id % 40 as int) as year,
  case when doc_id % 3 = 0 then concat('10.1000/X', cast(doc_id % 80 as varchar(20))) else null end as doi,
  concat('https://example.org/W', cast(doc_id as varchar(20))) as url, cast(n_chars as int) as cited_by_count from documents""",
 }

@@ -109,7 +109,7 @@ def numeric_labels(tokens: DataFrame, text: str = "before_text") -> DataFrame:
 
 
 def bibliography(refs: DataFrame) -> DataFrame:
-    """References in author-year order: family (none last), year (none last), title."""
+    """Each paper's references in author-year order: family (none last), year (none last), title."""
     family = F.lower(T.family_name(F.col("author1")))
-    order = Window.orderBy(F.coalesce(family, F.lit("￿")), F.coalesce("year", F.lit(9999)), F.lower("title"), "ord")
-    return refs.select("ref_id", family.alias("family"), "year", F.row_number().over(order).alias("place"))
+    order = Window.partitionBy("paper_id").orderBy(F.coalesce(family, F.lit("￿")), F.coalesce("year", F.lit(9999)), F.lower("title"), "ord")
+    return refs.select("paper_id", "ref_id", family.alias("family"), "year", F.row_number().over(order).alias("place"))

@@ -53,9 +53,10 @@ def ranked(claims: DataFrame, sources: DataFrame, per_claim: int = 3, most: int
 def bigrams(sections: DataFrame, text: str = "content", top: int = 6) -> DataFrame:
     """The most frequent word pairs of each paper without stop words, ties by first occurrence; a pair needs two."""
     ws = F.filter(F.split(F.lower(F.col(text)), r"[^a-z]+"), lambda w: F.length(w) > 0)
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = sections.select("paper_id", ws.alias("w")).select("paper_id", F.posexplode(pairs).alias("pos", "p"))
-    rows = rows.where(~F.col("p.a").isin(STOPWORDS) & ~F.col("p.b").isin(STOPWORDS))
+    # Stop words are marked once a word and pairs with one go within the array, before anything is exploded.
+    marked = F.transform(ws, lambda w: F.when(~w.isin(STOPWORDS), w))
+    pairs = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", i + 1).alias("b"), i.alias("pos")))
+    rows = sections.select("paper_id", marked.alias("w")).select("paper_id", F.explode(F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())).alias("p")).select("paper_id", "p", "p.pos")
     n = rows.groupBy("paper_id", F.concat_ws(" ", "p.a", "p.b").alias("bigram")).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n >= 2")
     k = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("n").desc(), "first"))
     return n.withColumn("place", k).where(F.col("place") <= top).select("paper_id", "bigram", "n", "place")
