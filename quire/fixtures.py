@@ -129,6 +129,11 @@ VIEWS["v_reflist"] = """select paper_id, cast(line_seq as int) as line_seq, cast
  from v_paper_ref r join benchmark k on k.item_id < 2) z"""
 VIEWS["v_entry"] = """select concat(cast(paper_id as varchar(20)), '-', ref_id) as ref_id, concat(author1, ' (', cast(year as varchar(20)), '). Things in print. ', case ord % 4 when 0 then 'In Proc of Tests' when 1 then 'Journal of Tests' else 'arXiv preprint' end, case ord % 3 when 0 then concat(', vol. ', cast(ord as varchar(20)), ', pp. ', cast(ord as varchar(20)), ' - ', cast(ord + 8 as varchar(20))) when 1 then concat(', ', cast(ord as varchar(20)), '(2): ', cast(ord as varchar(20)), '–', cast(ord + 8 as varchar(20))) else '' end, '.',
  case when doi is not null then concat(' doi:', doi, '.') else '' end, case when arxiv is not null then concat(' arXiv:', arxiv, 'v3.') else '' end, case when ord % 6 = 1 then ' https://example.org/p_1999.' else '' end) as raw_text, doi, arxiv, year, case ord % 6 when 1 then 'https://example.org/p_1999' end as url from v_paper_ref"""
+#: References with what their lookup gave, and records of two services.
+VIEWS["v_work"] = """select *, case ord % 7 when 1 then 'resolved' when 2 then 'unresolved' when 3 then 'failed' else 'not_attempted' end as status, case when ord % 9 = 4 then 0.4e0 else 0.8e0 end as confidence, case when ord % 7 = 1 then '10.5555/r' end as res_doi,
+ case when ord % 14 = 8 then '10.6666/c' end as csl_doi, case when ord % 5 = 0 then 'https://example.org/csl' end as csl_url, case when ord % 15 = 2 then null else title end as csl_title from v_cite_ref"""
+VIEWS["v_record"] = """select r.paper_id, cast(r.ord * 2 + k.item_id as bigint) as seq, case k.item_id when 0 then 'openalex' else 'semantic_scholar' end as api, case when r.ord % 6 = 0 then upper(r.doi) end as doi, case when r.ord % 8 = 3 then r.arxiv end as arxiv,
+ case (r.ord + k.item_id + r.paper_id) % 5 when 0 then substring(r.title, 1, 60) when 1 then substring(r.title, 5, 60) when 2 then substring(r.title, 16, 60) else concat('Another work ', cast(r.ord as varchar(20))) end as title from v_paper_ref r join benchmark k on k.item_id < 2"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
