@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import citations as C
 from .functions import text as T
-from . import catalog_edits, catalog_entries, catalog_exports, catalog_intext, catalog_similar, catalog_works
+from . import catalog_edits, catalog_entries, catalog_exports, catalog_intext, catalog_missing, catalog_similar, catalog_works
 from .catalog_pages import HEADINGS
 from .catalog_sentences import SENTENCES as _SENT
 from .operators import integrity, layout, links, references, render, review

@@ -134,6 +134,10 @@ VIEWS["v_work"] = """select *, case ord % 7 when 1 then 'resolved' when 2 then '
  case when ord % 14 = 8 then '10.6666/c' end as csl_doi, case when ord % 5 = 0 then 'https://example.org/csl' end as csl_url, case when ord % 15 = 2 then null else title end as csl_title from v_cite_ref"""
 VIEWS["v_record"] = """select r.paper_id, cast(r.ord * 2 + k.item_id as bigint) as seq, case k.item_id when 0 then 'openalex' else 'semantic_scholar' end as api, case when r.ord % 6 = 0 then upper(r.doi) end as doi, case when r.ord % 8 = 3 then r.arxiv end as arxiv,
  case (r.ord + k.item_id + r.paper_id) % 5 when 0 then substring(r.title, 1, 60) when 1 then substring(r.title, 5, 60) when 2 then substring(r.title, 16, 60) else concat('Another work ', cast(r.ord as varchar(20))) end as title from v_paper_ref r join benchmark k on k.item_id < 2"""
+#: Claims of papers and what was found for each: parts of other papers, references under their titles or DOIs.
+VIEWS["v_topic"] = """select d.doc_id as paper_id, cast(k.item_id as int) as claim_no, concat('The results of ', replace(substring(d.text, cast(1 + 60 * k.item_id as int), 60), chr(10), ' ')) as claim from documents d join benchmark k on k.item_id < 3"""
+VIEWS["v_result"] = """select s.paper_id, cast(k.item_id as int) as claim_no, cast(s.seq * 3 + k.item_id as bigint) as seq, s.doi, s.url, s.note, case when s.seq % 4 = 0 then s.title else replace(substring(d.text, cast(1 + 50 * k.item_id as int), 70), chr(10), ' ') end as title, case when s.seq % 2 = 0 then substring(d.text, 1, 300) end as abstract, cast(d.n_chars * s.seq as int) as cited_by_count
+ from v_search s join documents d on d.doc_id = s.paper_id join benchmark k on k.item_id < 3"""
 #: Only the split into lines differs by engine.
 LINE_SPARK = _LINE.format(raw="select doc_id, pos as line_seq, t as text from documents lateral view posexplode(split(text, '\\n')) e as pos, t")
 LINE_DUCK = _LINE.format(raw="select doc_id, generate_subscripts(a, 1) - 1 as line_seq, unnest(a) as text from (select doc_id, string_split(text, chr(10)) a from documents) q")
