@@ -34,8 +34,8 @@ from .common import frees, written
 SHARD, BLOCK = 4096, 512
 #: Vectors that pivots are drawn from, and pivots at most for each length of vectors.
 SAMPLE, PIVOTS = 4096, 256
-#: Nodes of up to so many points aren't split further.
-LEAF, QUERY_LEAF = 32, 8
+#: Nodes of up to so many points are split only where that halves their radius, and smaller ones never: where nothing can be pruned, large leaves are compared at once.
+LEAF, QUERY_LEAF, SMALL = 256, 128, 8
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -72,7 +72,7 @@ class CoverTree:
             self.children.append([])
             if parent >= 0:
                 self.children[parent].append(me)
-            if b - a <= leaf or r == 0:
+            if b - a <= SMALL or r == 0:
                 continue
             near, to, label, k = np.full(b - a, np.inf), r / 2, np.zeros(b - a, np.int64), 0
             nxt = int(d.argmax())
@@ -81,6 +81,8 @@ class CoverTree:
                 closer = e < near
                 near[closer], label[closer] = e[closer], k
                 k, nxt = k + 1, int(near.argmax())
+            if b - a <= leaf and near[nxt] > to:
+                continue
             by = np.argsort(label, kind="stable")
             self.order[a:b] = own[by]
             ends = np.cumsum(np.bincount(label, minlength=k))
@@ -186,6 +188,11 @@ def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def _first(at: dict[int, np.ndarray], n: int) -> dict[int, np.ndarray]:
+    """The first n pivots of each length, which lie as far from each other as so many can nearly."""
+    return {dim: c[: max(1, n)] for dim, c in at.items()}
+
+
 def _routed(rows: DataFrame, at: dict[int, np.ndarray], size: int, name: str) -> DataFrame:
     """rows (id, v), written with row (a number of their own), dim, the nearest pivot, the distance to it, and sub: which of the pivot's parts of about ``size`` rows they are in."""
 
@@ -248,8 +255,9 @@ def _reachable(at: dict[int, np.ndarray], radius: dict[tuple[int, int], float]):
 
 def pruned_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(queries with floors, candidates, first results, the first pairs of blocks and shards, the pairs that are left to search)."""
-    at = pivots(vectors)
-    c, q = _routed(vectors, at, SHARD, "topk-candidates"), _routed(queries.distinct(), at, BLOCK, "topk-queries")
+    at, queries = pivots(vectors), queries.distinct()
+    # As many groups of queries as blocks: each candidate is written once for each block that it still meets.
+    c, q = _routed(vectors, at, SHARD, "topk-candidates"), _routed(queries, _first(at, math.ceil(queries.count() / BLOCK)), BLOCK, "topk-queries")
     shards = written(c.groupBy("dim", "pivot", "sub").agg(F.count("*").alias("n"), F.max("dist").alias("far")), "topk-shards")
     # At most PIVOTS a length of vectors that the sample holds; other lengths have one pivot, whose radius stays unknown.
     held = [r for r in shards.groupBy("dim", "pivot").agg(F.max("far").alias("far")).where(F.col("dim").isin(list(at)) if at else F.lit(False)).collect()]

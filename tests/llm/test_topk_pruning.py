@@ -35,7 +35,7 @@ def test_clustered_vectors_are_mostly_pruned():
 @pytest.mark.parametrize("seed", [2, 3])
 def test_blocks_and_shards_are_pruned_and_exact(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "SHARD", 100)
-    monkeypatch.setattr(topk, "BLOCK", 10)
+    monkeypatch.setattr(topk, "BLOCK", 3)  # about as many groups of queries as there are groups of vectors
     points = clustered(1500, 30, 8, seed) + [(20, [1, 2, 3]), (7, [4, 5, 6]), (40, [9] * 8), (40, [-9] * 8), (3, [5] * 8)]
     frame = spark.createDataFrame(points, "id long, v array<long>").repartition(3)
     queries = frame.where("id % 20 = 0")
