@@ -14,6 +14,8 @@ from ..functions.similarity import ratio
 
 #: Grams of so many characters.
 GRAM = 2
+#: From this ratio on common grams tell texts apart.
+TELLING = 80.0
 #: Frequencies of grams are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_GRAMS = 1_000_000
 #: How near families, titles, the paper's own title and sentences have to be.
@@ -56,22 +58,25 @@ def candidates(left: DataFrame, right: DataFrame, least: float, by: Sequence[str
     Two texts that reach it share a gram of their prefixes, by a corpus-wide order of grams, or can both
     lose all grams; their lengths are near, and they have nearly all grams in common. Equal texts count
     once, so copies make no more pairs. small_blocks: ``by`` leaves so few rows together (families of a
-    paper's year, sentences of a section) that lengths alone decide.
+    paper's year, sentences of a section, works of a paper) that all of them meet.
     """
     by = list(by)
     a, b = (t.select(*by, "s").where("s <> ''").distinct() for t in (left, right))
+    n, m = F.length("l"), F.length("r")
+    lost = GRAM * F.floor((n + m) * (1 - least / 100) + 1e-9)
     if small_blocks:
-        met = a.withColumnRenamed("s", "l").join(b.withColumnRenamed("s", "r"), by)
-        n, m = F.length("l"), F.length("r")
-        return met.where(200 * F.least(n, m) >= least * (n + m))
+        # Grams are cut once a text; below TELLING two texts may lose so many that counting them tells nothing.
+        x, y = (t.select(*by, F.col("s").alias(c), *([_grams(F.col("s")).alias(f"_{c}")] if least >= TELLING else [])) for t, c in ((a, "l"), (b, "r")))
+        met = x.join(y, by).where(200 * F.least(n, m) >= least * (n + m))
+        if least >= TELLING:
+            met = met.where(F.size(F.array_intersect("_l", "_r")) >= F.greatest(F.size("_l"), F.size("_r")) - lost)
+        return met.select(*by, "l", "r")
     rank = b.select(F.explode(_grams(F.col("s"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     small = rank.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     x = _keyed(a, by, rank, least, small).withColumnRenamed("s", "l")
     y = _keyed(b, by, rank, least, small).withColumnRenamed("s", "r")
-    n, m = F.length("l"), F.length("r")
     met = x.join(y, [*by, "g"]).where(200 * F.least(n, m) >= least * (n + m)).select(*by, "l", "r").distinct()
     own, other = _grams(F.col("l")), _grams(F.col("r"))
-    lost = GRAM * F.floor((n + m) * (1 - least / 100) + 1e-9)
     return met.where(F.size(F.array_intersect(own, other)) >= F.greatest(F.size(own), F.size(other)) - lost)
 
 
@@ -122,7 +127,7 @@ def known_works(found: DataFrame, refs: DataFrame, papers: DataFrame) -> DataFra
     titled = found.select("paper_id", "seq", plain(F.col("title")).alias("s"))
     out = a.unionAll(b)
     for why, side, least in ((2, refs, TITLE), (3, papers, OWN_TITLE)):
-        near = pairs(titled, side.select("paper_id", plain(F.col("title")).alias("s")), least, ["paper_id"]).select("paper_id", F.col("l").alias("s")).distinct()
+        near = pairs(titled, side.select("paper_id", plain(F.col("title")).alias("s")), least, ["paper_id"], small_blocks=True).select("paper_id", F.col("l").alias("s")).distinct()
         out = out.unionAll(titled.join(near, ["paper_id", "s"], "left_semi").select("paper_id", "seq", F.lit(why).alias("why")))
     reasons = F.array(*(F.lit(x) for x in ("doi", "arxiv", "title", "self")))
     return out.groupBy("paper_id", "seq").agg(F.min("why").alias("why")).select("paper_id", "seq", F.get(reasons, F.col("why")).alias("reason"))

@@ -98,7 +98,7 @@ def resolved(refs: DataFrame, records: DataFrame) -> DataFrame:
     rows = rows.join(first("doi", "by_doi").withColumnRenamed("_k", "_d"), ["paper_id", "_d"], "left").join(first("arxiv", "by_arxiv").withColumnRenamed("_k", "_x"), ["paper_id", "_x"], "left")
     titled = recs.select("paper_id", "_api", "seq", similar.plain(F.coalesce("title", F.lit(""))).alias("r"))
     open_ = rows.where("by_doi is null and by_arxiv is null").select("paper_id", "s")
-    near = similar.pairs(open_, titled.select("paper_id", F.col("r").alias("s")), AMBIGUOUS, ["paper_id"]).join(titled, ["paper_id", "r"])
+    near = similar.pairs(open_, titled.select("paper_id", F.col("r").alias("s")), AMBIGUOUS, ["paper_id"], small_blocks=True).join(titled, ["paper_id", "r"])
     order = F.struct(F.when((F.col("_api") == 0) & (F.col("ratio") >= RESOLVED), 0).otherwise(1), -F.col("ratio"), "_api", "seq")
     best = near.groupBy("paper_id", F.col("l").alias("s")).agg(F.min_by(F.struct("seq", "ratio"), order).alias("b"))
     rows = rows.join(best, ["paper_id", "s"], "left")
