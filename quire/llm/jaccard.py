@@ -44,7 +44,7 @@ BLOCK_SHINGLES, PROBE_COST = 1 << 21, 0.1
 #: Ids and pairs of ids up to this number are sent to every task (at most 16 MB of longs); more are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Rows, and bytes of text, that are cut into shingles at once; pairs of sets that a task is handed at once.
-ROWS_AT_ONCE, CHARS_AT_ONCE, PAIRS_AT_ONCE = 2000, 4_000_000, 400
+ROWS_AT_ONCE, CHARS_AT_ONCE, PAIRS_AT_ONCE = 1000, 1_500_000, 300
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
