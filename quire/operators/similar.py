@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import citations as C
 from ..functions import text as T
 from ..functions.similarity import ratio
+from ..sources.kept import kept
 
 #: Grams of so many characters.
 GRAM = 2
@@ -100,8 +101,9 @@ def linked_families(parts: DataFrame, refs: DataFrame) -> DataFrame:
     of several references a letter picks the one in its place, else the first.
     """
     own = refs.where("author1 is not null and year is not null").select("paper_id", F.lower(T.family_name(F.col("author1"))).alias("family"), "year", "ord", "ref_id")
-    keyed = own.groupBy("paper_id", "family", "year").agg(F.sort_array(F.collect_list(F.struct("ord", "ref_id"))).alias("x"), F.min("ord").alias("first"))
-    rows = parts.withColumn("family", F.lower("family"))
+    # Both are joined several times.
+    keyed = kept(own.groupBy("paper_id", "family", "year").agg(F.sort_array(F.collect_list(F.struct("ord", "ref_id"))).alias("x"), F.min("ord").alias("first")), "families")
+    rows = kept(parts.withColumn("family", F.lower("family")), "parts")
     missing = rows.join(keyed, ["paper_id", "family", "year"], "left_anti").select("paper_id", "year", F.col("family").alias("s"))
     near = nearest(missing, keyed.select("paper_id", "year", F.col("family").alias("s"), "first"), FAMILY, ["paper_id", "year"], "first", strict=True)
     near = near.select("paper_id", "year", F.col("l").alias("family"), F.col("r").alias("_near"))
