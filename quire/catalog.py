@@ -134,7 +134,7 @@ _BODY = "bs as (select paper_id, size as body_size from (select paper_id, round(
 _over("running_heads", ("v_line",), layout.running_heads, f"with {_HEADS} select * from hh")
 _over("body_font_size", ("v_line",), layout.body_size, f"with {_BODY} select * from bs")
 _over("header_footer_filter", ("v_line",), lambda l: layout.without_furniture(l).select("paper_id", "line_seq"),
-      rf"""with {_HEADS} select paper_id, line_seq from v_line v where trim(text) <> '' and not (regexp_matches(text, '(?i)^\s*(page\s+)?\d{{1,4}}(\s+of\s+\d{{1,4}})?\s*$') and (y0 < 26 or y0 > 234))
+      rf"""with {_HEADS} select paper_id, line_seq from v_line v where trim(text) <> '' and not (regexp_matches(text, '{layout.PAGE_NUMBER}') and (y0 < 26 or y0 > 234))
  and not exists (select 1 from hh where hh.paper_id = v.paper_id and hh.head = regexp_replace(lower(trim(v.text)), '\d+', '#', 'g'))""")
 
 

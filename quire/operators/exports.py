@@ -16,6 +16,10 @@ from . import pages, references, styles
 COMMANDS = {1: "\\section", 2: "\\subsection", 3: "\\subsubsection"}
 ENVIRONMENTS = {"table": "table", "figure": "figure"}
 ENTRY_TYPES = {"article-journal": "article", "paper-conference": "inproceedings", "chapter": "incollection", "book": "book", "thesis": "phdthesis", "report": "techreport", "article": "misc"}
+#: What a file says about text that was kept without its look.
+BOX_NOTE, FLOAT_NOTE = "text preserved, original framing not reconstructed", "text preserved, visual layout not reconstructed"
+ASTRAY_NOTE = "% Captured from the PDF but not attachable to an exported section; text preserved here rather than dropped."
+QUOTE_NOTE, RAW_TEX, RAW_MARKDOWN = "_text preserved; original layout not reconstructed_", "  % UNPARSED — raw text kept verbatim", "  ⚠ unparsed (raw text)"
 #: Places of the parts of a file.
 HEAD, BODY, LEFT, BIB, END = range(5)
 
@@ -54,9 +58,9 @@ def tex_float(author_year: bool) -> Column:
     page = (F.col("page") + 1).cast("string")
     body, caption = F.trim(tex_body(F.col("text"), author_year)), F.trim(T.tex_escape(F.col("caption")))
     name = F.concat(F.lit("float_"), (F.col("float_no") + 1).cast("string"))
-    boxed = F.concat_ws("\n", F.lit("\\begin{quote}"), _text("% ", name, ": boxed panel captured from page ", page, "; text preserved, original framing not reconstructed"), F.when(caption != "", _text("\\textbf{", caption, "}")), body, F.lit("\\end{quote}"))
+    boxed = F.concat_ws("\n", F.lit("\\begin{quote}"), _text("% ", name, ": boxed panel captured from page ", page, "; " + BOX_NOTE), F.when(caption != "", _text("\\textbf{", caption, "}")), body, F.lit("\\end{quote}"))
     placed = F.concat_ws(
-        "\n", _text("\\begin{", env, "}[htbp]"), _text("% ", name, ": ", F.col("kind"), " captured from page ", page, "; text preserved, visual layout not reconstructed"), F.lit("\\centering"),
+        "\n", _text("\\begin{", env, "}[htbp]"), _text("% ", name, ": ", F.col("kind"), " captured from page ", page, "; " + FLOAT_NOTE), F.lit("\\centering"),
         F.when(body != "", body), F.when(caption != "", _text("\\caption{", caption, "}")), _text("\\end{", env, "}"),
     )
     return F.when(env.isNull(), boxed).otherwise(placed)
@@ -93,7 +97,7 @@ def latex(papers: DataFrame, sections: DataFrame, floats: DataFrame, refs: DataF
     bib = styles.bibliography(refs, sections, style_id).join(refs.select("paper_id", "ref_id", "authors", "year", "title"), ["paper_id", "ref_id"])
     label = _text("[", styles.natbib_label(F.col("authors"), F.col("year"), F.coalesce("title", "ref_id")), "]") if ay else F.lit("")
     words = F.col("text") if ay else F.regexp_replace("text", r"^\s*\[?\d+\]?\.?\s*", "")
-    item = _text("\\bibitem", label, "{", F.col("ref_id"), "} ", T.tex_escape(words), F.when(F.col("raw"), "  % UNPARSED — raw text kept verbatim").otherwise(""))
+    item = _text("\\bibitem", label, "{", F.col("ref_id"), "} ", T.tex_escape(words), F.when(F.col("raw"), RAW_TEX).otherwise(""))
     count = papers.select("paper_id").join(bib.groupBy("paper_id").agg(F.count("*").alias("n")), "paper_id", "left")
     widest = F.greatest(F.lit(9), F.coalesce("n", F.lit(0))).cast("string")
     return assembled(
@@ -101,7 +105,7 @@ def latex(papers: DataFrame, sections: DataFrame, floats: DataFrame, refs: DataF
             _pieces(papers, HEAD, 0, 0, head),
             _pieces(printed, BODY, F.col("sec_no"), -1, F.when(F.col("kind") == "abstract", abstract).otherwise(plain)),
             _pieces(homed.where("sec_no is not null"), BODY, F.col("sec_no"), F.col("float_no"), tex_float(ay)),
-            _pieces(astray.select("paper_id").distinct(), LEFT, 0, 0, F.lit("\\section*{Unanchored floats}\n% Captured from the PDF but not attachable to an exported section; text preserved here rather than dropped.")),
+            _pieces(astray.select("paper_id").distinct(), LEFT, 0, 0, F.lit("\\section*{Unanchored floats}\n" + ASTRAY_NOTE)),
             _pieces(astray, LEFT, 1, F.col("float_no"), tex_float(ay)),
             _pieces(count, BIB, 0, 0, _text("\n\\begin{thebibliography}{", widest, "}")),
             _pieces(bib, BIB, 1, F.col("place"), item),
@@ -118,7 +122,7 @@ def markdown(papers: DataFrame, sections: DataFrame, floats: DataFrame, refs: Da
     part = F.concat_ws("\n", _text(F.repeat(F.lit("#"), F.least(F.col("level") + 1, F.lit(4))), " ", F.col("title")), F.lit(""), F.when(F.trim("content") != "", _text(F.col("content"), "\n")))
     name = F.when(F.col("caption") != "", F.col("caption")).otherwise(_text(F.initcap("kind"), " (page ", (F.col("page") + 1).cast("string"), ")"))
     paragraphs = F.array_join(F.transform(F.split("text", "\n\n"), lambda p: F.concat(F.lit("> "), F.replace(p, F.lit("\n"), F.lit("\n> ")), F.lit("\n>"))), "\n")
-    note = "\n> _text preserved; original layout not reconstructed_"
+    note = "\n> " + QUOTE_NOTE
     quote = lambda tail: _text("> **", name, "**\n>\n", paragraphs, tail, "\n")
     held = sections.where("kind <> 'references'").select("paper_id", "section_id", "sec_no")
     homed = floats.join(held, ["paper_id", "section_id"], "left")
@@ -132,7 +136,7 @@ def markdown(papers: DataFrame, sections: DataFrame, floats: DataFrame, refs: Da
             _pieces(astray.select("paper_id").distinct(), LEFT, 0, 0, F.lit("## Unanchored floats\n")),
             _pieces(astray, LEFT, 1, F.col("float_no"), quote("")),
             _pieces(papers, BIB, 0, 0, F.lit("## References\n")),
-            _pieces(bib, BIB, 1, F.col("place"), _text("- ", F.col("text"), F.when(F.col("raw"), "  ⚠ unparsed (raw text)").otherwise(""))),
+            _pieces(bib, BIB, 1, F.col("place"), _text("- ", F.col("text"), F.when(F.col("raw"), RAW_MARKDOWN).otherwise(""))),
         ],
         "markdown",
     )
