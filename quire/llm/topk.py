@@ -229,6 +229,7 @@ def _searched(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int) -> DataFrame
         if not is_q.any() or is_q.all():
             return pa.table({n: pa.array([], pa.int64()) for n in ("row", "query_id", "vec_id", "score")})
         i, j, s = search(ids[is_q], x[is_q], ids[~is_q], x[~is_q], k, floor=low[is_q])
+        i, j, s = (t[s >= low[is_q][i]] for t in (i, j, s))  # what is below the floor can't be among the k best
         return pa.table({"row": rows[is_q][i], "query_id": ids[is_q][i], "vec_id": ids[~is_q][j], "score": s})
 
     return asked.unionByName(met).groupBy(*key).applyInArrow(work, "row long, query_id long, vec_id long, score long")
