@@ -66,7 +66,7 @@ _over("token_multiset", ("v_token_section",), lambda t: integrity.multiset(t, "b
 _FIRST = "f as (select paper_id, ref_id, row_number() over (partition by paper_id order by min(token_no * 1000 + k)) as number from e group by paper_id, ref_id)"
 _over("first_appearance_numbering", ("v_token_section",), links.first_appearance, f"with {_BEFORE}, {_FIRST} select * from f")
 _over("numeric_labels", ("v_token_section",), links.numeric_labels, f"with {_BEFORE}, {_FIRST} select paper_id, token_no, string_agg('[' || number || ']', ', ' order by k) as label from e join f using (paper_id, ref_id) group by paper_id, token_no")
-_over("sentence_spans", ("v_section",), lambda s: s.select("paper_id", F.posexplode(T.sentences(F.col("content"))).alias("sentence_no", "sentence")).select("paper_id", "sentence_no", F.trim("sentence").alias("sentence")),
+_over("sentence_spans", ("v_section",), lambda s: s.select("paper_id", F.posexplode(T.sentences(F.col("content"), paired=True)).alias("sentence_no", "sentence")).select("paper_id", "sentence_no", F.trim("sentence").alias("sentence")),
       f"with {_SENT.format(c='content', v='v_section')} select paper_id, sentence_no, trim(sentence) as sentence from s")
 _over("citation_context", ("v_token_section",), links.citation_context,
       f"""with {_SENT.format(c='before_text', v='v_token_section')}

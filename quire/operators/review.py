@@ -74,7 +74,7 @@ def claim_sample(tokens: DataFrame, text: str = "before_text", most: int = 2) ->
 
 def claim_texts(sections: DataFrame, text: str, least: int = 25) -> DataFrame:
     """Sentences without their tokens, of ``least`` characters or more."""
-    rows = sections.select("paper_id", F.posexplode(T.sentences(F.col(text))).alias("sentence_no", "s"))
+    rows = sections.select("paper_id", F.posexplode(T.sentences(F.col(text), paired=True)).alias("sentence_no", "s"))
     return rows.select("paper_id", "sentence_no", C.without_tokens(F.col("s")).alias("claim")).where(F.length("claim") >= least)
 
 

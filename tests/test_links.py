@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
+from oracles import same_rows
 from pyspark.sql import functions as F
 
+from quire import catalog
 from quire.functions import citations as C
 from quire.functions import text as T
 from quire.operators import integrity, links, render
@@ -56,6 +60,24 @@ def test_sentences(spark):
     assert t.select(T.sentences(F.col("t"))).first()[0] == ["D. P. Kingma et al. wrote it.", "See Fig. 2 here!", "Was it?", "(Yes.) no"]
 
 
+def test_paired_abbreviations(spark):
+    """As in SQL, where a replacement takes the white space along: every other one of a row ends a sentence."""
+    t = spark.createDataFrame([("la no. No. Y. Later. Dr. No. Et al. X e.g. Fig.  A. no.\nNo.\nNo. B",)], "t string")
+    assert t.select(T.sentences(F.col("t"), paired=True)).first()[0] == ["la no. No.", "Y. Later.", "Dr. No.", "Et al.", "X e.g. Fig.", "A. no.", "No.\nNo.", "B"]
+    assert "".join(t.select(T.sentence_pieces(F.col("t"), paired=True)).first()[0]) == t.first()["t"]
+
+
+@pytest.mark.parametrize("name", ["sentence_spans", "citation_context", "claim_texts", "located_sentences", "cited_findings"])
+def test_rows_of_abbreviations(spark, tmp_path, name):
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet").limit(20)
+    text = F.concat(F.lit("El ieñ la queesjaos asosmi no. No. Y. Later that day, Dr. No. El asosmi mente no. vol. "), F.substring("text", 1, 300), F.lit(" Una no no. Y."))
+    docs.withColumn("text", text).coalesce(1).write.parquet(f"{tmp_path}/d")
+    os.rename(next(tmp_path.glob("d/*.parquet")), tmp_path / "documents.parquet")
+    os.symlink(f"{source}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    same_rows(spark, catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+
+
 def test_integrity(spark, refs):
     rows = [(1, "a [[citep:ref_1]] b [[citep:ref_1]]", "a [[citep:ref_1]] b", 0), (2, "a [[citep:ref_1]]", "a", 1), (3, "a", "a [[citep:ref_9]]", 0), (4, "a [[citep:ref_2]]", "b [[citet:ref_2]]", 0)]
     p = spark.createDataFrame(rows, "paper_id int, before_text string, after_text string, removal_ack int")
