@@ -73,3 +73,12 @@ def test_located_sentence_is_the_first_of_the_best(spark):
     sections = spark.createDataFrame([(1, "s", "Deep nets learn well [[citep:ref_1]]. Deep nets learn well. Other things do not.")], "paper_id long, section_id string, content string")
     claims = spark.createDataFrame([(1, "s", 0, "Deep nets learn well!"), (1, "s", 1, "Deep nets lern well"), (1, "s", 2, "No such words here"), (1, "s", 3, ""), (1, "t", 4, "Deep nets learn well")], "paper_id long, section_id string, claim_no int, sentence string")
     assert [r["sentence_no"] for r in similar.located(sections, claims).orderBy("claim_no").collect()] == [0, 0, None, None, None]
+
+
+def test_families_are_not_broadcast(spark):
+    """All papers' families would go through the driver: on disk they are small, in memory they aren't."""
+    parts = spark.createDataFrame([(1, 0, "Smiths", 2020, "")], "paper_id int, k int, family string, year int, letter string")
+    refs = spark.createDataFrame([(1, 1, "ref_1", "Smithy, J.", 2020)], "paper_id int, ord int, ref_id string, author1 string, year int")
+    out = similar.linked_families(parts, refs)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["ref_id"], r["found"]) for r in out.select("ref_id", "found").collect()] == [(None, None)]
