@@ -131,3 +131,11 @@ def test_only_new_works_are_candidates(spark):
     cols = "proposal_id long, paper_id long, op_no int, claim_no int, seq long, title string, doi string, score double"
     results = spark.createDataFrame([(1, 1, 0, 0, 1, "A", "10.1/X", 0.9), (1, 1, 0, 0, 2, "B", "10.1/x", 0.8), (1, 1, 0, 0, 3, "C", "", 0.7), (1, 1, 0, 0, 4, "c", None, 0.6), (1, 1, 0, 1, 5, "A", "10.1/X", 0.9), (1, 1, 0, 1, 6, "K", None, 0.9)], cols)
     assert sorted(r["seq"] for r in edits.fresh(results, spark.createDataFrame([(1, 6)], "paper_id long, seq long")).collect()) == [1, 3, 5]
+
+
+def test_titles_in_capitals_are_cited_already(spark):
+    """The capitals of ß are two letters."""
+    f = spark.createDataFrame([(1, 1, "sec_1", "Nets learn.", "openalex", "u", None, " STRASSE ")], "finding_id int, paper_id int, section_id string, claim string, api string, url string, doi string, title string")
+    sections = spark.createDataFrame([(1, "sec_1", "Nets learn.")], "paper_id int, section_id string, content string")
+    refs = spark.createDataFrame([(1, "ref_1", None, "Straße")], "paper_id int, ref_id string, doi string, title string")
+    assert edits.cite_findings(f, sections, refs).first()["status"] == "already_cited"
