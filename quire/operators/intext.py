@@ -175,15 +175,13 @@ def tokenised(sections: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFram
     return rows.select("paper_id", "section_id", "content"), out, found
 
 
-def contexts(sections: DataFrame, around: int = 120) -> DataFrame:
-    """paper_id, section_id, nth, ref_ids, context: each token with the sentence that it begins in; where it lies in none, what stands within ``around`` characters."""
-    pieces = T.sentence_pieces(F.col("content"))
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, q: a + F.length(q)))
-    raw = F.regexp_extract_all("content", F.lit(C.TOKEN), F.lit(0))
-    before = F.transform(F.split("content", C.TOKEN), lambda p: F.length(p))
-    starts = F.transform(raw, lambda m, i: F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t)))
-    rows = sections.select("paper_id", "section_id", "content", pieces.alias("p"), ends.alias("e"), F.posexplode(F.arrays_zip(raw.alias("raw"), starts.alias("at"))).alias("nth", "t"))
-    k = F.size(F.filter("e", lambda e: e <= F.col("t.at")))
-    near = F.substring("content", F.greatest(F.col("t.at") - around, F.lit(0)) + 1, around + F.least(F.lit(around), F.col("t.at")))
-    said = F.trim(F.regexp_replace(F.get("p", k), r"^\s+|\s+$", ""))
-    return rows.select("paper_id", "section_id", "nth", C.token_ids(F.col("t.raw")).alias("ref_ids"), F.coalesce(F.nullif(said, F.lit("")), F.trim(near)).alias("context"))
+def contexts(sections: DataFrame) -> DataFrame:
+    """paper_id, section_id, nth, ref_ids, context: each token with the sentence that it lies in.
+
+    Sentences end behind a mark, which no token holds, so a token lies in one piece whole and is looked
+    for there: the text is cut once, and no place in it is counted again for each piece or token.
+    """
+    held = F.transform(T.sentence_pieces(F.col("content")), lambda p: F.transform(F.regexp_extract_all(p, F.lit(C.TOKEN), F.lit(0)), lambda m: F.struct(m.alias("raw"), p.alias("p"))))
+    rows = sections.where(F.col("content").rlike(C.TOKEN)).select("paper_id", "section_id", F.posexplode(F.flatten(held)).alias("nth", "t"))
+    said = F.trim(F.regexp_replace(F.col("t.p"), r"^\s+|\s+$", ""))
+    return rows.select("paper_id", "section_id", "nth", C.token_ids(F.col("t.raw")).alias("ref_ids"), said.alias("context"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -61,6 +62,15 @@ def test_contexts(spark):
     assert [(r["nth"], r["ref_ids"], r["context"]) for r in intext.contexts(s).orderBy("nth").collect()] == [(0, ["ref_1"], "First one [[citep:ref_1]]."), (1, ["ref_2"], "Second [[citet:ref_2]] and [[citep:ref_3,ref_1]]!"), (2, ["ref_3", "ref_1"], "Second [[citet:ref_2]] and [[citep:ref_3,ref_1]]!")]
 
 
+def test_contexts_of_long_texts(spark):
+    """The text is cut once: places counted anew for each sentence and token took minutes here."""
+    text = " ".join(f"Sentence {i} of this long text says so." if i % 50 else f"Number {i} cites [[citep:ref_{i}]] and goes on." for i in range(3000))
+    begun = time.time()
+    got = intext.contexts(spark.createDataFrame([(1, "sec_1", text)], "paper_id long, section_id string, content string")).orderBy("nth").collect()
+    assert [(r["nth"], r["ref_ids"], r["context"]) for r in got] == [(k, [f"ref_{50 * k}"], f"Number {50 * k} cites [[citep:ref_{50 * k}]] and goes on.") for k in range(60)]
+    assert time.time() - begun < 20
+
+
 # ---- whole tables against one pass a paper -----------------------------------------------------------
 
 WORD = r"[A-Z\u00C0-\u04FF&&\p{Lu}][\p{L}\p{M}\p{N}_'’\-]*"
