@@ -7,7 +7,7 @@ import random
 import pytest
 
 from quire.fixtures import view
-from quire.functions.similarity import indel_ratio
+from quire.functions.similarity import common_length, common_lengths, indel_ratio
 from quire.operators import similar
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,21 @@ def test_pairs_equal_all_pairs(spark, least):
         assert similar.candidates(left, right, least).count() < len(set(a)) * len(set(b)) / 2
 
 
+def test_lengths_of_many_pairs_at_once():
+    """Texts of none to several words of 64 places, letters of all planes, more pairs than a table of masks holds."""
+    rng = random.Random(5)
+    for letters, longest, n in (("abc ", 5, 400), ("abü漢字 x😀", 130, 400), ("ab", 400, 100), ("abcdefghijklmnop ", 60, 40_000)):
+        a, b = (["".join(rng.choice(x) for _ in range(rng.randrange(longest))) for _ in range(n)] for x in (letters, letters + "z"))
+        got = common_lengths(a, b)
+        assert all(got[i] == common_length(a[i], b[i]) for i in range(0, n, max(n // 1000, 1)))
+
+
+def test_small_blocks_meet_in_many_partitions(spark):
+    """By the bytes of its texts a table of short blocks would lie in one partition, with all its pairs."""
+    t = spark.range(400).selectExpr("id % 100 as p", "concat('title ', id) as s")
+    assert similar.candidates(t, t, 75.0, ["p"], small_blocks=True).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_titles_of_all_papers(spark):
     """Equal to all pairs over the whole small table, from a small part of them as candidates."""
     refs = view(spark, SF, "v_paper").selectExpr("title as s")
