@@ -65,9 +65,15 @@ def needed(new_refs: DataFrame, approved: DataFrame) -> DataFrame:
     return new_refs.join(cited, "ref_id", "left_semi")
 
 
-def _token_counts(changes: DataFrame, text: str, name: str) -> DataFrame:
+def _said(changes: DataFrame) -> DataFrame:
+    """changes without their texts, which are long: the ids that these cite (before_ids, after_ids) and a digest of the one before stand for them."""
+    keys = [c for c in ("change_id", "proposal_id", "paper_id", "section_id") if c in changes.columns]
+    return changes.select(*keys, C.token_ids(F.col("before")).alias("before_ids"), C.token_ids(F.col("after")).alias("after_ids"), F.sha2("before", 256).alias("before_digest"))
+
+
+def _token_counts(said: DataFrame, ids: str, name: str) -> DataFrame:
     keys = ["proposal_id", "paper_id", "section_id"]
-    return changes.select(*keys, F.explode(C.token_ids(F.col(text))).alias("ref_id")).groupBy(*keys, "ref_id").agg(F.count("*").alias(name))
+    return said.select(*keys, F.explode(ids).alias("ref_id")).groupBy(*keys, "ref_id").agg(F.count("*").alias(name))
 
 
 def violations(changes: DataFrame, refs: DataFrame, new_refs: DataFrame, removals: DataFrame, adds: DataFrame) -> DataFrame:
@@ -80,8 +86,12 @@ def violations(changes: DataFrame, refs: DataFrame, new_refs: DataFrame, removal
     no_provenance: new without a source and its address; asserted_add_missing: declared, but nowhere
     in the proposal's text (a warning).
     """
+    return _wrong(_said(changes), refs, new_refs, removals, adds)
+
+
+def _wrong(said_: DataFrame, refs: DataFrame, new_refs: DataFrame, removals: DataFrame, adds: DataFrame) -> DataFrame:
     keys = ["proposal_id", "section_id", "ref_id"]
-    before, after = _token_counts(changes, "before", "b"), _token_counts(changes, "after", "a")
+    before, after = _token_counts(said_, "before_ids", "b"), _token_counts(said_, "after_ids", "a")
     short = before.join(after, ["proposal_id", "paper_id", "section_id", "ref_id"], "left").withColumn("n", F.col("b") - F.coalesce("a", F.lit(0))).where("n > 0")
     said = removals.select(*keys).distinct().withColumn("_said", F.lit(True))
     lost_ = short.join(said, keys, "left").select(*keys, F.lit("citation_lost").alias("kind"), "n", F.col("_said").isNull().alias("blocking"))
@@ -106,13 +116,14 @@ def apply_approved(sections: DataFrame, papers: DataFrame, refs: DataFrame, chan
     (added: paper_id, ref_id, proposal_id), snapshots (the sections of changed papers as they were, with
     version, reason and proposal_id) and citations (paper_id, section_id, nth, raw, ref_ids).
     """
-    chosen = changes.join(approved.select("change_id").distinct(), "change_id", "left_semi")
-    cited = chosen.select("proposal_id", F.explode(C.token_ids(F.col("after"))).alias("ref_id")).distinct()
+    # An inner join, since Spark would put a semi join before the texts are left behind; all but the last step goes without them.
+    chosen = _said(changes).join(approved.select("change_id").distinct(), "change_id")
+    cited = chosen.select("proposal_id", F.explode("after_ids").alias("ref_id")).distinct()
     pruned = new_refs.join(cited, ["proposal_id", "ref_id"], "left_semi")
     none = cited.limit(0)
-    wrong = violations(chosen, refs, pruned, removals, none).where("blocking").select("proposal_id").distinct().withColumn("_wrong", F.lit(True))
-    held = chosen.join(sections, ["paper_id", "section_id"], "left")
-    state = held.groupBy("proposal_id").agg(F.count("*").alias("_n"), F.count_if(F.col("content").isNull()).alias("_missing"), F.count_if(F.col("content") != F.col("before")).alias("_stale"))
+    wrong = _wrong(chosen, refs, pruned, removals, none).where("blocking").select("proposal_id").distinct().withColumn("_wrong", F.lit(True))
+    held = chosen.join(sections.select("paper_id", "section_id", F.sha2("content", 256).alias("digest")), ["paper_id", "section_id"], "left")
+    state = held.groupBy("proposal_id").agg(F.count("*").alias("_n"), F.count_if(F.col("digest").isNull()).alias("_missing"), F.count_if(F.col("digest") != F.col("before_digest")).alias("_stale"))
     every = changes.groupBy("proposal_id", "paper_id").agg(F.max("command").alias("command"))
     rows = every.join(state, "proposal_id", "left").join(wrong, "proposal_id", "left")
     status = F.when(F.col("_n").isNull(), "rejected").when(F.col("_missing") > 0, "missing_section").when(F.col("_wrong"), "violations").when(F.col("_stale") > 0, "stale").otherwise("applied")
@@ -120,7 +131,8 @@ def apply_approved(sections: DataFrame, papers: DataFrame, refs: DataFrame, chan
     first = F.row_number().over(Window.partitionBy("paper_id", "status").orderBy("proposal_id"))
     rows = rows.withColumn("status", F.when((F.col("status") == "applied") & (first > 1), "later").otherwise(F.col("status")))
     done = rows.where("status = 'applied'").select("proposal_id", "paper_id", "command")
-    new = chosen.join(done.select("proposal_id"), "proposal_id", "left_semi").select("paper_id", "section_id", "after")
+    hits = chosen.select("change_id", "proposal_id").join(done.select("proposal_id"), "proposal_id", "left_semi")
+    new = changes.select("change_id", "proposal_id", "paper_id", "section_id", "after").join(hits, ["change_id", "proposal_id"], "left_semi").select("paper_id", "section_id", "after")
     after = sections.join(new, ["paper_id", "section_id"], "left").select("paper_id", "section_id", F.coalesce("after", "content").alias("content"))
     bumped = papers.join(done.select("paper_id", F.lit(1).alias("_up")), "paper_id", "left").select("paper_id", (F.col("version") + F.coalesce("_up", F.lit(0))).alias("version"))
     added = pruned.join(done.select("proposal_id", "paper_id"), "proposal_id").join(refs.select("paper_id", "ref_id"), ["paper_id", "ref_id"], "left_anti").select("paper_id", "ref_id", "proposal_id").distinct()

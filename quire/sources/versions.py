@@ -29,6 +29,12 @@ class Conflict(Exception):
     """Another writer has committed since the version that this one began from."""
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """A digest of each whole row: rows that are compared needn't be sent. JSON names the columns, so a null is none's neighbour."""
+    whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return rows.select(F.sha2(F.to_json(F.struct(*rows.columns), whole), 256).alias("digest"))
+
+
 @dataclass
 class Store:
     """A versioned table at ``path`` whose rows ``keys`` name."""
@@ -104,28 +110,32 @@ class Store:
         old = self.manifest(base) if base else None
         if old:
             self.buckets = old["buckets"]
-            if expect is not None and expect.exceptAll(self._read(old).select(*expect.columns)).limit(1).count():
+            if expect is not None and _digests(expect).exceptAll(_digests(self._read(old).select(*expect.columns))).limit(1).count():
                 raise Conflict("rows have changed since")
-        new = rows.withColumn("bucket", self._bucket())
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # as many as buckets at most
         name = uuid.uuid4().hex
-        if touched:
-            merged = new
-            if old:
-                kept = self._read(old, touched).select(*rows.columns)
-                same = [kept[k].eqNullSafe(F.col(f"new.{k}")) for k in self.keys]
-                on = same[0]
-                for s in same[1:]:
-                    on = on & s
-                left = kept.join(rows.select(*self.keys).distinct().alias("new"), on, "left_anti")
-                merged = new.unionByName(left.withColumn("bucket", self._bucket()))
-            # Rebalancing splits a bucket that holds much over several tasks.
-            merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        path = f"{self.path}/data/{name}"
+        kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+        # The new rows are made once, where they stay; what else has to be known of them is read from there.
+        self._write(rows, path)
+        place, fs = self._fs(path)
+        named = [f.getPath().getName() for f in (fs.listStatus(place) if fs.exists(place) else [])]
+        touched = sorted(int(n[7:]) for n in named if n.startswith("bucket="))
+        if touched and old:
+            kept = self._read(old, touched).select(*rows.columns)
+            there = self.spark.read.schema(kind).parquet(*(f"{path}/bucket={b}" for b in touched)).select(*self.keys).distinct().alias("new")
+            same = [kept[k].eqNullSafe(F.col(f"new.{k}")) for k in self.keys]
+            on = same[0]
+            for s in same[1:]:
+                on = on & s
+            self._write(kept.join(there, on, "left_anti"), path, "append")
         files = {**(old["files"] if old else {}), **{str(b): name for b in touched}}
-        plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-        self._put({"version": base + 1, "base": base, "created_at": time.time(), "reason": reason, "about": about, "buckets": self.buckets, "schema": json.loads(plain.json()), "files": files})
+        self._put({"version": base + 1, "base": base, "created_at": time.time(), "reason": reason, "about": about, "buckets": self.buckets, "schema": json.loads(kind.json()), "files": files})
         return base + 1
 
+    def _write(self, rows: DataFrame, path: str, mode: str = "error") -> None:
+        # Rebalancing splits a bucket that holds much over several tasks.
+        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+
     def _put(self, manifest: dict) -> None:
         """The manifest, whole, at its place, unless there is one."""
         jvm = self.spark.sparkContext._jvm

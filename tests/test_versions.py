@@ -82,3 +82,23 @@ def test_vacuum_keeps_what_is_named(spark, store, tmp_path):
     assert store.vacuum(keep=2) >= 1 and store.versions() == [3, 4]
     assert content(store.read()) == was and len(content(store.read(3))) == 21
     assert json.loads((tmp_path / "t/manifests/0000000004.json").read_text())["base"] == 3
+
+
+def test_rows_of_a_commit_are_made_once_and_compared_by_digest(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    new = frame(spark, ("p3", "s", "new"), ("p4", "s", "newer"), (None, "s", "again")).mapInPandas(count, ROWS)
+    assert store.commit(new, 1, "edit", expect=store.read(1)) == 2
+    assert seen.value == 3
+    assert [x for x in content(store.read()) if x[2] != "old"] == [("", "s", "again"), ("p3", "s", "new"), ("p4", "s", "newer")] and store.read().count() == 21
+    with pytest.raises(Conflict):
+        store.commit(frame(spark, ("p5", "s", "x")), 2, "edit", expect=frame(spark, ("p3", "s", None)))
+    assert store.commit(frame(spark, ("p5", "s", None)), 2, "edit", expect=frame(spark, ("p3", "s", "new"))) == 3
+    assert store.commit(frame(spark, ("p5", "s", "")), 3, "edit", expect=frame(spark, ("p5", "s", None))) == 4
+    with pytest.raises(Conflict):
+        store.commit(frame(spark, ("p5", "s", "x")), 4, "edit", expect=frame(spark, ("p5", "s", None)))
