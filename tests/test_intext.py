@@ -166,3 +166,16 @@ def test_whole_tables_equal_a_pass_over_each_paper(spark):
     got, lost, styles = intext.tokenised(sections, refs)
     assert {r["paper_id"]: r["content"] for r in got.collect()} == want
     assert len({s["style"] for s in styles.collect()}) >= 4 and lost.count() > 10 and sum("[[cite" in t for t in want.values()) > 100
+
+
+def test_sections_move_once(spark):
+    """All shapes are looked up and replaced beside the paper's bibliography: joins for each of them ran 60 jobs and more here."""
+    sections = spark.createDataFrame([(p, "sec_1", "Prior [1, 9], Smith (2020) and (Smyth, 2020; Nobody 1999)." if p % 2 else "Only (Smiths, 2020).") for p in range(40)], "paper_id int, section_id string, content string")
+    refs = spark.createDataFrame([(p, *r) for p in range(40) for r in REFS], "paper_id int, ord int, ref_id string, label string, author1 string, year int")
+    spark.sparkContext.setJobGroup("moved-once", "")
+    done, lost, styles = (d.collect() for d in intext.tokenised(sections, refs))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("moved-once")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(done) == len(styles) == 40 and {r["content"] for r in done} == {"Prior [1, 9], Smith [[citet:ref_1]] and (Smyth, 2020; Nobody 1999).", "Only [[citep:ref_1]]."}
+    assert {(r["raw"], r["reason"]) for r in lost} == {("(Smyth, 2020; Nobody 1999)", "no reference has this author and year")}
+    assert 0 < len(jobs) <= 16
