@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.operators import exports, styles
 
 REF = "paper_id long, ord int, ref_id string, label string, authors array<string>, year int, title string, container string, volume string, pages string, doi string, arxiv string, url string, raw_text string, renderable boolean, added_by string, added_reason string, source string, source_url string"
@@ -81,3 +83,13 @@ def test_markdown_bibtex_and_provenance(spark, paper):
     text = exports.provenance(paper["papers"], paper["refs"], history).first()["provenance"]
     assert "## Agent-added references (1)\n\n- **Third** — added because: why\n  - source: openalex — https://w\n" in text and text.endswith("- v1 → v2: edit: x (2026-01-02 03:04)\n")
     assert sorted(r["path"] for r in exports.files(**paper, history=history, style_id="apa").collect()) == ["PROVENANCE.md", "main.tex", "paper.md", "references.bib"]
+
+
+def test_texts_are_written_after_joins(spark):
+    """Pieces without a text are left out, but not by a filter: that was moved into the joins before and wrote each text for every pair of rows."""
+    docs, nos = spark.createDataFrame([(1, "a b", 2), (2, "c d", 0), (3, None, 1)], "paper_id long, t string, n int"), spark.createDataFrame([(k,) for k in range(9)], "k int")
+    pieces = docs.join(nos, F.col("k") < F.col("n")).select("paper_id", F.struct(F.lit(1).alias("p"), "k", F.lit(0).alias("b")).alias("path"), F.replace("t", F.lit(" "), F.lit("-")).alias("text"))
+    out = exports.assembled([pieces], "x")
+    assert [tuple(r) for r in out.collect()] == [(1, "a-b\na-b\n")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("replace(" in line for line in plan if "Join" in line or "Filter" in line)
