@@ -87,3 +87,11 @@ def test_front_matter(spark):
 def test_page_numbers_count_in_the_bands_only(spark):
     rows = [(1, 0, 0, "7", 0.0, 1.0, 5.0, 9.0, 10.0), (1, 0, 1, "1998", 0.0, 1.0, 100.0, 109.0, 10.0), (1, 0, 2, "Page 7 of 9", 0.0, 1.0, 250.0, 259.0, 10.0), (1, 0, 3, "words", 0.0, 1.0, 120.0, 129.0, 10.0)]
     assert sorted(r["line_seq"] for r in layout.without_furniture(frame(spark, rows)).collect()) == [1, 3]
+
+
+def test_lines_move_once(spark):
+    """Order, merging and numbers of a paper's lines share one shuffle; each of their windows had one of its own before."""
+    lines = spark.createDataFrame([(p, 0, k, f"line {k}", 60.0, 500.0, 20.0 * k, 20.0 * k + 11) for p in range(3) for k in range(6)], "paper_id long, page int, line_seq int, text string, x0 double, x1 double, y0 double, y1 double")
+    out = pages.numbered(pages.merged_numbers(pages.reading_order(lines)))
+    assert [r["text"] for r in out.where("paper_id = 1").orderBy("line_seq").collect()] == [f"line {k}" for k in range(6)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ") == 1
