@@ -90,7 +90,7 @@ def test_page_numbers_count_in_the_bands_only(spark):
 
 
 def test_lines_move_once(spark):
-    """Order, merging and numbers of a paper's lines share one shuffle; each of their windows had one of its own before."""
+    """Order, merging and numbers of a paper's lines share one shuffle; there were two before."""
     lines = spark.createDataFrame([(p, 0, k, f"line {k}", 60.0, 500.0, 20.0 * k, 20.0 * k + 11) for p in range(3) for k in range(6)], "paper_id long, page int, line_seq int, text string, x0 double, x1 double, y0 double, y1 double")
     out = pages.numbered(pages.merged_numbers(pages.reading_order(lines)))
     assert [r["text"] for r in out.where("paper_id = 1").orderBy("line_seq").collect()] == [f"line {k}" for k in range(6)]
