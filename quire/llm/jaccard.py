@@ -14,6 +14,10 @@ blocks): DivideSkip merges the short lists of a node, keeps those with T - L hit
 and probes the L longest lists by binary search for them. The sums are exact overlaps. Only what
 joins two components leaves a task. A pair within one component needs no link of its own.
 
+Before sets move, pairs of ids meet by parities: bit i of a node tells whether an odd number of its
+shingles falls there. Where two differ, so do the sets, so the bits bound the overlap from above, at
+a 64th of a set's size. No pair that links is lost by them.
+
 Defined results: null and empty texts and texts without words have no shingles and link with
 nothing; up to k - 1 words are one shingle; repeated rows share a node; the component of rows whose
 ids are all null is null; shingles are told by 64-bit hashes; other columns are dropped.
@@ -36,7 +40,7 @@ from .common import dropped, frees, written
 #: The share of a node's shingles whose lists it may leave out, in hundredths.
 SKIP_PERCENT = 4
 #: Frequent shingles put last: at most so many, seen in so many documents of one batch of BATCH_DOCS, in the same share of a smaller one and in two at least.
-FREQUENT, BATCH_DOCS, BATCH_LEAST = 200_000, 2000, 8
+FREQUENT, BATCH_DOCS, BATCH_LEAST = 1_000_000, 2000, 2
 #: Turns in which each node meets one leader; then the pairs of lists up to SHORT nodes are tested, and the search finds all that is left.
 TURNS, SHORT = 2, 32
 #: Shingles of a block of a list, about; and what a probe costs against a step of merging, for DivideSkip's choice of L.
@@ -102,6 +106,21 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit i of as many as s has shingles, rounded up to a power of two and 64 at least: whether an odd number of them is i modulo the bits."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def may_link(n: int, p: np.ndarray, m: int, q: np.ndarray, percent: int) -> bool:
+    """Whether sets of n and m shingles with parities p and q may overlap enough. The longer parities are folded to the shorter's length."""
+    while len(p) != len(q):
+        p, q = (p, q) if len(p) > len(q) else (q, p)
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    both = (n + m - int(np.bitwise_count(p ^ q).sum())) // 2
+    return 100 * both >= percent * (n + m - both)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles that many documents of some batch hold; copies count once a batch. They only set the order."""
 
@@ -128,7 +147,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The written table of row (its own number), doc_id, n (shingles), sig (of the set), prefix (hashes)."""
+    """The written table of row (its own number), doc_id, n (shingles), sig (of the set), bits (its parities), prefix (hashes)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +163,12 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         p = np.concatenate([s[~often], s[often]])
                     p = p[: min(n, n - needed(n, percent) + 1 + skipped(n, percent))] if n else p
-                    out.append((n, _signature(s), p.view(np.int64)))
-                n, sig, p = zip(*out, strict=True)
-                yield pa.record_batch({"row": at.slice(i, j - i), "doc_id": ids.slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
+                    out.append((n, _signature(s), parities(s).tobytes(), p.view(np.int64)))
+                n, sig, bits, p = zip(*out, strict=True)
+                yield pa.record_batch({"row": at.slice(i, j - i), "doc_id": ids.slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bits": pa.array(bits, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64()))})
 
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(text.mapInArrow(frees(rows), "row long, doc_id long, n long, sig binary, prefix array<long>"), "prefixes")
+    return written(text.mapInArrow(frees(rows), "row long, doc_id long, n long, sig binary, bits binary, prefix array<long>"), "prefixes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,8 +205,8 @@ def _lists(s: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The written inverted lists that name candidates: h, node, n, share, kept (false where the node leaves the list out)."""
     own = s.where("n > 0").join(_some(nodes.select("node")), s["row"] == F.col("node"), "left_semi")
     post = own.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.size("prefix").alias("p"))
-    length = post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = post.join(length, "h")
+    # One shuffle: hashes hardly shrink, so that counting them apart from their rows would move them twice.
+    held = post.withColumn("df", F.count("*").over(_window("h"))).where("df > 1")
     longest = F.row_number().over(_window("node", F.col("df").desc(), "h"))
     a = F.ceil(F.lit(percent) * F.col("n") / 100.0)
     out_of = F.greatest(F.lit(0), F.least(F.floor(F.lit(SKIP_PERCENT) * F.col("n") / 100.0) + 1, a - 1))
@@ -206,9 +225,13 @@ def _window(part: str, *order):
     return Window.partitionBy(part).orderBy(*order) if order else Window.partitionBy(part)
 
 
-def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """The written table of node, shingles of the candidates (node). Their documents are found by id and told by the set's signature."""
-    one = written(s.join(candidates, s["row"] == candidates["node"]).select("node", "sig", F.col("doc_id").alias("_id")), "candidates")
+def _candidates(s: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The written table of node, sig, _id, n, bits of nodes (node)."""
+    return written(s.join(_some(nodes), s["row"] == nodes["node"]).select("node", "sig", F.col("doc_id").alias("_id"), "n", "bits"), "candidates")
+
+
+def _sets(docs: DataFrame, one: DataFrame, k: int) -> DataFrame:
+    """The written table of node, shingles of the candidates. Their documents are found by id and told by the set's signature."""
     ids = _some(one.select("_id").distinct())
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = text.join(ids, text["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
@@ -226,6 +249,20 @@ def _sets(docs: DataFrame, candidates: DataFrame, s: DataFrame, k: int) -> DataF
     return written(made.join(_some(one.select("sig", "node")), "sig").select("node", "shingles"), "sets")
 
 
+def _near(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The written pairs (a, b) whose parities let them link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("n", "p", "m", "q")]
+            ok = [may_link(n, np.frombuffer(p, np.uint8), m, np.frombuffer(q, np.uint8), percent) for n, p, m, q in zip(*cols, strict=True)]
+            yield pa.record_batch({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok, pa.bool_()))
+
+    x = candidates.select(F.col("node").alias("a"), "n", F.col("bits").alias("p"))
+    y = candidates.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "p", "m", "q").mapInArrow(frees(rows), "a long, b long"), "near")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The written pairs (a, b) with ``link``. Sets meet their pairs in place where the pairs are few, and then their partners' sets in one shuffle."""
 
@@ -356,7 +393,9 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("h", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "comp")
     order = ["h", "p", "q"]
-    full = met.join(sets, "node").select(*order, "node", "block", "comp", "shingles").repartition(*order).sortWithinPartitions(*order)
+    # Most sets are in no such list, and needn't move to find that out.
+    own = sets.join(_some(rows.select("node").distinct()), "node", "left_semi")
+    full = met.join(own, "node").select(*order, "node", "block", "comp", "shingles").repartition(*order).sortWithinPartitions(*order)
     return _short_batches(full.mapInArrow(frees(links), "a long, b long"), "searched")
 
 
@@ -365,25 +404,28 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     s = prefixes(docs, k, percent)
     nodes = written(s.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     lists = _lists(s, nodes, percent)
-    sets = tested = comps = None
+    candidates = sets = tested = comps = None
     for turn in range(TURNS + 2):
         rows = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
         rows = written(rows.join(mixed, "h"), "mixed")
         if sets is None:
-            sets = _sets(docs, rows.select("node").distinct(), s, k)
+            candidates = _candidates(s, rows.select("node").distinct())
+            sets = _sets(docs, candidates, k)
         if turn <= TURNS:
             met = _nominated(rows, turn, percent) if turn < TURNS else _every(rows.where(F.col("m") <= SHORT), percent)
             pairs = written(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
-            new = _verify(pairs, sets, percent).where("link").select("a", "b")
+            near = _near(pairs, candidates, percent)
             dropped(pairs)
+            new = _verify(near, sets, percent).where("link").select("a", "b")
+            dropped(near)
         else:
             new = _searched(rows.where(F.col("m") > SHORT), sets, percent)
         dropped(rows)
         if not new.isEmpty():
             tested = new if tested is None else tested.unionAll(new)
             comps = written(components(tested), "components")
-    for used in (lists, sets):
+    for used in (lists, candidates, sets):
         if used is not None:
             dropped(used)
     groups_of = nodes.select("sig", "least")

@@ -439,6 +439,37 @@ def test_jaccard_near_copies_of_one_text(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == brute_groups(rows)
 
 
+def test_parities_bound_the_overlap():
+    g = np.random.default_rng(9)
+    pruned = 0
+    for n in (1, 5, 63, 64, 65, 200, 700):
+        for _ in range(40):
+            x = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([g.choice(x, g.integers(0, len(x) + 1), replace=False), g.integers(0, 2**63, g.integers(0, n // 3 + 2)).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            may = jaccard.may_link(len(x), jaccard.parities(x), len(y), jaccard.parities(y), 85)
+            assert may or 100 * both < 85 * (len(x) + len(y) - both)
+            pruned += not may
+    assert pruned > 150
+
+
+def test_jaccard_moves_few_sets(spark, monkeypatch):
+    """Texts that share a passage but don't link: hardly a pair of them is left for whole sets to meet."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, passage + " " + " ".join(f"s{k}x{i}" for i in range(40))) for k in range(25)] + [(90, passage), (91, passage + " end")]
+    met, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+
+    def counted(pairs, sets, percent):
+        met.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_groups(rows)
+    assert sum(met) <= 4
+
+
 def test_t_occurrences():
     g = np.random.default_rng(8)
     for _ in range(30):
