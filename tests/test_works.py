@@ -8,8 +8,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quire.fixtures import view
 from quire.functions.similarity import indel_ratio
-from quire.operators import works
+from quire.operators import similar, works
 
 
 def plain(s):
@@ -55,6 +56,25 @@ def test_ladder_equals_all_pairs(spark):
     assert tuple(totals) == tuple(sum(w[0] == s for w in want.values()) for s in ("resolved", "ambiguous", "unresolved"))
 
 
+def test_repeated_texts_are_compared_once(spark):
+    """Titles that many papers share give the same rows as each paper's own pairs, whichever are fewer."""
+    rng = random.Random(5)
+    titles = [("a title of a work " + "".join(rng.choice("abcdef ") for _ in range(12))).strip() for _ in range(12)]
+    left = [(p, rng.choice(titles)) for p in range(60) for _ in range(6)] + [(p, "") for p in range(3)]
+    right = [(p, rng.choice(titles)[: rng.randrange(14, 30)]) for p in range(60) for _ in range(6)]
+    for n in (60, 1):
+        x, y = (spark.createDataFrame([r for r in rows if r[0] < n], "paper_id long, s string") for rows in (left, right))
+        rows = lambda df: sorted(map(tuple, df.select("paper_id", "l", "r", "ratio").collect()))
+        assert rows(similar.repeated(x, y, 75.0, ["paper_id"])) == rows(similar.pairs(x, y, 75.0, ["paper_id"], small_blocks=True)) != []
+
+
+def test_resolution_filters_after_the_joins(spark):
+    """No condition on a title or DOI is tried on the pairs of rows that references are joined from."""
+    refs, records = (view(spark, "/root/testdata/sf0.001", v) for v in ("v_cite_ref", "v_record"))
+    plan = works.resolved(refs, records)._jdf.queryExecution().executedPlan().toString()
+    assert "item_id" not in plan and "NestedLoopJoin" not in plan
+
+
 def test_clean_text(spark):
     df = spark.createDataFrame([("ﬁne ﬄow “so” ’t is",), ("plain",), ("Ａ²é",), (None,)], "t string")
     assert [r[0] for r in df.select(works.clean_text(F.col("t"))).collect()] == ['fine fflow "so" \'t is', "plain", "A2é", None]
