@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import random
 from collections import defaultdict
 
 import regex
@@ -139,3 +141,49 @@ def test_titles_in_capitals_are_cited_already(spark):
     sections = spark.createDataFrame([(1, "sec_1", "Nets learn.")], "paper_id int, section_id string, content string")
     refs = spark.createDataFrame([(1, "ref_1", None, "Straße")], "paper_id int, ref_id string, doi string, title string")
     assert edits.cite_findings(f, sections, refs).first()["status"] == "already_cited"
+
+
+def _moved(spark, run):
+    """Bytes that run's shuffles write, nothing being broadcast."""
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {os.path.join(at, f) for d in dirs for at, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    usual, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), files()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    return out, sum(os.path.getsize(f) for f in files() - before)
+
+
+def _texts(n):
+    rng = random.Random(4)
+    return [(p, "sec_1", " ".join(f"S{rng.getrandbits(4000):x} ends here." for _ in range(20))) for p in range(n)]
+
+
+def test_findings_move_texts_once(spark):
+    rows = _texts(30)
+    size = sum(len(r[2]) for r in rows)
+    asked = [(p * 8 + k, p, "sec_1", text.split(". ")[k] + ".", "openalex", "u", None, f"New {k}") for p, _, text in rows for k in range(8)]
+    findings = spark.createDataFrame(asked, "finding_id long, paper_id long, section_id string, claim string, api string, url string, doi string, title string").repartition(3)
+    sections = spark.createDataFrame(rows, "paper_id long, section_id string, content string").repartition(3)
+    refs = spark.createDataFrame([(p, "ref_1", None, "Old") for p in range(30)], "paper_id long, ref_id string, doi string, title string")
+    got, moved = _moved(spark, lambda: edits.cite_findings(findings, sections, refs).collect())
+    assert len(got) == 240 and {r["status"] for r in got} == {"ok"}
+    assert all(r["after"] == r["before"].replace(text + ".", text + " [[citep:ref_2]].") for r in got for text in [r["before"].split(". ")[r["finding_id"] % 8].rstrip(".")])
+    assert moved < 6 * size
+
+
+def test_operations_move_what_they_name(spark):
+    """Sections that few operations name: their texts are moved to find them and to hold them against what came out, not once more a round."""
+    rows = _texts(30)
+    size = sum(len(r[2]) for r in rows)
+    ops = [(p, p, k, "rewrite_section", "sec_1", 1, text + " More." if k == 0 and p == 3 else None) for p, _, text in rows for k in range(4)]
+    ops = spark.createDataFrame(ops, "proposal_id long, paper_id long, op_no int, op string, section_id string, max_new int, text string").repartition(3)
+    sections = spark.createDataFrame(rows, "paper_id long, section_id string, content string").repartition(3)
+    refs = spark.createDataFrame([], "paper_id long, ref_id string")
+    claims = spark.createDataFrame([], "proposal_id long, op_no int, claim_no int, sentence string, query string")
+    offers = spark.createDataFrame([], "proposal_id long, op_no int, claim_no int, seq long, title string, score double")
+    (got, new), moved = _moved(spark, lambda: tuple(df.collect() for df in edits.execute(ops, sections, refs, claims, offers)))
+    assert [(r["proposal_id"], r["after"] == rows[3][2] + " More.") for r in got] == [(3, True)] and new == []
+    assert moved < 7 * size
