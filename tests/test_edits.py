@@ -186,4 +186,4 @@ def test_operations_move_what_they_name(spark):
     offers = spark.createDataFrame([], "proposal_id long, op_no int, claim_no int, seq long, title string, score double")
     (got, new), moved = _moved(spark, lambda: tuple(df.collect() for df in edits.execute(ops, sections, refs, claims, offers)))
     assert [(r["proposal_id"], r["after"] == rows[3][2] + " More.") for r in got] == [(3, True)] and new == []
-    assert moved < 7 * size
+    assert moved < 4 * size
